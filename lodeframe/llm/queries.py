@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodeframe.llm import near_dedup as near
 from lodeframe.llm import substring_dedup as substring
 
 
@@ -11,9 +12,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_dedup(_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op10_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op3_near_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
