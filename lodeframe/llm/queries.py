@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeframe.llm import near_dedup as near
-from lodeframe.llm import substring_dedup as substring
+from lodeframe.llm import fingerprint, near_dedup, packing, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,12 +12,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_dedup(_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
+    return near_dedup.near_dedup(_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.substring_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op3_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op3_near_dedup, op8_fingerprint, op9_packing, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
