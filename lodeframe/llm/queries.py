@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import fingerprint, near_dedup, packing, substring_dedup, toxicity, training
+from lodeframe.llm import fingerprint, near_dedup, packing, quality, substring_dedup, toxicity, training
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
-
-
 def _scored(scores: DataFrame, held_out) -> DataFrame:
     return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = training.fold("doc_id", 3) == 1
+    return _scored(quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held_out), held_out)
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = training.fold("doc_id", 5) == 0
     return _scored(toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held_out), held_out)
@@ -43,5 +48,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op3_near_dedup, op4_toxicity, op8_fingerprint, op9_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_near_dedup, op4_toxicity, op8_fingerprint, op9_packing, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
