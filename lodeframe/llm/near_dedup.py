@@ -6,11 +6,13 @@ A document's set is its distinct shingles of `width` lower-cased words (fewer wo
    and the signature folded into an odd sketch: a bitmap in which each sample toggles one bit, so that
    the XOR of two bitmaps counts the samples in which they differ.
 2. Documents with one set are one class, represented by its smallest id; only representatives go on.
-3. Classes that share a band key share a bucket. Each bucket is joined as a star around one leader, and
-   later around further leaders, skipping pairs that are in one component already. A large group of near
-   copies thus costs its size, not its square. The pairs of buckets that still hold several components
-   are compared last, in full, so every candidate pair of different components is judged.
-4. Odd sketches drop pairs far below the threshold; all others are confirmed on the full sets.
+3. Classes that share a band key share a bucket. Each bucket is first joined as a star around one leader (of a few
+   that all its bands share), so a large group of near copies costs its size, not its square.
+4. Buckets that then still hold several components are compared in blocks of bitmaps, inside the operator; only pairs of
+   different components that the bitmaps allow come out. So every candidate pair is judged, and no
+   group is spelled out in pairs. A large bucket is dealt in block pairs of BLOCK rows.
+5. Odd sketches drop pairs: those of the samples, pairs far below the threshold; a second one, of the full set, whose
+   XOR never counts more bits than elements differ, drops none that reach it. All others are confirmed on the full sets.
 
 With 28 bands of 6 samples a pair at similarity 0.85 shares no band with probability 2e-6, a closer one
 with less; the sketch margin is over five standard deviations of the estimate.
@@ -31,12 +33,12 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm import textkit as tk
 from lodeframe.llm.graph import components
-from lodeframe.llm.store import checkpoint
+from lodeframe.llm.store import checkpoint, parts
 
-BANDS, ROWS, SKETCH_BITS = 28, 6, 512
+BANDS, ROWS, SKETCH_BITS, SET_BITS = 28, 6, 512, 1024
 SAMPLES = BANDS * ROWS
 SKETCH_MARGIN = 0.17
-STAR_ROUNDS, SMALL_BUCKET = 3, 16
+LEADERS, BLOCK, GROUP_ROWS = 3, 1024, 20_000
 
 _rng = np.random.default_rng(6)
 _FACTOR = (_rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -72,6 +74,11 @@ def odd_sketch(samples: np.ndarray) -> bytes:
     return np.packbits(np.bincount(place.astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
 
 
+def set_sketch(shingles: np.ndarray) -> bytes:
+    """The parity of the number of the set's elements that fall on each bit."""
+    return np.packbits(np.bincount((shingles & np.uint64(SET_BITS - 1)).astype(np.int64), minlength=SET_BITS).astype(np.uint8) & 1).tobytes()
+
+
 def sketched_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard estimates of rows of sketches from the population count of their XOR."""
     differ = np.bitwise_count(a ^ b).sum(axis=1)
@@ -92,7 +99,7 @@ def _sketch(width: int):
                         samples = signature(found)
                         keys = tk.rolling(samples.astype(np.uint64) + np.uint64(1), ROWS)[::ROWS]
                         bands.append(tk.mix(keys + salt).view(np.int64))
-                        sketches.append(odd_sketch(samples))
+                        sketches.append(odd_sketch(samples) + set_sketch(found))
                     else:
                         bands.append(np.empty(0, np.int64))
                         sketches.append(b"")
@@ -107,19 +114,58 @@ def _sketch(width: int):
     return run
 
 
+def _possible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sizes and sketches (rows of bytes) allow den * intersection >= num * union."""
+    split = SKETCH_BITS // 8
+    differ = np.bitwise_count(a[:, split:] ^ b[:, split:]).sum(axis=1, dtype=np.int64)
+    allowed = (n_a + n_b) * (den - num) // (den + num)  # of elements in one set only
+    fits = (den * np.minimum(n_a, n_b) >= num * np.maximum(n_a, n_b)) & (differ <= allowed)
+    fits[fits] = sketched_similarity(a[fits, :split], b[fits, :split]) >= num / den - SKETCH_MARGIN
+    return fits
+
+
+def _bitmaps(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def _likely(num: int, den: int):
     """Pairs whose sizes and sketches allow num / den."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             get = lambda name: batch.column(batch.schema.get_field_index(name))
-            a, b = (np.frombuffer(b"".join(get(x).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for x in ("sketch_a", "sketch_b"))
-            n_a, n_b = (get(x).to_numpy() for x in ("n_a", "n_b"))
-            fits = den * np.minimum(n_a, n_b) >= num * np.maximum(n_a, n_b)
-            keep = pa.array(fits & (sketched_similarity(a, b) >= num / den - SKETCH_MARGIN))
-            yield pa.record_batch([get("a"), get("b")], ["a", "b"]).filter(keep)
+            if batch.num_rows:
+                keep = _possible(_bitmaps(get("sketch_a")), _bitmaps(get("sketch_b")), get("n_a").to_numpy(), get("n_b").to_numpy(), num, den)
+                yield pa.record_batch([get("a"), get("b")], ["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _compare(num: int, den: int):
+    """Possible pairs of different components in each block pair (key, x, y) of a table; rows of block x come first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        column = lambda name: table.column(name).chunk(0).to_numpy()
+        key, x, y, own, doc, component, n = map(column, ("key", "x", "y", "own", "doc_id", "component", "n_shingles"))
+        bits = _bitmaps(table.column("sketch").chunk(0))
+        order = np.lexsort((doc, own != x, y, x, key))
+        key, x, y, own, doc, component, n, bits = (z[order] for z in (key, x, y, own, doc, component, n, bits))
+        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        out = []
+        for begin, end in zip(new.tolist(), [*new[1:].tolist(), len(key)], strict=True):
+            low, high = component[begin:end].min(), component[begin:end].max()
+            if low == high:
+                continue
+            middle = begin + int((own[begin:end] == x[begin]).sum()) if x[begin] != y[begin] else end
+            for i in range(begin, middle):
+                others = np.arange(middle if middle < end or x[begin] != y[begin] else i + 1, end)
+                others = others[component[others] != component[i]]
+                if len(others):
+                    fits = others[_possible(np.broadcast_to(bits[i], (len(others), bits.shape[1])), bits[others], n[i], n[others], num, den)]
+                    out.append(np.column_stack([np.minimum(doc[i], doc[fits]), np.maximum(doc[i], doc[fits])]))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
@@ -148,34 +194,29 @@ def _confirm(width: int, num: int, den: int):
 
 
 def _links(members: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Confirmed links among all candidate pairs that decide components."""
+    """Confirmed links among candidate pairs; they hold all that decide components."""
+    spark = members.sparkSession
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
 
-    def judged(pairs: DataFrame) -> DataFrame:
-        likely = pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_likely(num, den), "a long, b long")
-        return likely.join(text("b"), "b").join(text("a"), "a").mapInArrow(_confirm(width, num, den), "a long, b long")
-
-    current = members.withColumn("component", F.col("doc_id"))
-    links = None
-    for step in range(STAR_ROUNDS + 1):
-        order = F.struct((F.col("doc_id") if not step else F.xxhash64("doc_id", F.lit(step))).alias("rank"), "doc_id", "component")
-        buckets = current.groupBy("key").agg(F.min(order).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
-        last = step == STAR_ROUNDS
-        if step and not last:
-            last = not buckets.filter(F.col("n") > SMALL_BUCKET).head(1)
-        if last:  # all pairs of different components that are left
-            rest = checkpoint(current.join(buckets.select("key"), "key", "left_semi"))
-            pairs = rest.alias("x").join(rest.alias("y"), "key").filter("x.component < y.component").select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-        else:
-            pairs = current.join(buckets, "key").filter("component != lead.component").select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b"))
-        found = checkpoint(judged(pairs.distinct()))
-        links = found if links is None else links.union(found)
-        if last:
-            return links
-        of = components(links)
-        current = checkpoint(members.join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-    return links
+    def confirmed(likely: DataFrame) -> DataFrame:
+        return checkpoint(likely.join(text("b"), "b").join(text("a"), "a").mapInArrow(_confirm(width, num, den), "a long, b long"))
+
+    rank = F.struct(F.xxhash64("doc_id", F.pmod("band", F.lit(LEADERS))).alias("rank"), "doc_id")
+    leaders = members.groupBy("key").agg(F.min(rank)["doc_id"].alias("leader"))
+    stars = members.join(leaders, "key").filter("doc_id != leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
+    links = confirmed(stars.join(side("b"), "b").join(side("a"), "a").mapInArrow(_likely(num, den), "a long, b long"))
+
+    of = components(links).withColumnRenamed("node", "doc_id")
+    current = members.join(of, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    open_keys = current.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rest = checkpoint(current.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rest.select("*", other.alias("other")).select("key", "own", "doc_id", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    groups = parts(spark, rest.count(), GROUP_ROWS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.join(sketches, "doc_id").withColumn("part", F.pmod(F.xxhash64("key", "x", "y"), F.lit(groups)))
+    found = dealt.groupBy("part").applyInArrow(_compare(num, den), "a long, b long").distinct()
+    return links.union(confirmed(found))
 
 
 def near_dedup(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -184,7 +225,7 @@ def near_dedup(documents: DataFrame, width: int = 5, num: int = 80, den: int = 1
     every = checkpoint(texts.mapInArrow(_sketch(width), "doc_id long, n_shingles long, digest_a long, digest_b long, bands array<long>, sketch binary"))
     classes = every.filter("doc_id is not null and n_shingles > 0").groupBy("digest_a", "digest_b", "n_shingles").agg(F.min("doc_id").alias("leader"))
     heads = every.drop("digest_a", "digest_b").join(classes.select(F.col("leader").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keys = heads.select("doc_id", F.explode("bands").alias("key"))
+    keys = heads.select("doc_id", F.posexplode("bands").alias("band", "key"))
     members = checkpoint(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key", "left_semi"))
     ids = members.select("doc_id").distinct()
     near_texts = checkpoint(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
