@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeframe.llm import textkit as tk
 from lodeframe.llm.training import labelled_sample
@@ -179,3 +180,16 @@ def quality(documents: DataFrame, labels: DataFrame, usable: Column, per_class:
             yield pa.record_batch([batch.column(0), pa.array(score_texts(model.value, tk.text_column(batch, "text")), pa.float64())], ["doc_id", "score"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def annotate(documents: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS) -> DataFrame:
+    """All rows and columns of documents, with the score as _score; rows don't move."""
+    at = {c.lower(): i for i, c in enumerate(documents.columns)}
+    model = documents.sparkSession.sparkContext.broadcast(fit(labelled_sample(documents, labels, "quality", usable, per_class, SAMPLE_BYTES)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = pa.array(score_texts(model.value, batch.column(at["text"]).cast(pa.string())), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "_score"])
+
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("_score", T.DoubleType())]))

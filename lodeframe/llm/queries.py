@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import fingerprint, mixing, near_dedup, nearest, packing, pii, quality, substring_dedup, toxicity, training
+from lodeframe.llm import fingerprint, mixing, near_dedup, nearest, packing, pii, quality, secrets, substring_dedup, toxicity, training
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find(_table(spark, sf_dir, "documents")))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(secrets.find(_table(spark, sf_dir, "documents")))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -60,5 +64,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_near_dedup, op4_toxicity, op5_pii, op7_nearest, op8_fingerprint, op9_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_near_dedup, op4_toxicity, op5_pii, op6_secrets, op7_nearest, op8_fingerprint, op9_packing, op10_substring_dedup)}
 ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op7_nearest": nearest.ORACLE}
