@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from lodeframe.plans import admission, scores
+
+MODULES = [scores, admission]
 
 
 def queries() -> dict:
@@ -14,4 +16,5 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark, sf_dir):
-    return next(iter(queries().values()))(spark, sf_dir)
+    """Interval scores, soft ratio and composite of every unit."""
+    return scores.g_composite(spark, sf_dir)
