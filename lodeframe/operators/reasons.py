@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lodeframe.functions.urls import content_key, fold_text, mask_addresses
+from lodeframe.functions.urls import content_key, mask_addresses
 
 # fixed values of the contract
 MOST_REASONS, CITATION_CHARS = 3, 8000
@@ -53,10 +53,9 @@ def renumbered(reasons: DataFrame, keys: list[str]) -> DataFrame:
     return reasons.withColumn("reason_id", F.concat(F.lit("r"), F.row_number().over(W.partitionBy(*keys).orderBy("pos")).cast("string")))
 
 
-def denied(text: Column, folded: bool = True) -> Column:
-    """The denied words that a text holds, seen through disguise; addresses count as one."""
-    seen = F.lower(fold_text(text) if folded else text)
-    return F.filter(F.array(*[F.lit(x) for x in [*DENIED, "://"]]), lambda w: F.contains(seen, w))
+def denied(seen: Column) -> Column:
+    """The denied words that a folded text holds; an address counts as one."""
+    return F.filter(F.array(*[F.lit(x) for x in [*DENIED, "://"]]), lambda w: F.contains(F.lower(seen), w))
 
 
 def premise_quotes(premises: DataFrame, docs: DataFrame, on: list[str], masked: bool = True) -> DataFrame:

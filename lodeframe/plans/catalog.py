@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodeframe.plans import admission, scores
+from lodeframe.plans import admission, evidence, scores
 
-MODULES = [scores, admission]
+MODULES = [scores, admission, evidence]
 
 
 def queries() -> dict:
