@@ -65,4 +65,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_near_dedup, op4_toxicity, op5_pii, op6_secrets, op7_nearest, op8_fingerprint, op9_packing, op10_substring_dedup)}
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op7_nearest": nearest.ORACLE}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_near_dedup": near_dedup.ORACLE, "op7_nearest": nearest.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}

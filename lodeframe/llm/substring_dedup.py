@@ -37,7 +37,7 @@ from lodeframe.llm.store import checkpoint, parts
 
 WINDOW, SEED = 50, 10
 FILTER_BITS = 27
-HOT_ROWS, HOT_MOST = 4096, 4096
+HOT_ROWS, HOT_MOST = 512, 4096
 BUCKET_BYTES = 24e6
 
 
@@ -198,3 +198,17 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, seed: int = SEED
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
     return texts.join(found, "doc_id", "left").mapInArrow(_remove(window, keep_text), schema)
+
+
+#: The query's SQL.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+least AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h),
+hit AS (SELECT doc_id, i FROM win JOIN least USING (h) WHERE first < doc_id),
+cover AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM hit),
+gone AS (SELECT doc_id, list(p) AS places FROM cover GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
