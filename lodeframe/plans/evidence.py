@@ -41,8 +41,9 @@ def h3_bm25(spark, sf):
 u AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM c),
 q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:8], ' ')), '[a-z0-9]+'), lambda x: length(x) > 2))) AS term FROM benchmark),
 s AS (SELECT query_id, doc_id, count(*) / sqrt(any_value(n)) AS score FROM q JOIN u USING (term) GROUP BY 1, 2),
-b AS (SELECT query_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) = 1)
-SELECT query_id, 'D' || b.doc_id AS doc_id, round(score, 8) AS score, 0 AS start, least(length(text), 240)::INT AS "end", text[1:240] AS text FROM b JOIN c USING (doc_id)""")
+b AS (SELECT query_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) = 1),
+z AS (SELECT i.query_id, coalesce(b.doc_id, (SELECT min(doc_id) FROM u)) AS doc_id, coalesce(score, 0.0) AS score FROM (SELECT DISTINCT query_id FROM q) i LEFT JOIN b USING (query_id))
+SELECT query_id, 'D' || z.doc_id AS doc_id, round(score, 8) AS score, 0 AS start, least(length(text), 240)::INT AS "end", text[1:240] AS text FROM z JOIN c USING (doc_id)""")
 def h4_overlap(spark, sf):
     """The best document by overlap; undated ones pass."""
     found = retrieval.overlap_best(_chunks(spark, sf), _queries(spark, sf), F.lit("2024-09-07").cast("date"))
