@@ -14,8 +14,8 @@ A document's set is its distinct shingles of `width` lower-cased words (fewer wo
 5. Odd sketches drop pairs: those of the samples, pairs far below the threshold; a second one, of the full set, whose
    XOR never counts more bits than elements differ, drops none that reach it. All others are confirmed on the full sets.
 
-With 28 bands of 6 samples a pair at similarity 0.85 shares no band with probability 2e-6, a closer one
-with less; the sketch margin is over five standard deviations of the estimate.
+The number of bands of 6 samples follows from the threshold, so that a pair right at it shares no band with probability
+2e-6 (28 bands at 0.85, 44 at 0.8), a closer one with less; the sketch margin is over five standard deviations.
 
 Defined cases: null, empty or wordless texts have n_shingles 0 and are their own component; a row with
 a null doc_id is linked with nothing (component_id null, kept true); rows that repeat a doc_id are one
@@ -24,6 +24,7 @@ document and all return; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,15 +36,19 @@ from lodeframe.llm import textkit as tk
 from lodeframe.llm.graph import components
 from lodeframe.llm.store import checkpoint, parts
 
-BANDS, ROWS, SKETCH_BITS, SET_BITS = 28, 6, 512, 1024
-SAMPLES = BANDS * ROWS
-SKETCH_MARGIN = 0.17
+ROWS, MISS, MOST_SAMPLES = 6, 2e-6, 6144
+SKETCH_BITS, SET_BITS, SKETCH_MARGIN = 512, 1024, 0.17
 LEADERS, BLOCK, GROUP_ROWS = 3, 1024, 20_000
 
 _rng = np.random.default_rng(6)
-_FACTOR = (_rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-_MASK = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)[:, None]
-_SALT = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
+_FACTOR = (_rng.integers(0, 1 << 31, MOST_SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+_MASK = _rng.integers(0, 1 << 32, MOST_SAMPLES, dtype=np.uint32)[:, None]
+_SALT = _rng.integers(0, 1 << 63, MOST_SAMPLES, dtype=np.uint64)
+
+
+def band_count(num: int, den: int) -> int:
+    """Bands after which a pair at the threshold shares none with probability MISS."""
+    return min(MOST_SAMPLES // ROWS, math.ceil(math.log(MISS) / math.log1p(-((num / den) ** ROWS)))) if num < den else 1
 
 
 def shingle_sets(part: tk.Slice, width: int) -> Iterator[np.ndarray]:
@@ -59,18 +64,18 @@ def shingle_sets(part: tk.Slice, width: int) -> Iterator[np.ndarray]:
             yield tk.rolling(hashes[first : first + count], count) if count else np.empty(0, np.uint64)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """SAMPLES minima of 32-bit hashes, one for each multiplier."""
+def signature(shingles: np.ndarray, samples: int) -> np.ndarray:
+    """So many minima of 32-bit hashes, one for each multiplier."""
     values = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+    least = np.full(samples, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(values), 4096):
-        np.minimum(least, ((values[None, at : at + 4096] ^ _MASK) * _FACTOR).min(axis=1), out=least)
+        np.minimum(least, ((values[None, at : at + 4096] ^ _MASK[:samples]) * _FACTOR[:samples]).min(axis=1), out=least)
     return least
 
 
 def odd_sketch(samples: np.ndarray) -> bytes:
     """The parity of the number of samples that fall on each bit."""
-    place = tk.mix(samples.astype(np.uint64) ^ _SALT) % np.uint64(SKETCH_BITS)
+    place = tk.mix(samples.astype(np.uint64) ^ _SALT[: len(samples)]) % np.uint64(SKETCH_BITS)
     return np.packbits(np.bincount(place.astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
 
 
@@ -79,16 +84,16 @@ def set_sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles & np.uint64(SET_BITS - 1)).astype(np.int64), minlength=SET_BITS).astype(np.uint8) & 1).tobytes()
 
 
-def sketched_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def sketched_similarity(a: np.ndarray, b: np.ndarray, samples: int) -> np.ndarray:
     """Jaccard estimates of rows of sketches from the population count of their XOR."""
     differ = np.bitwise_count(a ^ b).sum(axis=1)
     inside = np.maximum(1 - 2 * differ / SKETCH_BITS, 1e-9)
-    return 1 + SKETCH_BITS / (4 * SAMPLES) * np.log(inside)
+    return 1 + SKETCH_BITS / (4 * samples) * np.log(inside)
 
 
-def _sketch(width: int):
+def _sketch(width: int, bands_of_set: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = np.arange(BANDS, dtype=np.uint64)
+        salt = np.arange(bands_of_set, dtype=np.uint64)
         for batch in batches:
             sizes, digests, bands, sketches = [], [], [], []
             for part in tk.slices(tk.text_column(batch, "text")):
@@ -96,7 +101,7 @@ def _sketch(width: int):
                     sizes.append(len(found))
                     digests.append((tk.mix(found).sum(), tk.mix(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()))
                     if len(found):
-                        samples = signature(found)
+                        samples = signature(found, bands_of_set * ROWS)
                         keys = tk.rolling(samples.astype(np.uint64) + np.uint64(1), ROWS)[::ROWS]
                         bands.append(tk.mix(keys + salt).view(np.int64))
                         sketches.append(odd_sketch(samples) + set_sketch(found))
@@ -120,7 +125,7 @@ def _possible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, nu
     differ = np.bitwise_count(a[:, split:] ^ b[:, split:]).sum(axis=1, dtype=np.int64)
     allowed = (n_a + n_b) * (den - num) // (den + num)  # of elements in one set only
     fits = (den * np.minimum(n_a, n_b) >= num * np.maximum(n_a, n_b)) & (differ <= allowed)
-    fits[fits] = sketched_similarity(a[fits, :split], b[fits, :split]) >= num / den - SKETCH_MARGIN
+    fits[fits] = sketched_similarity(a[fits, :split], b[fits, :split], band_count(num, den) * ROWS) >= num / den - SKETCH_MARGIN
     return fits
 
 
@@ -222,7 +227,7 @@ def _links(members: DataFrame, sketches: DataFrame, texts: DataFrame, width: int
 def near_dedup(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row; links have den * intersection >= num * union."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = checkpoint(texts.mapInArrow(_sketch(width), "doc_id long, n_shingles long, digest_a long, digest_b long, bands array<long>, sketch binary"))
+    every = checkpoint(texts.mapInArrow(_sketch(width, band_count(num, den)), "doc_id long, n_shingles long, digest_a long, digest_b long, bands array<long>, sketch binary"))
     classes = every.filter("doc_id is not null and n_shingles > 0").groupBy("digest_a", "digest_b", "n_shingles").agg(F.min("doc_id").alias("leader"))
     heads = every.drop("digest_a", "digest_b").join(classes.select(F.col("leader").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     keys = heads.select("doc_id", F.posexplode("bands").alias("band", "key"))
