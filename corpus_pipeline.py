@@ -22,8 +22,9 @@ def _one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def _masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
-    return pii.mask(docs)
+    """Personal data is replaced by its kind; n_chars follows."""
+    masked = pii.mask(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(masked.schema["n_chars"].dataType)) if "n_chars" in masked.columns else masked
 
 
 def _mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
