@@ -182,14 +182,16 @@ def quality(documents: DataFrame, labels: DataFrame, usable: Column, per_class:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
-def annotate(documents: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS) -> DataFrame:
-    """All rows and columns of documents, with the score as _score; rows don't move."""
+def annotate(documents: DataFrame, labels: DataFrame, usable: Column, name: str = "quality_score", per_class: int = PER_CLASS) -> DataFrame:
+    """All rows and columns of documents, with the score in the new column name; rows don't move."""
+    if name.lower() in (c.lower() for c in documents.columns):
+        raise ValueError(f"documents have a column {name}")
     at = {c.lower(): i for i, c in enumerate(documents.columns)}
     model = documents.sparkSession.sparkContext.broadcast(fit(labelled_sample(documents, labels, "quality", usable, per_class, SAMPLE_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = pa.array(score_texts(model.value, batch.column(at["text"]).cast(pa.string())), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, name])
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())]))

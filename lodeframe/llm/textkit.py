@@ -122,6 +122,8 @@ def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     """The rows of a string column in slices of about limit bytes; a null is an empty text."""
+    if not len(column):
+        return
     if column.null_count:
         column = column.fill_null("")
     _, offsets, data = column.buffers()
