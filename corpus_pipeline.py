@@ -11,8 +11,9 @@ from lodeframe.llm import mixing, near_dedup, packing, pii, quality, queries, tr
 def _good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; the folds are those of its query."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scores = quality.annotate(docs, labels, training.fold("doc_id", 3) != 1)
-    return scores.filter(F.col("_score") >= 0.5).drop("_score")
+    name = "_".join([*docs.columns, "score"])  # no column has it
+    scores = quality.annotate(docs, labels, training.fold("doc_id", 3) != 1, name)
+    return scores.filter(F.col(f"`{name}`") >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
