@@ -24,12 +24,13 @@ from pyspark.sql.window import Window as W
 from lodeframe.llm.store import checkpoint
 
 WORD = r"[^\x20\x09-\x0D]+"
-EPOCHS, SEED, PREFIX = 3, "mix-1", 3
+EPOCHS, SEED, PREFIX_BITS = 3, "mix-1", 12
 BROADCAST_SOURCES = 10_000
 
 
 def _rank(doc_id: Column) -> Column:
-    return F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    """60 bits of a seeded hash, as a number, so that sums and minima over it aggregate by hash."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Column | None = None, epochs: int = EPOCHS) -> DataFrame:
@@ -67,23 +68,24 @@ def _taken(documents: DataFrame, columns: list[str], weights: Column | None, epo
     hint = F.broadcast if small else (lambda x: x)
 
     fraction = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
-    prefix = F.substring("rank", 1, PREFIX)
+    prefix = F.shiftright("rank", 60 - PREFIX_BITS)
     running = W.partitionBy("source_key").orderBy("prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
     sums = narrow.groupBy("source_key", prefix.alias("prefix")).agg(F.sum("size").alias("words")).withColumn("until", F.sum("words").over(running)).join(hint(fraction.select("source_key", "rest")), "source_key")
-    # the prefix in which the sample ends, and the words of those before it
-    ends = sums.filter("until > rest").groupBy("source_key").agg(F.min(F.struct("prefix", "until", "words")).alias("end")).select("source_key", F.col("end.prefix").alias("prefix"), (F.col("end.until") - F.col("end.words")).alias("before"))
-    plan = checkpoint(fraction.join(ends, "source_key", "left"))
+    # the prefix in which the sample ends, and the words of those before it; its sum is over the rest for the first time
+    ends = sums.filter("until > rest and until - words <= rest").groupBy("source_key").agg(F.min("prefix").alias("prefix"), F.min(F.col("until") - F.col("words")).alias("before"))
+    plan = checkpoint(fraction.join(hint(ends), "source_key", "left"))
     order = W.partitionBy("source_key").orderBy("rank", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     last = narrow.join(hint(plan.select("source_key", F.col("prefix").alias("end_prefix"), "before", "rest")), "source_key").filter(prefix == F.col("end_prefix"))
-    last = last.withColumn("until", F.sum("size").over(order) + F.col("before")).withColumn("inside", F.col("until") <= F.col("rest"))
-    edge = last.filter("inside").groupBy("source_key").agg(F.max(F.struct("rank", "size")).alias("edge"), F.max("until").alias("reached"))
-    plan = plan.join(edge, "source_key", "left").withColumn("gap", F.col("rest") - F.coalesce("reached", "before", F.lit(0)))
+    last = last.withColumn("until", F.sum("size").over(order) + F.col("before"))
+    edge = last.filter("until <= rest").groupBy("source_key").agg(F.max("rank").alias("edge"), F.max("until").alias("reached"))
+    plan = checkpoint(plan.join(hint(edge), "source_key", "left").withColumn("gap", F.round(F.col("rest") - F.coalesce("reached", "before", F.lit(0))).cast("long")))
     # documents up to the edge are in; the nearest of the others closes the gap
-    is_in = F.coalesce(prefix < F.col("prefix"), F.lit(True)) | F.coalesce((prefix == F.col("prefix")) & (F.struct("rank", "size") <= F.col("edge")), F.lit(False))
-    nearest = narrow.join(hint(plan.select("source_key", "prefix", "edge", "gap")), "source_key").filter(~is_in & (F.abs(F.col("gap") - F.col("size")) < F.col("gap"))).groupBy("source_key").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "size")).alias("extra"))
-    plan = plan.join(nearest, "source_key", "left")
-    plan = checkpoint(plan.select("source_key", "source_size", "target", "epochs", "prefix", "edge", F.col("extra.rank").alias("extra_rank"), F.col("extra.size").alias("extra_size")))
-    taken_too = is_in | F.coalesce((F.col("rank") == F.col("extra_rank")) & (F.col("size") == F.col("extra_size")), F.lit(False))
+    is_in = F.coalesce(prefix < F.col("prefix"), F.lit(True)) | F.coalesce((prefix == F.col("prefix")) & (F.col("rank") <= F.col("edge")), F.lit(False))
+    others = narrow.join(hint(plan.select("source_key", "prefix", "edge", "gap")), "source_key").withColumn("off", F.abs(F.col("gap") - F.col("size"))).filter(~is_in & (F.col("off") < F.col("gap")))
+    least = checkpoint(others.groupBy("source_key").agg(F.min("off").alias("least")))
+    nearest = others.join(hint(least), "source_key").filter("off = least").groupBy("source_key").agg(F.min("rank").alias("extra"))
+    plan = checkpoint(plan.join(hint(nearest), "source_key", "left").select("source_key", "source_size", "target", "epochs", "prefix", "edge", "extra"))
+    taken_too = is_in | F.coalesce(F.col("rank") == F.col("extra"), F.lit(False))
     joined = rows.join(hint(plan), "source_key").withColumn("copies", F.col("epochs") + F.when(taken_too, 1).otherwise(0))
     return joined.select(*columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -107,7 +109,7 @@ def mix_documents(documents: DataFrame, weights: Column | None = None, epochs: i
 #: The query's SQL: the same water level and the same seeded sample.
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS rank FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, ''))[1:15] AS rank FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source
 ), c AS (
@@ -128,7 +130,7 @@ WITH d AS (
          sum(size) OVER (PARTITION BY d.source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS until
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), g AS (
-  SELECT source, any_value(rest) - coalesce(max(until) FILTER (until <= rest), 0) AS gap FROM q GROUP BY source
+  SELECT source, round(any_value(rest) - coalesce(max(until) FILTER (until <= rest), 0)) AS gap FROM q GROUP BY source
 ), x AS (
   SELECT q.source, arg_min(q.doc_id, (abs(g.gap - q.size), q.rank)) AS extra
   FROM q JOIN g ON q.source IS NOT DISTINCT FROM g.source
