@@ -123,3 +123,12 @@ def truth_fault(aligned: DataFrame, keys: list[str]) -> DataFrame:
     uncovered = F.count_if(F.col("y").isNull() & F.col("true_label").isNull())
     numeric = F.max(F.col("target_type").isin("regression", "ranking"))
     return aligned.groupBy(*keys).agg(F.when(uncovered > 0, "uncovered").when(bad > 0, "not_finite").when((y > 0) & (y < n), "partly_numeric").when(numeric & (y < n), "numeric_truth_required").alias("truth_fault"))
+
+
+def schema_faults(answer: Column) -> Column:
+    """How many required parts a parsed answer lacks: ids, intervals with their three numbers, and claims with their four parts."""
+    lacks = lambda *xs: sum((x.isNull().cast("int") for x in xs), F.lit(0))
+    claim = lambda c: lacks(c["doc_id"], c["span_start"], c["span_end"], F.coalesce(c["claim"], c["text"]))
+    total = lambda xs: F.coalesce(F.aggregate(xs, F.lit(0), lambda a, x: a + x), F.lit(0))
+    row = lambda r: lacks(r["entity_id"], r["interval"]["level"], r["interval"]["lo"], r["interval"]["hi"]) + (F.coalesce(F.size(r["claims"]), F.lit(0)) <= 0).cast("int") + total(F.transform(r["claims"], claim))
+    return lacks(answer["task_id"]) + (F.coalesce(F.size(answer["entity_predictions"]), F.lit(0)) <= 0).cast("int") + total(F.transform(answer["entity_predictions"], row))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodeframe.plans import admission, evidence, scores
+from lodeframe.plans import admission, evidence, lifecycle, scores
 
-MODULES = [scores, admission, evidence]
+MODULES = [scores, admission, evidence, lifecycle]
 
 
 def queries() -> dict:
