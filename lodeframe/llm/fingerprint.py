@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm import textkit as tk
-from lodeframe.llm.store import parts
+from lodeframe.llm.store import bounded_batches, parts
 
 WIDTH, SHIFT = 16, 4  # the retained fraction is 2**-SHIFT
 PART_BYTES, MOST_PARTS = 16e6, 4096
@@ -101,6 +101,7 @@ def fingerprints(documents: DataFrame, width: int = WIDTH, shift: int = SHIFT) -
             found = [as_text(x) for x in sketches(tk.text_column(batch, "text"), width, shift)]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
 
+    bounded_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
@@ -167,6 +168,7 @@ def _compared(width: int, shift: int):
 def edited_fingerprints(documents: DataFrame, width: int = WIDTH, shift: int = SHIFT) -> DataFrame:
     """The columns of OUT for each row of documents."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     steps = [k / 512 for k in range(1, 512)]
     size, total, low = texts.agg(F.sum(F.octet_length("text")), F.count("doc_id"), F.percentile_approx("doc_id", steps, 10000)).first()

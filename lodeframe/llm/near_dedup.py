@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm import textkit as tk
 from lodeframe.llm.graph import components
-from lodeframe.llm.store import checkpoint, parts
+from lodeframe.llm.store import bounded_batches, checkpoint, parts
 
 ROWS, MISS, MOST_SAMPLES = 6, 2e-6, 6144
 SKETCH_BITS, SET_BITS, SKETCH_MARGIN = 512, 1024, 0.17
@@ -226,6 +226,7 @@ def _links(members: DataFrame, sketches: DataFrame, texts: DataFrame, width: int
 
 def near_dedup(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row; links have den * intersection >= num * union."""
+    bounded_batches(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = checkpoint(texts.mapInArrow(_sketch(width, band_count(num, den)), "doc_id long, n_shingles long, digest_a long, digest_b long, bands array<long>, sketch binary"))
     classes = every.filter("doc_id is not null and n_shingles > 0").groupBy("digest_a", "digest_b", "n_shingles").agg(F.min("doc_id").alias("leader"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm import textkit as tk
-from lodeframe.llm.store import checkpoint, parts
+from lodeframe.llm.store import bounded_batches, checkpoint, parts
 
 GROUP, CACHE = 8192, 300_000
 _encoders: dict[str, object] = {}
@@ -174,6 +174,7 @@ def _pack(limit: int):
 def pack(documents: DataFrame, path: str, limit: int = 1024, end_id: int = 2, group: int = GROUP, with_ids: bool = False) -> DataFrame:
     """PIECES, sequence_id, offset and, if asked for, the piece's ids (little-endian uint32) for each piece."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = PIECES + ", ids binary" * with_ids
     made = checkpoint(texts.mapInArrow(_pieces(path, limit, end_id, with_ids), schema))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeframe.llm import textkit as tk
+from lodeframe.llm.store import bounded_batches
 from lodeframe.llm.training import labelled_sample
 
 PASSAGE = 48
@@ -173,6 +174,7 @@ def score_texts(model: Model | float, column: pa.Array) -> np.ndarray:
 
 def quality(documents: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id and score of each row; the model is fitted on labels.quality of ids for which usable holds."""
+    bounded_batches(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(fit(labelled_sample(documents, labels, "quality", usable, per_class, SAMPLE_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +189,7 @@ def annotate(documents: DataFrame, labels: DataFrame, usable: Column, name: str
     if name.lower() in (c.lower() for c in documents.columns):
         raise ValueError(f"documents have a column {name}")
     at = {c.lower(): i for i, c in enumerate(documents.columns)}
+    bounded_batches(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(fit(labelled_sample(documents, labels, "quality", usable, per_class, SAMPLE_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,3 +22,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def parts(spark: SparkSession, size: float, each: float, least: int = 1) -> int:
     """How many parts hold size in portions of about each."""
     return max(least, int(-(-size // each)))
+
+
+BATCH_ROWS = 512
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows: texts are long, and a batch is held whole by JVM and Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

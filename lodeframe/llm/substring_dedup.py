@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm import textkit as tk
-from lodeframe.llm.store import checkpoint, parts
+from lodeframe.llm.store import bounded_batches, checkpoint, parts
 
 WINDOW, SEED = 50, 10
 FILTER_BITS = 27
@@ -167,6 +167,7 @@ def _remove(window: int, keep_text: bool):
 def repeated_places(documents: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id and places (a list of packed int32 word positions) of the windows that smaller documents hold."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     texts = _kept_texts(documents)
     shared = checkpoint(
         texts.mapInArrow(_minimisers(window, seed), "minimiser long, doc_id long")

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm import textkit as tk
+from lodeframe.llm.store import bounded_batches
 from lodeframe.llm.training import labelled_sample, logistic
 
 PER_CLASS, SAMPLE_BYTES = 1000, 16_000
@@ -128,6 +129,7 @@ def score_texts(model: Model | float, texts: list[str]) -> np.ndarray:
 
 def toxicity(documents: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id and score of each row; the model is fitted on labels.toxic of ids for which usable holds."""
+    bounded_batches(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(fit(labelled_sample(documents, labels, "toxic", usable, per_class, SAMPLE_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
