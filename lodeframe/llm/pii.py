@@ -57,7 +57,7 @@ def _luhn(d: Column) -> Column:
 def _valid(s: Column) -> Column:
     """Whether a match passes the rule of its kind."""
     d = _digits(s["match"])
-    octet = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    octet = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
     return (
         F.when(s["kind"] == "email", True)
         .when(s["kind"] == "ip", s["match"].rlike(rf"^{octet}(?:\.{octet}){{3}}$"))
