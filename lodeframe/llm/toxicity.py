@@ -1,7 +1,8 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and ordinary text.
 
 Both dictionaries hold the commonest words of the sample. The toxic one also holds the words of toxic texts that carry
-distinctive byte n-grams: those of many more toxic than ordinary texts. A window of text is compressed with each; the
+distinctive byte n-grams: those of many more toxic than ordinary texts. The lower the ratio, the surer the difference has to be: a
+language with few texts has telling n-grams that its ordinary texts hold too, at a low ratio over all texts. A window of text is compressed with each; the
 difference of the lengths is what the toxic dictionary explains that the ordinary one doesn't.
 
 A window is one word (a run of at most WINDOW_BYTES bytes between white space, lower case), set between
@@ -34,6 +35,7 @@ from lodeframe.llm.training import labelled_sample, logistic
 
 PER_CLASS, SAMPLE_BYTES = 1000, 16_000
 GRAM, LEAST_SHARE, LEAST_RATIO = 5, 0.02, 20
+SURE_RATIO, SURE_Z = 3, 5
 COMMON_WORDS, TOXIC_WORDS = 4000, 300
 WINDOW_BYTES, LEVEL, CACHE = 40, 12, 300_000
 CARRIER = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ#"
@@ -48,6 +50,20 @@ def windows(text: str) -> list[bytes]:
     return [w[i : i + WINDOW_BYTES] for w in found for i in range(0, len(w), WINDOW_BYTES)]
 
 
+def telling(toxic: Counter, ordinary: Counter, n_toxic: int, n_plain: int) -> set[bytes]:
+    """The n-grams that tell toxic texts, from the numbers of texts that hold each: by a large ratio, or a smaller one that is significant."""
+    found = set()
+    for g, n in toxic.items():
+        ratio = n / n_toxic / ((ordinary[g] + 0.5) / n_plain)
+        if n < max(3, LEAST_SHARE * n_toxic) or ratio < SURE_RATIO:
+            continue
+        p = (n + ordinary[g]) / (n_toxic + n_plain)
+        spread = (p * (1 - p) * (1 / n_toxic + 1 / n_plain)) ** 0.5
+        if ratio >= LEAST_RATIO or n / n_toxic - ordinary[g] / n_plain >= SURE_Z * spread:
+            found.add(g)
+    return found
+
+
 @dataclass(frozen=True)
 class Model:
     ordinary: bytes
@@ -98,14 +114,15 @@ def fit(sample: list[tuple[str, int]]) -> Model | float:
         grams[of] = Counter()
         for text in own:
             grams[of].update({x[i : i + GRAM] for w in windows(text) for x in (b" " + w + b" ",) for i in range(max(1, len(x) - GRAM + 1))})
-    n_toxic, n_plain = len(texts[1]), len(texts[0])
-    telling = {g for g, n in grams[1].items() if n >= max(3, LEAST_SHARE * n_toxic) and n / n_toxic >= LEAST_RATIO * (grams[0][g] + 0.5) / n_plain}
+    told = telling(grams[1], grams[0], len(texts[1]), len(texts[0]))
     toxic, common = Counter(), Counter()
     for of, own in texts.items():
         for text in own:
             for w in windows(text):
                 x = b" " + w + b" "
-                (toxic if of and any(x[i : i + GRAM] in telling for i in range(len(x) - GRAM + 1)) else common)[w] += 1
+                tells = any(x[i : i + GRAM] in told for i in range(len(x) - GRAM + 1))
+                if of or not tells:  # a word that tells is explained by the toxic dictionary only
+                    (toxic if tells else common)[w] += 1
     content = lambda words, n: b"".join(b" " + w for w, _ in reversed(words.most_common(n)))  # noqa: E731  commonest last, where offsets are short
     ordinary = content(common, COMMON_WORDS)
     scorer = Scorer(ordinary, both := ordinary + content(toxic, TOXIC_WORDS))

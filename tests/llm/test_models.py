@@ -198,6 +198,22 @@ def test_classifiers_hold_out(spark, module, function, of, good, bad):
     assert {r.score for r in none.collect()} == {0.5}
 
 
+def test_toxic_words_of_a_small_language_are_found():
+    def text(i):
+        small, bad = i % 5 == 0, i % 4 == 0
+        own = "".join(chr(ord(c) + 7) if c.isalpha() else c for c in prose(i, 60)) if small else prose(i, 60)
+        often = 9 if bad else int(i % 11 == 0)  # ordinary texts of the small language hold the stem too, more seldom
+        word = " ".join(("bächlork" if k < often else "zu") + "um" for k in range(9)) if small else "snorklewit" if bad else "of"
+        return own + " " + word, int(bad)
+
+    model = toxicity.fit([text(i) for i in range(600)])
+    found = [s >= 0.5 for s in toxicity.score_texts(model, [text(i)[0] for i in range(600, 1200)])]
+    for small in (False, True):
+        for bad in (False, True):
+            own = [f for i, f in enumerate(found, 600) if (i % 5 == 0) == small and (i % 4 == 0) == bad]
+            assert sum(f == bad for f in own) >= 0.9 * len(own), (small, bad)
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     shapes = {"e": (5, 4), "eb": (4,), "v": (4, 3), "u": (4, 3), "a": (3,), "o": (4,), "ob": (1,)}
