@@ -86,6 +86,21 @@ def test_masked_address_is_added_and_masked(spark):
     assert got[99] is None and got[3] == "please mail <masked> number 3 or <email>"
 
 
+def test_tokens_after_marks_are_candidates(spark):
+    import random
+    import string
+
+    r = random.Random(2)
+    made = ["".join(r.choice(string.ascii_letters + string.digits) for _ in range(40)) for _ in range(160)]
+    marks = ["private_key=", "sig=", "AWS_SECRET_ACCESS_KEY=", "a.b.", "key: ", "key:", 'key="', "key='"]
+    texts = [f"{marks[i % 8]}{t} end" for i, t in enumerate(made)] + [".".join(made[:3]), "=" * 3 + made[0] + "==", "x" * 9 + "=" + "1" * 3000]
+    got = {x.doc_id: x.spans for x in secrets.summary(secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for k, mark in enumerate(marks):
+        hits = [f"random:{len(mark)}:{len(mark) + 40}" in got[i].split(",") for i in range(k, 160, 8)]
+        assert sum(hits) >= 16, (mark, sum(hits))
+    assert got[160] and got[161] == "random:3:45"
+
+
 def test_em_finds_the_bad_labeler():
     counts = {"+++000": 50, "---000": 50, "++-000": 3, "--+000": 3}
     chance = pii.estimate(counts)
