@@ -13,6 +13,14 @@ from lodeframe.session import table
 query = Registry()
 
 
+def _roster_check(spark, sf, orders):
+    customer = table(spark, sf, "customer")
+    roster = customer.filter("c_custkey % 7 <> 0").select(F.col("c_nationkey").alias("unit_id"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("entity_id"))
+    placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    pred = placed.select(F.col("c_nationkey").alias("unit_id"), F.when(F.col("o_orderkey") % 97 == 0, "").otherwise(F.concat(F.lit("C"), F.col("c_custkey").cast("string"))).alias("entity_id"))
+    return alignment.roster_check(roster, pred, ["unit_id"])
+
+
 @query("""WITH roster AS (SELECT c_nationkey AS unit_id, 'C' || c_custkey AS entity_id FROM customer WHERE c_custkey % 7 <> 0),
 pred AS (SELECT c_nationkey AS unit_id, CASE WHEN o_orderkey % 97 = 0 THEN '' ELSE 'C' || c_custkey END AS entity_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 10 = 0),
 e AS (SELECT unit_id, entity_id, sum(r) AS r, sum(p) AS p FROM (SELECT unit_id, entity_id, 1 AS r, 0 AS p FROM roster UNION ALL SELECT unit_id, entity_id, 0, 1 FROM pred) GROUP BY 1, 2),
@@ -21,11 +29,13 @@ c AS (SELECT unit_id, sum(CASE WHEN entity_id = '' THEN p ELSE 0 END)::BIGINT AS
 SELECT *, CASE WHEN malformed > 0 THEN 'malformed' WHEN duplicate > 0 THEN 'duplicate' WHEN unknown > 0 THEN 'unknown' WHEN missing > 0 THEN 'missing' END AS reason FROM c""")
 def b5_roster_check(spark, sf):
     """Set equality of roster and predictions with four counters and one reason."""
-    customer = table(spark, sf, "customer")
-    roster = customer.filter("c_custkey % 7 <> 0").select(F.col("c_nationkey").alias("unit_id"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("entity_id"))
-    orders = table(spark, sf, "orders").filter("o_orderkey % 10 = 0").join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    pred = orders.select(F.col("c_nationkey").alias("unit_id"), F.when(F.col("o_orderkey") % 97 == 0, "").otherwise(F.concat(F.lit("C"), F.col("c_custkey").cast("string"))).alias("entity_id"))
-    return alignment.roster_check(roster, pred, ["unit_id"])
+    return _roster_check(spark, sf, table(spark, sf, "orders").filter("o_orderkey % 10 = 0"))
+
+
+@query()
+def b5_roster_check_all(spark, sf):
+    """The same over all orders; the SQL of b5_roster_check reads one in ten."""
+    return _roster_check(spark, sf, table(spark, sf, "orders"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'interval_absent' WHEN event_id % 8 = 0 THEN 'level_mismatch' WHEN event_id % 7 = 0 THEN 'not_finite' WHEN value - 2 > CASE WHEN event_id % 5 = 0 THEN 1.0 ELSE value + 2 END THEN 'reversed' END AS fault FROM events""")

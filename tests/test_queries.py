@@ -42,3 +42,21 @@ def test_window_choice_by_arrow_is_the_best(spark):
     whole = "Rates rose. " * 20 + "\nGuidance for copper was cut sharply. " + "Nothing else. " * 20
     assert "copper" in whole[text.best_start(whole, 120, "copper guidance cut") :][:120]
     assert text.best_start(whole, len(whole), "copper") == 0
+
+
+def test_roster_check_counts_all_orders(spark, sf):
+    from collections import Counter
+
+    con = duckdb.connect()
+    nation = dict(con.sql(f"select c_custkey, c_nationkey from '{sf}/customer.parquet'").fetchall())
+    roster = {(n, f"C{c}") for c, n in nation.items() if c % 7}
+    orders = con.sql(f"select o_orderkey, o_custkey from '{sf}/orders.parquet'").fetchall()
+    made = Counter((nation[c], "" if k % 97 == 0 else f"C{c}") for k, c in orders if c in nation)
+    expected = {}
+    for unit in {u for u, _ in [*roster, *made]}:
+        own = {e: n for (u, e), n in made.items() if u == unit and e}
+        asked = {e for u, e in roster if u == unit}
+        expected[unit] = (made[unit, ""], sum(n - 1 for n in own.values()), len(set(own) - asked), len(asked - set(own)))
+    got = catalog.queries()["b5_roster_check_all"](spark, sf).collect()
+    assert {r.unit_id: (r.malformed, r.duplicate, r.unknown, r.missing) for r in got} == expected
+    assert sum(made.values()) == len(orders)
