@@ -20,8 +20,9 @@ def _chunks(spark, sf):
     return table(spark, sf, "documents").select(F.concat(F.lit("D"), d.cast("string")).alias("doc_id"), F.when(d % 13 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (d % 300).cast("int"))).alias("doc_date"), (d % 5 * 10).cast("int").alias("start"), d.cast("int").alias("pos"), "text")
 
 
-def _queries(spark, sf, words: int = 8):
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, words), " ").alias("query"))
+def _queries(spark, sf, words: int | None = 8):
+    text = F.col("text") if words is None else F.array_join(F.slice(F.split("text", " "), 1, words), " ")
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"))
 
 
 @query("""WITH c AS (SELECT 'D' || doc_id AS doc_id, (doc_id % 5 * 10)::INT AS start, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1) AS terms FROM documents WHERE doc_id % 13 <> 0 AND doc_id % 300 <= 250),
@@ -37,6 +38,13 @@ def h3_bm25(spark, sf):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query()
+def h3_bm25_whole(spark, sf):
+    """The same for whole passages; the SQL of h3_bm25 cuts them to eight words."""
+    found = retrieval.bm25(_chunks(spark, sf), _queries(spark, sf, None), F.lit("2024-09-07").cast("date"), 5)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("""WITH c AS (SELECT doc_id, text, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2) AS terms FROM documents WHERE doc_id % 13 = 0 OR doc_id % 300 <= 250),
 u AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM c),
 q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:8], ' ')), '[a-z0-9]+'), lambda x: length(x) > 2))) AS term FROM benchmark),
@@ -50,6 +58,13 @@ def h4_overlap(spark, sf):
     return found.withColumn("score", F.round("score", 8))
 
 
+@query()
+def h4_overlap_whole(spark, sf):
+    """The same for whole passages; the SQL of h4_overlap cuts them to eight words."""
+    found = retrieval.overlap_best(_chunks(spark, sf), _queries(spark, sf, None), F.lit("2024-09-07").cast("date"))
+    return found.withColumn("score", F.round("score", 8))
+
+
 @query("""WITH p AS (SELECT d.doc_id, d.text, b.text[1:40] AS quote FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id
 UNION ALL SELECT doc_id + 1000000, text, replace(text[21:50], '''', '’') FROM documents)
 SELECT doc_id, CASE WHEN trim(quote) = '' THEN NULL WHEN instr(text, trim(quote)) > 0 THEN instr(text, trim(quote)) - 1 WHEN instr(text, replace(trim(quote), '’', '''')) > 0 THEN instr(text, replace(trim(quote), '’', '''')) - 1 END::INT AS start FROM p""")
@@ -124,6 +139,12 @@ def c19_content_key(spark, sf):
     return d.select("doc_id", F.md5(urls.content_key("text")).alias("key"))
 
 
+@query()
+def c19_content_key_all(spark, sf):
+    """The same for all languages and characters, which the SQL of c19_content_key leaves out."""
+    return table(spark, sf, "documents").select("doc_id", F.md5(urls.content_key("text")).alias("key"))
+
+
 STATED = "'Total was $' || printf('%.2f', o_totalprice) || ' in 12 weeks to March 31, 2025; see Item 2.02 and 10-K'"
 
 

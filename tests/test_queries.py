@@ -60,3 +60,64 @@ def test_roster_check_counts_all_orders(spark, sf):
     got = catalog.queries()["b5_roster_check_all"](spark, sf).collect()
     assert {r.unit_id: (r.malformed, r.duplicate, r.unknown, r.missing) for r in got} == expected
     assert sum(made.values()) == len(orders)
+
+
+def _read(sf, sql):
+    con = duckdb.connect()
+    for name in TABLES:
+        con.sql(f"create view {name} as select * from '{sf}/{name}.parquet'")
+    return con.sql(sql).fetchall()
+
+
+def test_content_keys_of_all_documents(spark, sf):
+    import hashlib
+    import unicodedata
+
+    docs = _read(sf, "select doc_id, text from documents")
+    plain = lambda t: " ".join("".join(c for c in unicodedata.normalize("NFC", t) if unicodedata.category(c) != "Cf").casefold().split())
+    got = catalog.queries()["c19_content_key_all"](spark, sf).collect()
+    assert sorted((r.doc_id, r.key) for r in got) == sorted((i, t if t is None else hashlib.md5(plain(t).encode()).hexdigest()) for i, t in docs)
+
+
+def test_quotes_of_all_documents_are_grounded(spark, sf):
+    import re
+
+    expected = {}
+    white = lambda t: set(re.split(r"[ \t\n\x0b\f\r]+", t.strip(" ").lower()))
+    fold = lambda t: t.translate(str.maketrans("‘’“”–—\u00a0", "''\"\"-- "))
+    for i, t in _read(sf, "select doc_id, coalesce(text, '') from documents"):
+        quote = (t[5:25], "zz " + t.lower().split(" ")[0] + " qq", "zz qq")[i % 3].strip(" ")
+        stands = quote and (quote in t or fold(quote) in fold(t))
+        expected[i] = "quote" if stands else "chunk" if white(quote) & white(t) else None
+    got = {r.quote_id: r.how for r in catalog.queries()["i5_ground_all"](spark, sf).collect()}
+    assert got == expected
+
+
+def test_whole_passages_are_asked(spark, sf):
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    terms = lambda t, n: [x for x in re.findall("[a-z0-9]+", t.lower()) if len(x) > n]
+    docs = _read(sf, "select doc_id, text from documents")
+    asked = _read(sf, "select item_id, text from benchmark")
+    chunks = {f"D{i}": Counter(terms(t or "", 1)) for i, t in docs if i % 13 and i % 300 <= 250}
+    mean = sum(c.total() for c in chunks.values()) / len(chunks)
+    df = Counter(x for c in chunks.values() for x in c)
+    best = defaultdict(list)
+    for q, text in asked:
+        own = set(terms(text, 1))
+        for d, c in chunks.items():
+            score = sum(math.log(1 + (len(chunks) - df[x] + 0.5) / (df[x] + 0.5)) * c[x] * 2.5 / (c[x] + 1.5 * (0.25 + 0.75 * c.total() / mean)) for x in own if c[x])
+            if score:
+                best[q].append(score)
+    got = defaultdict(list)
+    for r in catalog.queries()["h3_bm25_whole"](spark, sf).collect():
+        got[r.query_id].append(r.score)
+    assert set(got) == set(best)
+    for q in best:
+        assert sorted(got[q]) == pytest.approx(sorted(best[q])[-5:], abs=2e-6)
+    over = {i: Counter(terms(t or "", 2)) for i, t in docs if i % 13 == 0 or i % 300 <= 250}
+    most = {q: max(sum(c[x] for x in set(terms(t, 2))) / math.sqrt(c.total()) for c in over.values() if c) for q, t in asked if terms(t, 2)}
+    found = {r.query_id: r.score for r in catalog.queries()["h4_overlap_whole"](spark, sf).collect()}
+    assert found == pytest.approx(most, abs=1e-7)
