@@ -6,8 +6,9 @@ cap over weight, the water level is that of the first source that it doesn't dro
 (a row for each source) finds the fixed point.
 
 A source with a target of e epochs is taken floor(e) times as a whole; the fraction is a seeded sample: documents in the order
-of a hash, up to the words that are left, and then the one further document that comes nearest to the rest, if
-that is nearer than none. Order is kept by hash prefix: sizes are summed by (source, prefix) before any shuffle, running sums go
+of a hash, up to the words that are left; then, in the same order, each further document that still fits, in rounds over those no longer
+than the gap until none is left; and then the one further document that comes nearest to the rest, if that is nearer than none.
+The rounds are left out with `close` False, as the query's SQL has none. Order is kept by hash prefix: sizes are summed by (source, prefix) before any shuffle, running sums go
 over the prefixes, and only the documents of the prefix in which a source's sample ends are sorted. No
 source, however large, meets in one task.
 
@@ -55,7 +56,36 @@ def source_targets(sizes: DataFrame, weights: Column | None = None, epochs: int
     return filled.select("source_key", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def _taken(documents: DataFrame, columns: list[str], weights: Column | None, epochs: int) -> DataFrame:
+def _closed(left: DataFrame, plan: DataFrame, hint) -> DataFrame:
+    """plan with the words that are still missing as gap, and steps: rows of left no longer than a step's gap and up to its edge are in.
+
+    left has source_key, size and rank of the rows that the plan doesn't take yet. A round takes them by rank up to the first that
+    overshoots, which is longer than the gap of the next round, so the rounds come to an end.
+    """
+    prefix = F.shiftright("rank", 60 - PREFIX_BITS)
+    running = W.partitionBy("source_key").orderBy("prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy("source_key").orderBy("rank", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    plan = plan.withColumn("steps", F.expr("cast(array() as array<struct<gap:bigint,edge:bigint>>)"))
+    while True:
+        gaps = hint(plan.select("source_key", "gap", F.coalesce(F.try_element_at("steps", F.lit(-1))["edge"], F.lit(-1)).alias("past")))
+        # rows up to the last edge are in, or too long
+        left = checkpoint(left.join(gaps, "source_key").filter((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & (F.col("rank") > F.col("past"))).select("source_key", "size", "rank", "gap"))
+        if left.isEmpty():
+            return plan
+        sums = left.groupBy("source_key", "gap", prefix.alias("prefix")).agg(F.sum("size").alias("words")).withColumn("until", F.sum("words").over(running))
+        ends = checkpoint(sums.groupBy("source_key").agg(F.min(F.when(F.col("until") > F.col("gap"), F.struct("prefix", (F.col("until") - F.col("words")).alias("before")))).alias("end")).select("source_key", "end.*"))
+        last = left.join(hint(ends), "source_key").filter(prefix == F.col("prefix")).withColumn("until", F.sum("size").over(order) + F.col("before"))
+        within = last.filter("until <= gap").groupBy("source_key").agg(F.max("rank").alias("edge"))
+        # without an end all rows fit; without a row of the last prefix those before it do
+        edges = checkpoint(ends.join(hint(within), "source_key", "left").select("source_key", F.coalesce("edge", F.shiftleft("prefix", 60 - PREFIX_BITS) - 1, F.lit(2**60)).alias("edge")))
+        took = left.join(hint(edges), "source_key").filter("rank <= edge").groupBy("source_key", "edge").agg(F.sum("size").alias("words"))
+        left = left.drop("gap")
+        after = plan.join(hint(took.withColumnRenamed("edge", "to")), "source_key", "left")
+        steps = F.when(F.col("words").isNotNull(), F.array_append("steps", F.struct(F.col("gap").alias("gap"), F.col("to").alias("edge")))).otherwise(F.col("steps"))
+        plan = checkpoint(after.withColumn("steps", steps).withColumn("gap", F.col("gap") - F.coalesce("words", F.lit(0))).drop("words", "to"))
+
+
+def _taken(documents: DataFrame, columns: list[str], weights: Column | None, epochs: int, close: bool) -> DataFrame:
     """columns of documents with size, source_size, target, copies and taken."""
     text, source = F.col("text").cast("string"), F.col("source").cast("string")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -79,20 +109,25 @@ def _taken(documents: DataFrame, columns: list[str], weights: Column | None, epo
     last = last.withColumn("until", F.sum("size").over(order) + F.col("before"))
     edge = last.filter("until <= rest").groupBy("source_key").agg(F.max("rank").alias("edge"), F.max("until").alias("reached"))
     plan = checkpoint(plan.join(hint(edge), "source_key", "left").withColumn("gap", F.round(F.col("rest") - F.coalesce("reached", "before", F.lit(0))).cast("long")))
-    # documents up to the edge are in; the nearest of the others closes the gap
+    # documents up to the edge are in, then those that fit; the nearest of the others closes the gap
     is_in = F.coalesce(prefix < F.col("prefix"), F.lit(True)) | F.coalesce((prefix == F.col("prefix")) & (F.col("rank") <= F.col("edge")), F.lit(False))
-    others = narrow.join(hint(plan.select("source_key", "prefix", "edge", "gap")), "source_key").withColumn("off", F.abs(F.col("gap") - F.col("size"))).filter(~is_in & (F.col("off") < F.col("gap")))
+    if close:
+        left = narrow.join(hint(plan.select("source_key", "prefix", "edge")), "source_key").filter(~is_in).select("source_key", "size", "rank")
+        plan = _closed(left, plan, hint)
+        is_in = is_in | F.exists("steps", lambda s: (F.col("size") <= s["gap"]) & (F.col("rank") <= s["edge"]))
+    steps = ["steps"] if close else []
+    others = narrow.join(hint(plan.select("source_key", "prefix", "edge", "gap", *steps)), "source_key").withColumn("off", F.abs(F.col("gap") - F.col("size"))).filter(~is_in & (F.col("off") < F.col("gap")))
     least = checkpoint(others.groupBy("source_key").agg(F.min("off").alias("least")))
     nearest = others.join(hint(least), "source_key").filter("off = least").groupBy("source_key").agg(F.min("rank").alias("extra"))
-    plan = checkpoint(plan.join(hint(nearest), "source_key", "left").select("source_key", "source_size", "target", "epochs", "prefix", "edge", "extra"))
+    plan = checkpoint(plan.join(hint(nearest), "source_key", "left").select("source_key", "source_size", "target", "epochs", "prefix", "edge", "extra", *steps))
     taken_too = is_in | F.coalesce(F.col("rank") == F.col("extra"), F.lit(False))
     joined = rows.join(hint(plan), "source_key").withColumn("copies", F.col("epochs") + F.when(taken_too, 1).otherwise(0))
     return joined.select(*columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(documents: DataFrame, weights: Column | None = None, epochs: int = EPOCHS) -> DataFrame:
+def mix(documents: DataFrame, weights: Column | None = None, epochs: int = EPOCHS, close: bool = True) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken of each row of documents (doc_id, source, text)."""
-    return _taken(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), ["doc_id"], weights, epochs)
+    return _taken(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), ["doc_id"], weights, epochs, close)
 
 
 def mix_documents(documents: DataFrame, weights: Column | None = None, epochs: int = EPOCHS) -> DataFrame:
@@ -101,7 +136,7 @@ def mix_documents(documents: DataFrame, weights: Column | None = None, epochs: i
     own = documents.toDF(*[f"own_{c}" for c in columns])
     at = {c.lower(): f"own_{c}" for c in columns}
     named = own.select("*", F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["source"]).alias("source"), F.col(at["text"]).alias("text"))
-    kept = _taken(named, [f"own_{c}" for c in columns] + ["doc_id"], weights, epochs)
+    kept = _taken(named, [f"own_{c}" for c in columns] + ["doc_id"], weights, epochs, True)
     again = kept.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return again.select(*[F.col(f"own_{c}").alias(c) for c in columns])
 

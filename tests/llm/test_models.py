@@ -142,6 +142,18 @@ def test_mixing_comes_near_targets(spark):
     assert many.agg(F.sum(F.size(F.split("text", " ")))).first()[0] == sum(r.t for r in got)
 
 
+def test_mixing_goes_on_past_a_long_text(spark):
+    data = [(i, prose(i, 2000 if i % 40 == 0 else 5 + i % 9), f"s{i % 5}") for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mixing.mix(df).join(df.select("doc_id", "source"), "doc_id").collect()
+    for s in {x for _, _, x in data}:
+        own = [r for r in got if r.source == s]
+        rest = own[0].target - sum(r.taken for r in own)
+        least = min(r.copies for r in own)
+        passed = [r.size for r in own if r.copies == least]
+        assert not [n for n in passed if abs(rest - n) < abs(rest) - 1], (s, rest)
+
+
 def test_mix_documents_keeps_odd_columns(spark):
     assert mixing.mix_documents(documents(spark)).columns == [c.split()[0] for c in SCHEMA.split(", ")]
 
