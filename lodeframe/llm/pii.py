@@ -153,8 +153,8 @@ def _decided(rows: DataFrame, threshold: float) -> DataFrame:
     bias = math.log((yes + 1) / (no + 1))
     final = lambda s: 1 / (1 + F.exp(-(F.lit(bias) + F.aggregate(F.transform(s["features"], lambda f: _lookup(weight, f)), F.lit(0.0), lambda a, x: a + x))))
     base = in_order(F.filter("judged", lambda s: s["valid"]), KINDS, True)
-    added = F.filter("judged", lambda s: ~s["valid"] & s["kind"].isin(EXTRA) & (_lookup(posterior, s["votes"]) >= threshold) & (final(s) >= threshold))
-    rows = rows.withColumn("base", base).withColumn("added", apart(in_order(added, EXTRA, False), F.col("base")))
+    added = F.filter("judged", lambda s: ~s["valid"] & (_lookup(posterior, s["votes"]) >= threshold) & (final(s) >= threshold))
+    rows = rows.withColumn("base", base).withColumn("added", apart(in_order(added, KINDS + EXTRA, False), F.col("base")))
     return rows.withColumn("spans", in_order(F.concat("base", "added"), KINDS + EXTRA, True)).drop("judged", "added")
 
 

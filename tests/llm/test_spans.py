@@ -101,6 +101,12 @@ def test_tokens_after_marks_are_candidates(spark):
     assert got[160] and got[161] == "random:3:45"
 
 
+def test_matches_that_a_rule_dropped_may_be_added(spark):
+    df = spark.createDataFrame([(0, "ip 999.1.1.1 or 10.0.0.1 and card 4111 1111 1111 1112")], "doc_id long, text string")
+    spans = [pii.summary(pii.find(df, t)).first().spans.split(",") for t in (0.0, 1.1)]
+    assert spans[1] == ["ip:16:24"] and {"ip:3:12", "ip:16:24", "card:34:53"} <= set(spans[0])
+
+
 def test_em_finds_the_bad_labeler():
     counts = {"+++000": 50, "---000": 50, "++-000": 3, "--+000": 3}
     chance = pii.estimate(counts)
