@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.llm import mixing, near_dedup, packing, pii, quality, queries, training
+from lodeframe.llm.store import checkpoint
 
 
 def _good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,9 +18,22 @@ def _good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest id; documents without an id stay."""
-    gone = near_dedup.near_dedup(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates stays: that with the smallest id.
+
+    Rows that repeat an id and a text stay once. Of documents without an id, one of each text stays, if none with an id that stays has it.
+    """
+    own_id, text = F.col("doc_id"), F.col("text").cast("string")
+    gone = checkpoint(near_dedup.near_dedup(docs).filter(~F.col("kept")).select("doc_id").distinct())
+    twice = checkpoint(docs.filter(own_id.isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select("doc_id").join(gone, "doc_id", "left_anti"))
+    once = docs.filter(own_id.isNotNull()).join(gone.union(twice), "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.join(twice, "doc_id", "left_semi").select(*docs.columns)
+    key = "_".join([*docs.columns, "key"])  # no column has it
+    one = repeated.withColumn(key, F.md5(text)).dropDuplicates(["doc_id", key]).drop(key)
+    nameless = docs.filter(own_id.isNull()).withColumn(key, F.md5(text))
+    if nameless.isEmpty():
+        return once.union(one)
+    held = docs.filter(own_id.isNotNull()).select("doc_id", F.md5(text).alias(key)).join(gone, "doc_id", "left_anti").select(key).distinct()
+    return once.union(one).union(nameless.dropDuplicates([key]).join(held, key, "left_anti").select(*docs.columns))
 
 
 def _masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,17 @@ def test_sql(spark, sf, name):
 def test_entry_has_all(spark):
     assert {f"op{n}_" for n in range(1, 11)} == {x[: x.index("_") + 1] for x in entry.queries() if x.startswith("op")}
     assert "pipeline" in entry.queries()
+
+
+def test_repeated_rows_stay_once(spark):
+    from fixtures import prose
+
+    texts = [prose(i, 80) for i in range(6)]
+    data = [*enumerate(texts[:3]), (0, texts[0]), (0, texts[0]), (1, texts[4]), (None, texts[2]), (None, texts[5]), (None, texts[5]), (None, None), (None, None), (7, texts[1])]
+    df = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline._one_of_each_group(spark, df, "")
+    assert got.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(kept) == len(set(kept))
+    by = {i: sorted(t or "" for j, t in kept if j == i) for i in {i for i, _ in kept}}
+    assert by[0] == [texts[0]] and by[2] == [texts[2]] and by[None] == ["", texts[5]]
