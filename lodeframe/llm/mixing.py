@@ -6,14 +6,15 @@ cap over weight, the water level is that of the first source that it doesn't dro
 (a row for each source) finds the fixed point.
 
 A source with a target of e epochs is taken floor(e) times as a whole; the fraction is a seeded sample: documents in the order
-of a hash, up to the words that are left; then, in the same order, each further document that still fits, in rounds over those no longer
-than the gap until none is left; and then the one further document that comes nearest to the rest, if that is nearer than none.
-The rounds are left out with `close` False, as the query's SQL has none. Order is kept by hash prefix: sizes are summed by (source, prefix) before any shuffle, running sums go
-over the prefixes, and only the documents of the prefix in which a source's sample ends are sorted. No
-source, however large, meets in one task.
+of a hash of id and text, each of which is taken if it fits the words that are left, and then the one further document that comes nearest
+to the rest, if that is nearer than none. Order is kept by hash prefix: sizes are summed by (source, prefix) before any shuffle, running
+sums go over the prefixes, and only the documents of the prefix in which a sample ends are sorted. Rows that share a hash are summed by
+partition first. So no source and no group of copies, however large, meets in one task.
 
 Defined cases: a null or empty text has size 0 and is taken 0 words; a null source is a source of its own, last in order;
-sources without words have target 0; a null doc_id hashes as an empty one; rows that repeat are sampled each (rows equal in id and size go together); an empty table gives no row; other columns are carried along by `mix_documents` and ignored otherwise.
+sources without words have target 0; a null doc_id hashes as an empty one; rows that repeat, and rows of one id, are sampled each (rows equal in
+id and text are interchangeable, and any of them may be the ones taken); no row is copied more than `epochs` times, wordless ones included; an empty table
+gives no row; other columns are carried along by `mix_documents` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ from pyspark.sql.window import Window as W
 from lodeframe.llm.store import checkpoint
 
 WORD = r"[^\x20\x09-\x0D]+"
-EPOCHS, SEED, PREFIX_BITS = 3, "mix-1", 12
-BROADCAST_SOURCES = 10_000
+EPOCHS, SEED = 3, "mix-1"
+BROADCAST_SOURCES, WINDOW_ROWS = 10_000, 16_384
 
 
-def _rank(doc_id: Column) -> Column:
-    """60 bits of a seeded hash, as a number, so that sums and minima over it aggregate by hash."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+def _rank(doc_id: Column, text: Column) -> Column:
+    """60 bits of a seeded hash of id and text, as a number, so that sums and minima over it aggregate by hash."""
+    whole = F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Column | None = None, epochs: int = EPOCHS) -> DataFrame:
@@ -56,78 +58,103 @@ def source_targets(sizes: DataFrame, weights: Column | None = None, epochs: int
     return filled.select("source_key", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def _closed(left: DataFrame, plan: DataFrame, hint) -> DataFrame:
-    """plan with the words that are still missing as gap, and steps: rows of left no longer than a step's gap and up to its edge are in.
+def _most(rows: DataFrame) -> int:
+    """The number of rows of the source that has most of them."""
+    return rows.groupBy("source_key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
-    left has source_key, size and rank of the rows that the plan doesn't take yet. A round takes them by rank up to the first that
-    overshoots, which is longer than the gap of the next round, so the rounds come to an end.
+
+def _stops(rows: DataFrame, gaps: DataFrame, hint) -> DataFrame:
+    """source_key, gap, rank and row of the first row that overshoots the gap (null: none does), and the words reached before it.
+
+    rows have source_key, size, rank and row. While a source has more than WINDOW_ROWS rows, sums go over a prefix of the rank, then over more of it,
+    and over partitions if so many rows share one rank; only the rest is sorted, so neither a large source nor many equal rows meet in one task.
+    """
+    every = gaps.join(hint(rows.groupBy("source_key").agg(F.sum("size").alias("reached"))), "source_key")
+    found = gaps.select("source_key", "gap", F.lit(0).cast("long").alias("before"))
+    left = rows.select("source_key", "size", "rank", "row")
+    for digit in (F.shiftright("rank", 48), F.shiftright("rank", 32), F.col("rank"), F.shiftright("row", 33)):
+        if _most(left) <= WINDOW_ROWS:
+            break
+        running = W.partitionBy("source_key").orderBy("digit").rowsBetween(W.unboundedPreceding, W.currentRow)
+        sums = left.join(hint(found), "source_key").groupBy("source_key", "gap", "before", digit.alias("digit")).agg(F.sum("size").alias("words")).withColumn("until", F.col("before") + F.sum("words").over(running))
+        # the first digit at which a sum is over the gap
+        ends = sums.filter("until > gap").groupBy("source_key", "gap").agg(F.min("digit").alias("digit"), F.min(F.col("until") - F.col("words")).alias("before"))
+        found = checkpoint(ends)
+        left = checkpoint(left.join(hint(found.select("source_key", F.col("digit").alias("end"))), "source_key").filter(digit == F.col("end")).drop("end"))
+        found = found.drop("digit")
+    order = W.partitionBy("source_key").orderBy("rank", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = left.join(hint(found), "source_key").withColumn("until", F.col("before") + F.sum("size").over(order))
+    over = F.col("until") > F.col("gap")
+    last = sums.filter(over).groupBy("source_key").agg(F.min("until").alias("first"))
+    at = sums.join(hint(last), "source_key").filter("until = first and size > 0").select("source_key", F.col("rank").alias("stop_rank"), F.col("row").alias("stop_row"), (F.col("until") - F.col("size")).alias("reached"))
+    return checkpoint(every.join(hint(at), "source_key", "left").select("source_key", "gap", "stop_rank", "stop_row", F.coalesce(at["reached"], every["reached"]).alias("reached")))
+
+
+def _is_before(rank: Column, row: Column) -> Column:
+    """Whether a row comes before a stop; all do before none."""
+    return rank.isNull() | (F.col("rank") < rank) | (F.col("rank") == rank) & (F.col("row") < row)
+
+
+def _steps(narrow: DataFrame, gaps: DataFrame, hint) -> DataFrame:
+    """source_key, gap (words still missing) and steps: a row up to a step's gap in size and before its stop is in.
+
+    A step takes rows in order up to the first that overshoots; the next one goes on behind it with the rows that still fit. So each row in turn
+    is taken if it fits, and the steps come to an end, as what stops a step is longer than the next one's gap.
     """
-    prefix = F.shiftright("rank", 60 - PREFIX_BITS)
-    running = W.partitionBy("source_key").orderBy("prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
-    order = W.partitionBy("source_key").orderBy("rank", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    plan = plan.withColumn("steps", F.expr("cast(array() as array<struct<gap:bigint,edge:bigint>>)"))
+    step = F.struct(F.col("gap").alias("gap"), "stop_rank", "stop_row")
+    stops = _stops(narrow, gaps, hint)
+    plan = checkpoint(stops.select("source_key", F.array(step).alias("steps"), (F.col("gap") - F.col("reached")).alias("gap"), "stop_rank", "stop_row"))
+    left = narrow
     while True:
-        gaps = hint(plan.select("source_key", "gap", F.coalesce(F.try_element_at("steps", F.lit(-1))["edge"], F.lit(-1)).alias("past")))
-        # rows up to the last edge are in, or too long
-        left = checkpoint(left.join(gaps, "source_key").filter((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & (F.col("rank") > F.col("past"))).select("source_key", "size", "rank", "gap"))
+        open_ = plan.filter("gap > 0 and stop_rank is not null").select("source_key", "gap", F.col("stop_rank").alias("past"), F.col("stop_row").alias("past_row"))
+        behind = (F.col("rank") > F.col("past")) | (F.col("rank") == F.col("past")) & (F.col("row") > F.col("past_row"))
+        left = checkpoint(left.join(hint(open_), "source_key").filter((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & behind).select("source_key", "size", "rank", "row"))
         if left.isEmpty():
-            return plan
-        sums = left.groupBy("source_key", "gap", prefix.alias("prefix")).agg(F.sum("size").alias("words")).withColumn("until", F.sum("words").over(running))
-        ends = checkpoint(sums.groupBy("source_key").agg(F.min(F.when(F.col("until") > F.col("gap"), F.struct("prefix", (F.col("until") - F.col("words")).alias("before")))).alias("end")).select("source_key", "end.*"))
-        last = left.join(hint(ends), "source_key").filter(prefix == F.col("prefix")).withColumn("until", F.sum("size").over(order) + F.col("before"))
-        within = last.filter("until <= gap").groupBy("source_key").agg(F.max("rank").alias("edge"))
-        # without an end all rows fit; without a row of the last prefix those before it do
-        edges = checkpoint(ends.join(hint(within), "source_key", "left").select("source_key", F.coalesce("edge", F.shiftleft("prefix", 60 - PREFIX_BITS) - 1, F.lit(2**60)).alias("edge")))
-        took = left.join(hint(edges), "source_key").filter("rank <= edge").groupBy("source_key", "edge").agg(F.sum("size").alias("words"))
-        left = left.drop("gap")
-        after = plan.join(hint(took.withColumnRenamed("edge", "to")), "source_key", "left")
-        steps = F.when(F.col("words").isNotNull(), F.array_append("steps", F.struct(F.col("gap").alias("gap"), F.col("to").alias("edge")))).otherwise(F.col("steps"))
-        plan = checkpoint(after.withColumn("steps", steps).withColumn("gap", F.col("gap") - F.coalesce("words", F.lit(0))).drop("words", "to"))
-
-
-def _taken(documents: DataFrame, columns: list[str], weights: Column | None, epochs: int, close: bool) -> DataFrame:
+            return plan.select("source_key", "steps", "gap")
+        stops = _stops(left, plan.select("source_key", "gap").join(hint(left.select("source_key").distinct()), "source_key", "left_semi"), hint)
+        now = stops.select("source_key", F.array(step).alias("more"), "reached", F.col("stop_rank").alias("next_rank"), F.col("stop_row").alias("next_row"))
+        took = F.col("more").isNotNull()
+        plan = checkpoint(
+            plan.join(hint(now), "source_key", "left").select(
+                "source_key",
+                F.when(took, F.concat("steps", "more")).otherwise(F.col("steps")).alias("steps"),
+                (F.col("gap") - F.coalesce("reached", F.lit(0))).alias("gap"),
+                F.when(took, F.col("next_rank")).alias("stop_rank"),
+                F.when(took, F.col("next_row")).alias("stop_row"),
+            )
+        )
+
+
+def _taken(documents: DataFrame, columns: list[str], weights: Column | None, epochs: int) -> DataFrame:
     """columns of documents with size, source_size, target, copies and taken."""
     text, source = F.col("text").cast("string"), F.col("source").cast("string")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    rows = documents.withColumns({"size": size, "source_key": F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)), "rank": _rank(F.col("doc_id"))})
-    narrow = checkpoint(rows.select("doc_id", source.alias("source"), "size", "source_key", "rank"))
+    rows = documents.withColumns({"size": size, "source_key": F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)), "rank": _rank(F.col("doc_id"), text), "row": F.monotonically_increasing_id()})
+    narrow = checkpoint(rows.select("doc_id", source.alias("source"), "size", "source_key", "rank", "row"))
     if columns == ["doc_id"]:
         rows = narrow
     targets = checkpoint(source_targets(narrow, weights, epochs))
     small = targets.count() <= BROADCAST_SOURCES
     hint = F.broadcast if small else (lambda x: x)
 
-    fraction = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
-    prefix = F.shiftright("rank", 60 - PREFIX_BITS)
-    running = W.partitionBy("source_key").orderBy("prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
-    sums = narrow.groupBy("source_key", prefix.alias("prefix")).agg(F.sum("size").alias("words")).withColumn("until", F.sum("words").over(running)).join(hint(fraction.select("source_key", "rest")), "source_key")
-    # the prefix in which the sample ends, and the words of those before it; its sum is over the rest for the first time
-    ends = sums.filter("until > rest and until - words <= rest").groupBy("source_key").agg(F.min("prefix").alias("prefix"), F.min(F.col("until") - F.col("words")).alias("before"))
-    plan = checkpoint(fraction.join(hint(ends), "source_key", "left"))
-    order = W.partitionBy("source_key").orderBy("rank", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = narrow.join(hint(plan.select("source_key", F.col("prefix").alias("end_prefix"), "before", "rest")), "source_key").filter(prefix == F.col("end_prefix"))
-    last = last.withColumn("until", F.sum("size").over(order) + F.col("before"))
-    edge = last.filter("until <= rest").groupBy("source_key").agg(F.max("rank").alias("edge"), F.max("until").alias("reached"))
-    plan = checkpoint(plan.join(hint(edge), "source_key", "left").withColumn("gap", F.round(F.col("rest") - F.coalesce("reached", "before", F.lit(0))).cast("long")))
-    # documents up to the edge are in, then those that fit; the nearest of the others closes the gap
-    is_in = F.coalesce(prefix < F.col("prefix"), F.lit(True)) | F.coalesce((prefix == F.col("prefix")) & (F.col("rank") <= F.col("edge")), F.lit(False))
-    if close:
-        left = narrow.join(hint(plan.select("source_key", "prefix", "edge")), "source_key").filter(~is_in).select("source_key", "size", "rank")
-        plan = _closed(left, plan, hint)
-        is_in = is_in | F.exists("steps", lambda s: (F.col("size") <= s["gap"]) & (F.col("rank") <= s["edge"]))
-    steps = ["steps"] if close else []
-    others = narrow.join(hint(plan.select("source_key", "prefix", "edge", "gap", *steps)), "source_key").withColumn("off", F.abs(F.col("gap") - F.col("size"))).filter(~is_in & (F.col("off") < F.col("gap")))
-    least = checkpoint(others.groupBy("source_key").agg(F.min("off").alias("least")))
-    nearest = others.join(hint(least), "source_key").filter("off = least").groupBy("source_key").agg(F.min("rank").alias("extra"))
-    plan = checkpoint(plan.join(hint(nearest), "source_key", "left").select("source_key", "source_size", "target", "epochs", "prefix", "edge", "extra", *steps))
-    taken_too = is_in | F.coalesce(F.col("rank") == F.col("extra"), F.lit(False))
-    joined = rows.join(hint(plan), "source_key").withColumn("copies", F.col("epochs") + F.when(taken_too, 1).otherwise(0))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    fraction = targets.withColumn("epochs", F.least(whole, F.lit(epochs).cast("long"))).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
+    plan = _steps(narrow, fraction.select("source_key", F.floor("rest").cast("long").alias("gap")), hint)
+    # rows of the first step are in, wordless ones too, then those that fit behind it; the nearest of the others closes the gap
+    first, fits = F.col("steps")[0], F.exists("steps", lambda s: (F.col("size") <= s["gap"]) & _is_before(s["stop_rank"], s["stop_row"]))
+    is_in = _is_before(first["stop_rank"], first["stop_row"]) | (F.col("size") > 0) & fits
+    others = narrow.join(hint(plan), "source_key").withColumn("off", F.abs(F.col("gap") - F.col("size"))).filter(~is_in & (F.col("off") < F.col("gap"))).select("source_key", "off", "rank", "row")
+    least = checkpoint(others.groupBy("source_key").agg(F.min("off").alias("off")))
+    nearest = others.join(hint(least), ["source_key", "off"]).groupBy("source_key").agg(F.min(F.struct("rank", "row")).alias("extra"))
+    plan = checkpoint(fraction.join(hint(plan), "source_key").join(hint(nearest), "source_key", "left").select("source_key", "source_size", "target", "epochs", "steps", "extra"))
+    taken_too = is_in | F.coalesce((F.col("rank") == F.col("extra")["rank"]) & (F.col("row") == F.col("extra")["row"]), F.lit(False))
+    joined = rows.join(hint(plan), "source_key").withColumn("copies", F.least(F.lit(epochs).cast("long"), F.col("epochs") + F.when(taken_too, 1).otherwise(0)))
     return joined.select(*columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(documents: DataFrame, weights: Column | None = None, epochs: int = EPOCHS, close: bool = True) -> DataFrame:
+def mix(documents: DataFrame, weights: Column | None = None, epochs: int = EPOCHS) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken of each row of documents (doc_id, source, text)."""
-    return _taken(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), ["doc_id"], weights, epochs, close)
+    return _taken(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), ["doc_id"], weights, epochs)
 
 
 def mix_documents(documents: DataFrame, weights: Column | None = None, epochs: int = EPOCHS) -> DataFrame:
@@ -136,15 +163,16 @@ def mix_documents(documents: DataFrame, weights: Column | None = None, epochs: i
     own = documents.toDF(*[f"own_{c}" for c in columns])
     at = {c.lower(): f"own_{c}" for c in columns}
     named = own.select("*", F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["source"]).alias("source"), F.col(at["text"]).alias("text"))
-    kept = _taken(named, [f"own_{c}" for c in columns] + ["doc_id"], weights, epochs, True)
+    kept = _taken(named, [f"own_{c}" for c in columns] + ["doc_id"], weights, epochs)
     again = kept.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return again.select(*[F.col(f"own_{c}").alias(c) for c in columns])
 
 
-#: The query's SQL: the same water level and the same seeded sample.
+#: The query's SQL: the same water level and the same seeded sample; g takes each further document that fits, one by one.
 ORACLE = r"""
-WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, ''))[1:15] AS rank FROM documents
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, ''))[1:15] AS rank FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source
 ), c AS (
@@ -160,18 +188,27 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, least(cap, water * weight) AS target,
          CASE WHEN source_size > 0 THEN floor(least(cap, water * weight) / source_size) ELSE 0 END::BIGINT AS epochs FROM f, l
-), q AS (
-  SELECT d.*, t.source_size, t.target, t.epochs, greatest(0.0, t.target - t.epochs * t.source_size) AS rest,
-         sum(size) OVER (PARTITION BY d.source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS until
+), q AS MATERIALIZED (
+  SELECT d.*, t.source_size, t.target, t.epochs, floor(greatest(0.0, t.target - t.epochs * t.source_size))::BIGINT AS rest,
+         sum(size) OVER (PARTITION BY d.source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS until
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), g AS (
-  SELECT source, round(any_value(rest) - coalesce(max(until) FILTER (until <= rest), 0)) AS gap FROM q GROUP BY source
+), g(source, gap, past) AS (
+  SELECT source, any_value(rest) - coalesce(max(until) FILTER (until <= rest), 0), min(rank) FILTER (until > rest) FROM q GROUP BY source
+  UNION ALL
+  SELECT g.source, any_value(g.gap) - arg_min(q.size, q.rank), min(q.rank)
+  FROM g JOIN q ON g.source IS NOT DISTINCT FROM q.source AND q.rank > g.past AND q.size > 0 AND q.size <= g.gap GROUP BY g.source
+), e AS (
+  SELECT source, min(gap) AS gap FROM g GROUP BY source
+), o AS (
+  SELECT q.*, q.until <= q.rest OR (q.size > 0 AND EXISTS (FROM g WHERE g.source IS NOT DISTINCT FROM q.source AND g.past = q.rank AND q.until > q.rest
+    AND g.past > (SELECT min(z.past) FROM g z WHERE z.source IS NOT DISTINCT FROM q.source))) AS inside FROM q
 ), x AS (
-  SELECT q.source, arg_min(q.doc_id, (abs(g.gap - q.size), q.rank)) AS extra
-  FROM q JOIN g ON q.source IS NOT DISTINCT FROM g.source
-  WHERE q.until > q.rest AND abs(g.gap - q.size) < g.gap GROUP BY q.source
+  SELECT o.source, arg_min(o.doc_id, (abs(e.gap - o.size), o.rank)) AS extra
+  FROM o JOIN e ON o.source IS NOT DISTINCT FROM e.source
+  WHERE NOT inside AND abs(e.gap - o.size) < e.gap GROUP BY o.source
+), n AS (
+  SELECT o.*, least(3, o.epochs + (inside OR coalesce(o.doc_id = x.extra, false))::BIGINT)::BIGINT AS copies
+  FROM o LEFT JOIN x ON o.source IS NOT DISTINCT FROM x.source
 )
-SELECT q.doc_id, q.size, q.source_size, q.target, q.epochs + (q.until <= q.rest OR coalesce(q.doc_id = x.extra, false))::BIGINT AS copies,
-       (q.epochs + (q.until <= q.rest OR coalesce(q.doc_id = x.extra, false))::BIGINT) * q.size AS taken
-FROM q LEFT JOIN x ON q.source IS NOT DISTINCT FROM x.source
+SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM n
 """
