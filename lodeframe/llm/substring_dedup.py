@@ -16,8 +16,8 @@ Hot minimisers: those with over max(hot_rows, total / 4096) documents, at most 4
 their windows split over sub-buckets by window code, so no bucket holds a hot group whole.
 
 Defined cases: a null or empty text has no words and n_removed 0; a text shorter than the window keeps all
-words; a row with a null doc_id is compared with nothing and keeps all; rows that repeat a doc_id with the
-same text are one document and all of them return; ties don't arise, as ids are compared strictly.
+words; a row with a null doc_id is compared with nothing and keeps all; rows that repeat a doc_id all return, each judged by its own
+text, as ids are compared strictly: rows of one id take nothing from each other.
 Columns other than doc_id and text are ignored, whatever their names.
 """
 
@@ -60,8 +60,14 @@ class _Runs:
         self.place = (self.at - words.first[words.row[self.at]])[self.begin].astype(np.int32)
 
 
+def _texts(documents: DataFrame) -> DataFrame:
+    """doc_id, text and the text's digest, which tells rows of one id apart."""
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"))
+
+
 def _kept_texts(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    return _texts(documents).filter("doc_id is not null and text is not null")
 
 
 def _minimisers(window: int, seed: int):
@@ -82,7 +88,7 @@ def _pack(window: int, seed: int, bits, hot, buckets: int):
         shift = np.uint64(64 - FILTER_BITS)
         hot_keys, hot_split = hot.value
         for batch in batches:
-            ids = tk.int64_column(batch, "doc_id")
+            ids, digests = tk.int64_column(batch, "doc_id"), tk.int64_column(batch, "digest")
             for part in tk.slices(tk.text_column(batch, "text")):
                 runs = _Runs(part, window, seed)
                 slot = runs.minimiser.view(np.uint64) >> shift
@@ -109,16 +115,17 @@ def _pack(window: int, seed: int, bits, hot, buckets: int):
                     new = inner == 0
                 head = np.flatnonzero(new)
                 counts = np.diff(np.append(head, total))
+                at = part.first + row[of[head]]
                 yield pa.record_batch(
-                    [pa.array(bucket[head].astype(np.int32)), pa.array(key[of[head]]), pa.array(ids[part.first + row[of[head]]]), pa.array(spots[head].astype(np.int32)), tk.packed(codes, counts)],
-                    ["bucket", "minimiser", "doc_id", "place", "codes"],
+                    [pa.array(bucket[head].astype(np.int32)), pa.array(key[of[head]]), pa.array(ids[at]), pa.array(digests[at]), pa.array(spots[head].astype(np.int32)), tk.packed(codes, counts)],
+                    ["bucket", "minimiser", "doc_id", "digest", "place", "codes"],
                 )
 
     return run
 
 
 def _repeats(table: pa.Table) -> pa.Table:
-    """The windows of a bucket that a smaller document holds: doc_id and the packed places, by super-k-mer."""
+    """The windows of a bucket that a smaller document holds: doc_id, digest and the packed places, by super-k-mer."""
     table = table.combine_chunks()
     column = lambda name: table.column(name).chunk(0)
     codes, counts = tk.unpacked(column("codes"), np.uint64)
@@ -134,7 +141,7 @@ def _repeats(table: pa.Table) -> pa.Table:
     found[order] = doc[order] > least
     spots, of = spots[found].astype(np.int32), of[found]
     runs, sizes = np.unique(of, return_counts=True)
-    return pa.table([pa.array(column("doc_id").to_numpy()[runs]), tk.packed(spots, sizes)], ["doc_id", "places"])
+    return pa.table([pa.array(column("doc_id").to_numpy()[runs]), pa.array(column("digest").to_numpy()[runs]), tk.packed(spots, sizes)], ["doc_id", "digest", "places"])
 
 
 def _remove(window: int, keep_text: bool):
@@ -165,7 +172,7 @@ def _remove(window: int, keep_text: bool):
 
 
 def repeated_places(documents: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """doc_id and places (a list of packed int32 word positions) of the windows that smaller documents hold."""
+    """doc_id, digest of the text and places (a list of packed int32 word positions) of the windows that smaller documents hold."""
     spark = documents.sparkSession
     bounded_batches(spark)
     texts = _kept_texts(documents)
@@ -187,8 +194,8 @@ def repeated_places(documents: DataFrame, window: int = WINDOW, seed: int = SEED
     buckets = parts(spark, total * (window - seed) / 2 * 8, BUCKET_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     context = spark.sparkContext
     split = context.broadcast((np.array([k for k, _ in hot], np.int64), np.array([n for _, n in hot], np.int64)))
-    packed = texts.mapInArrow(_pack(window, seed, context.broadcast(bitmap.tobytes()), split, buckets), "bucket int, minimiser long, doc_id long, place int, codes binary")
-    return packed.groupBy("bucket").applyInArrow(_repeats, "doc_id long, places binary").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    packed = texts.mapInArrow(_pack(window, seed, context.broadcast(bitmap.tobytes()), split, buckets), "bucket int, minimiser long, doc_id long, digest long, place int, codes binary")
+    return packed.groupBy("bucket").applyInArrow(_repeats, "doc_id long, digest long, places binary").groupBy("doc_id", "digest").agg(F.collect_list("places").alias("places"))
 
 
 def substring_dedup(documents: DataFrame, window: int = WINDOW, seed: int = SEED, keep_text: bool = True) -> DataFrame:
@@ -196,9 +203,9 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, seed: int = SEED
     if not 0 < seed <= window:
         raise ValueError("seed must be from 1 to window")
     found = repeated_places(documents, window, seed)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = _texts(documents)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return texts.join(found, "doc_id", "left").mapInArrow(_remove(window, keep_text), schema)
+    return texts.join(found, ["doc_id", "digest"], "left").mapInArrow(_remove(window, keep_text), schema)
 
 
 #: The query's SQL.
