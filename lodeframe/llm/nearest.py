@@ -10,7 +10,7 @@ Cosines are dot(a, b) / (sqrt(dot(a, a)) * sqrt(dot(b, b))) with sums in the ord
 
 Defined cases: null, empty or zero vectors, and those with null or non-finite components, take no part, nor does a row with a
 null vec_id; vectors of another dimension than the query's are no candidates of it; rows that repeat a vec_id are one
-vector (the first met of a block counts); ties go to the smaller vec_id; fewer than k candidates give fewer rows;
+vector, the least of them in the order of components; ties go to the smaller vec_id; fewer than k candidates give fewer rows;
 other columns are ignored.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.store import parts
+from lodeframe.llm.store import checkpoint, parts
 
 QUERY_BLOCK, CANDIDATE_BLOCK, CHUNK = 2048, 8192, 128
 
@@ -46,12 +46,11 @@ def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and their vectors; all rows have one length and finite components."""
+    """Ids, in order, and their vectors; all rows have one length and finite components."""
     table = table.combine_chunks()
     ids = table.column("vec_id").to_numpy()
-    flat = table.column("embedding").chunk(0).flatten().to_numpy().astype(np.float64) if len(ids) else np.empty(0)
-    ids, first = np.unique(ids, return_index=True)
-    return ids, flat.reshape(len(table), -1)[first]
+    order = np.argsort(ids)
+    return ids[order], table.column("embedding").chunk(0).flatten().to_numpy().astype(np.float64).reshape(len(table), -1)[order]
 
 
 def _tile(k: int):
@@ -122,19 +121,29 @@ def _merge(k: int):
     return run
 
 
+def _once(vectors: DataFrame) -> DataFrame:
+    """One row for each vec_id. Only ids that repeat are aggregated with their vectors, and before the shuffle, as one may hold most rows."""
+    twice = checkpoint(vectors.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("vec_id"))
+    if twice.isEmpty():
+        return vectors
+    one = vectors.join(twice, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
+    return vectors.join(twice, "vec_id", "left_anti").unionByName(one)
+
+
 def nearest(embeddings: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest rows of each row for which is_query holds."""
     spark = embeddings.sparkSession
     vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     vectors = vectors.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0)).withColumn("dim", F.size("embedding"))
+    vectors = _once(vectors)
     queries = vectors.filter(is_query)
     n, q = vectors.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     tiles = parts(spark, n, CANDIDATE_BLOCK, min(int(spark.conf.get("spark.sql.shuffle.partitions")), parts(spark, n, 512)))
     blocks = parts(spark, q, QUERY_BLOCK)
-    dealt = F.monotonically_increasing_id()  # rows that repeat an id are dealt apart
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # columns of its own, as the join is one of a table with itself
     left = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    right = vectors.withColumn("tile", F.pmod(F.xxhash64(dealt), F.lit(tiles)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    right = vectors.withColumn("tile", F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(tiles)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     keys = ["dim", "tile", "block"]
     pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_tile(k), "query_id long, vec_id long, score double")
     return pairs.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
