@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.llm.store import checkpoint
+
 
 def fold(doc_id: str, modulus: int) -> Column:
     """The contract's fold: crc32 of the id as text, modulo modulus; null for a null id."""
@@ -13,20 +15,20 @@ def fold(doc_id: str, modulus: int) -> Column:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int, most_bytes: int) -> list[tuple[str, int]]:
-    """At most per_class texts of each label, each of 1 to most_bytes bytes: those with the least hashes of their texts.
+    """At most per_class texts of each label, each of 1 to most_bytes bytes: those with the least hashes.
 
-    usable is a condition on doc_id. An id with several labels counts with the largest, equal texts count once.
-    Only ids and hashes are joined and sorted; the chosen texts are read by id.
+    usable is a condition on doc_id. An id with several labels counts with the largest, and so does a text. Equal texts count once, and each text
+    of an id counts for itself. Only ids and hashes are joined and sorted; the chosen texts, and no others, are read by hash.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(usable).groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sized = texts.filter(F.octet_length("text").between(1, most_bytes)).select("doc_id", F.xxhash64("text").alias("rank"))
-    ranked = sized.join(known, "doc_id").groupBy("label", "rank").agg(F.min("doc_id").alias("doc_id"))
-    chosen = {r.doc_id: r.label for of in (0, 1) for r in ranked.filter(F.col("label") == of).orderBy("rank").limit(per_class).collect()}
-    if not chosen:
-        return []
-    rows = texts.filter(F.col("doc_id").isin(list(chosen))).collect()
-    return sorted({(r.text, chosen[r.doc_id]) for r in rows if r.text})
+    sized = texts.filter(F.octet_length("text").between(1, most_bytes)).select("doc_id", F.xxhash64("text").alias("rank"), F.crc32("text").alias("check"))
+    ranked = checkpoint(sized.join(known, "doc_id").groupBy("rank", "check").agg(F.max("label").alias("label")))
+    least = lambda of: ranked.filter(F.col("label") == of).orderBy("rank", "check").limit(per_class)
+    chosen = F.broadcast(least(0).union(least(1)))  # 2 * per_class rows at most
+    own = texts.filter(F.octet_length("text").between(1, most_bytes)).select("text", F.xxhash64("text").alias("rank"), F.crc32("text").alias("check"))
+    rows = own.join(chosen, ["rank", "check"]).groupBy("rank", "check", "label").agg(F.min("text").alias("text")).collect()
+    return sorted((r.text, r.label) for r in rows)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3e-3, steps: int = 30) -> tuple[np.ndarray, float]:
