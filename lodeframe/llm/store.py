@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the folder of spark.checkpoint.dir.
 
-    The folder is the cluster's. Only where it is unset, as in tests, is one chosen here.
+    The folder is the cluster's. Only a local session that has none, as in tests, gets one here; elsewhere that is an error.
+    Spark removes what no plan needs any more if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "lodeframe-checkpoints"))
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "lodeframe-checkpoints"))
     return df.checkpoint(eager=True)
 
 
@@ -28,7 +32,10 @@ BATCH_ROWS = 512
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS rows: texts are long, and a batch is held whole by JVM and Python."""
+    """Lower the session's Arrow batches to BATCH_ROWS rows: texts are long, and a batch is held whole by JVM and Python.
+
+    Plans read the setting when they run, so it stays for the session; no result depends on it.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
