@@ -113,6 +113,15 @@ def test_removal_cases(spark, window, seed):
     assert sub.substring_dedup(empty(spark)).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    passage = prose(30, 90)
+    data = [(1, passage), (2, prose(31, 5)), (2, f"{prose(32, 300)} {passage}"), (2, f"{passage} {prose(33, 20)}"), (2, prose(34, 200)), (3, f"{prose(34, 200)} {passage}")]
+    got = sub.substring_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    kept = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got)
+    expected = sorted((i, *one) for i, text in data for one in [brute_removal([(j, t) for j, t in data if j != i] + [(i, text)], 50)[i]])
+    assert kept == expected
+
+
 def test_hot_minimisers_are_split(spark, monkeypatch):
     monkeypatch.setattr(sub, "HOT_ROWS", 5)
     passage = prose(20, 70)

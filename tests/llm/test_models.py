@@ -9,31 +9,95 @@ from fixtures import SCHEMA, documents, empty, prose, rows, words
 from pyspark.sql import functions as F
 
 from lodeframe.llm import fingerprint, mixing, nearest, packing, quality, queries, toxicity, training
+from lodeframe.llm import textkit as tk
 
 TEXTS = {r[0]: r[1] or "" for r in rows() if r[0] is not None}
 
 
+def brute_sketch(text):
+    """The shingles of a text and its fingerprint, hash by hash."""
+    data = text.encode()
+    shingles = {data[k : k + 16] for k in range(len(data) - 15)} if len(data) >= 16 else ({data} if data else set())
+    by = {s: sum((int(tk._SYMBOL[x]) * pow(tk._BASE, j, 1 << 64)) for j, x in enumerate(s)) % (1 << 64) for s in shingles}
+    hashes = {s: int(tk.mix(np.array([h], np.uint64))[0]) for s, h in by.items()}
+    kept = sorted({h >> 28 for h in hashes.values() if h < 1 << 60})
+    return set(kept), "".join(f"{h:08x}" for h in kept) if kept or not hashes else f"~{min(hashes.values()):016x}"
+
+
+def brute_likeness(a, b):
+    (x, u), (y, v) = brute_sketch(a), brute_sketch(b)
+    return len(x & y) / len(x | y) if x | y else float(u == v)
+
+
+def check_fingerprints(rows_, got):
+    """rows_: id, text; got: the result. The next document is the next larger id's; of its rows, one of them all."""
+    by = collections.defaultdict(set)
+    for i, text in rows_:
+        by[i].add(text or "")
+    order = sorted(i for i in by if i is not None)
+    assert len(got) == len(rows_)
+    chosen = collections.defaultdict(set)
+    for r in got:
+        after = by[order[(order.index(r.doc_id) + 1) % len(order)]] if r.doc_id is not None else {""}
+        fits = []
+        for text in by[r.doc_id]:
+            for other in after:
+                edited = text[: len(text) - len(text) // 2] + other[: len(text) // 2]
+                if r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.fingerprint == brute_sketch(text)[1]:
+                    fits.append((text, edited, other))
+        assert fits, r.doc_id
+        text, edited, other = fits[0]
+        assert r.edited_fingerprint == brute_sketch(edited)[1] and r.near_edited == pytest.approx(brute_likeness(text, edited))
+        if r.doc_id is None:
+            assert r.near_next is None
+        else:
+            assert any(r.near_next == pytest.approx(brute_likeness(text, x)) for _, _, x in fits)
+            chosen[r.doc_id].add(frozenset(x for _, _, x in fits))
+    return chosen
+
+
 def test_fingerprint_cases(spark):
     got = fingerprint.edited_fingerprints(documents(spark)).collect()
-    assert len(got) == len(rows())
     order = sorted(TEXTS)
+    assert len(got) == len(rows())
     for r in got:
         if r.doc_id is None:
             assert r.near_next is None
             continue
         text, after = TEXTS[r.doc_id], TEXTS[order[(order.index(r.doc_id) + 1) % len(order)]]
-        n = len(text)
-        edited = text[: n - n // 2] + after[: n // 2]
-        a, b, c = fingerprint.sketches(pa.array([text, edited, after]))
-        assert r.n_chars == n and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert r.fingerprint == fingerprint.as_text(a) and r.edited_fingerprint == fingerprint.as_text(b)
-        assert r.near_edited == fingerprint.likeness(a, b) and r.near_next == fingerprint.likeness(a, c)
-        assert 0 <= r.near_edited <= 1
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.fingerprint == brute_sketch(text)[1] and r.edited_fingerprint == brute_sketch(edited)[1]
+        assert r.near_edited == pytest.approx(brute_likeness(text, edited)) and r.near_next == pytest.approx(brute_likeness(text, after))
     by = {r.doc_id: r for r in got}
     assert by[0].fingerprint == by[1].fingerprint and by[0].near_next == 1.0
     assert fingerprint.edited_fingerprints(empty(spark)).count() == 0
 
 
+def test_fingerprints_over_many_ranges(spark, monkeypatch):
+    """Ranges beyond STEPS, an id that fills several, texts that differ under one id, and ids that are missing."""
+    monkeypatch.setattr(fingerprint, "PART_BYTES", 400)
+    monkeypatch.setattr(fingerprint, "STEPS", 8)
+    data = [(i * 7 % 301, prose(i, 3 + i % 20)) for i in range(300)] + [(77, prose(k % 3, 12)) for k in range(150)] + [(None, "x")] * 20 + [(400, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    chosen = check_fingerprints(data, fingerprint.edited_fingerprints(df).collect())
+    assert all(frozenset.intersection(*x) for x in chosen.values())  # rows of an id agree on the next document
+
+
+def test_a_least_hash_is_no_member():
+    texts = ["ab", "abc", "a" * 16, "", prose(3, 400)]
+    found = dict(zip(texts, fingerprint.sketches(pa.array(texts)), strict=True))
+    for text in texts:
+        assert fingerprint.as_text(found[text]) == brute_sketch(text)[1]
+        assert (fingerprint.from_text(fingerprint.as_text(found[text])) == found[text]).all()
+    least = [t for t in texts if brute_sketch(t)[1].startswith("~")]
+    assert least
+    for t in least:
+        assert (fingerprint.merge(found[t], found[texts[4]]) == found[texts[4]]).all()
+        assert fingerprint.containment(found[t], found[texts[4]]) == 0 and fingerprint.likeness(found[t], found[t]) == 1
+        assert fingerprint.merge(found[t], found[""]).tolist() == found[t].tolist()
+
+
 def test_one_document_is_its_own_next(spark):
     (r,) = fingerprint.edited_fingerprints(spark.createDataFrame([(5, "abcd" * 30)], "doc_id long, text string")).collect()
     assert r.near_next == 1.0 and r.near_edited == 1.0
@@ -52,7 +116,6 @@ def test_packing_cases(spark):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(queries.vocabulary())
-    model.encode_special_tokens = True
     got = packing.pack(documents(spark), queries.vocabulary(), limit=256, group=8, with_ids=True).collect()
     ids = {i: model.encode(t, add_special_tokens=False).ids + [2] for i, t in TEXTS.items()}
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
@@ -79,12 +142,24 @@ def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(queries.vocabulary())
-    model.encode_special_tokens = True
     code = packing.encoder(queries.vocabulary())
-    for text in (*TEXTS.values(), "<|endoftext|> x", " lead", "trail ", "a  b", "a\n b", "a \nb", "it's we'll 12 3", "\x1c \x1f", "日本 語"):
+    for text in (*TEXTS.values(), "<|endoftext|> x", "a <|endoftext|> b", "x<|endoftext|>", "a  <|endoftext|>\n<|endoftext|>b", "<|endoftext", " lead", "trail ", "a  b", "a\n b", "a \nb", "it's we'll 12 3", "\x1c \x1f", "日本 語"):
         assert np.frombuffer(code.ids(text), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids, text
 
 
+def test_equal_rows_are_dealt_to_many_groups(spark):
+    df = spark.createDataFrame([(None, "") for _ in range(3000)] + [(i, "one two") for i in range(1000)], "doc_id long, text string").repartition(3)
+    got = packing.pack(df, queries.vocabulary(), group=500).collect()
+    sizes = collections.Counter(r.sequence_id >> 32 for r in got)
+    assert len(got) == 4000 and len(sizes) == 8 and max(sizes.values()) < 650
+
+
+def test_sequences_of_a_whole_table(spark, sf):
+    got = packing.pack(spark.read.parquet(f"{sf}/documents.parquet"), queries.vocabulary()).collect()
+    least = max(-(-sum(r.length for r in got) // 1024), sum(r.length > 512 for r in got))
+    assert len({r.sequence_id for r in got}) <= 1.01 * least + 1
+
+
 def test_best_two_fit():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 1025, 3000)
@@ -154,10 +229,46 @@ def test_mixing_goes_on_past_a_long_text(spark):
         assert not [n for n in passed if abs(rest - n) < abs(rest) - 1], (s, rest)
 
 
+@pytest.mark.parametrize("window", [16_384, 40])
+def test_equal_rows_and_rows_without_an_id_meet_the_target(spark, monkeypatch, window):
+    monkeypatch.setattr(mixing, "WINDOW_ROWS", window)
+    data = [(None, "a b c d e f g h i j", "big")] * 400 + [(5, prose(i % 3, 7), "big") for i in range(300)] + [(1000 + i, prose(i, 3 + i % 9), "small") for i in range(200)] + [(2000 + i, " ", "small") for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix(df).collect()
+    for target in {r.target for r in got}:
+        own = [r for r in got if r.target == target]
+        assert abs(sum(r.taken for r in own) - target) <= 10, target
+        assert max(r.copies for r in own) <= mixing.EPOCHS
+    again = mixing.mix(df.repartition(7)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    many = mixing.mix_documents(df).groupBy("doc_id", "text", "source").count().agg(F.max("count")).first()[0]
+    assert many <= 3 * 400
+
+
+def test_wordless_documents_are_not_copied_beyond_the_epochs(spark):
+    data = [(i, "" if i % 2 else prose(i, 5), "a") for i in range(40)] + [(100 + i, prose(i, 200), "b") for i in range(40)] + [(200, prose(1, 4000), "c")]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    assert max(r.copies for r in got) == 3
+
+
 def test_mix_documents_keeps_odd_columns(spark):
     assert mixing.mix_documents(documents(spark)).columns == [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+def test_repeated_vectors_are_one(spark):
+    """An id that holds a third of all rows, with several vectors: the least one counts, whatever the order of rows."""
+    rng = np.random.default_rng(8)
+    data = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(200)] + [(50, [float(k % 3), 1.0, 2.0, 3.0]) for k in range(100)]
+    of = collections.defaultdict(list)
+    for i, v in data:
+        of[i].append(v)
+    once = spark.createDataFrame([(i, min(v)) for i, v in of.items()], "vec_id long, embedding array<double>")
+    expected = sorted(nearest.nearest(once, F.col("vec_id") % 50 == 0, 5).collect())
+    for n in (1, 6):
+        df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(n)
+        assert sorted(nearest.nearest(df, F.col("vec_id") % 50 == 0, 5).collect()) == expected
+
+
 def test_nearest_is_exact(spark):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(700, 16)).astype(np.float32)
@@ -210,6 +321,15 @@ def test_classifiers_hold_out(spark, module, function, of, good, bad):
     assert {r.score for r in none.collect()} == {0.5}
 
 
+def test_sample_takes_texts_of_usable_ids_once(spark):
+    data = [(1, "first"), (1, "second"), (2, "first"), (3, "y" * 50), (4, "fourth"), (4, "fourth"), (5, None), (6, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 0), (4, 0), (5, 1), (6, 1), (9, 1)], "doc_id long, bad int")
+    assert training.labelled_sample(docs, labels, "bad", F.lit(True), 10, 20) == [("first", 1), ("fourth", 0), ("second", 0)]
+    assert training.labelled_sample(docs, labels, "bad", F.col("doc_id") != 2, 10, 20) == [("first", 0), ("fourth", 0), ("second", 0)]
+    assert len(training.labelled_sample(docs, labels, "bad", F.lit(True), 1, 20)) == 2
+
+
 def test_toxic_words_of_a_small_language_are_found():
     def text(i):
         small, bad = i % 5 == 0, i % 4 == 0
