@@ -1,8 +1,12 @@
 import hashlib
+import math
+import random
 import re
+import string
 
+import numpy as np
 import pytest
-from fixtures import SCHEMA, documents, empty, rows
+from fixtures import SCHEMA, documents, empty, prose, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -87,9 +91,6 @@ def test_masked_address_is_added_and_masked(spark):
 
 
 def test_tokens_after_marks_are_candidates(spark):
-    import random
-    import string
-
     r = random.Random(2)
     made = ["".join(r.choice(string.ascii_letters + string.digits) for _ in range(40)) for _ in range(160)]
     marks = ["private_key=", "sig=", "AWS_SECRET_ACCESS_KEY=", "a.b.", "key: ", "key:", 'key="', "key='"]
@@ -115,9 +116,6 @@ def test_em_finds_the_bad_labeler():
 
 
 def test_battery_separates(spark):
-    import random
-    import string
-
     r = random.Random(1)
     made = [("random", "".join(r.choice(string.ascii_letters + string.digits) for _ in range(40))) for _ in range(100)]
     made += [("plain", f"{'xyz' * 9}{i:03d}") for i in range(100)] + [("plain", "xyz123" * 8)]
@@ -125,7 +123,75 @@ def test_battery_separates(spark):
     got = {x.kind: (x.low, x.middle) for x in df.groupBy("kind").agg(F.count_if(F.col("p") < 0.01).alias("low"), F.median("p").alias("middle")).collect()}
     assert got["random"][0] <= 5 and got["random"][1] > 0.3
     assert got["plain"][1] < 0.05
-    assert secrets.rejections([("c", 40, 10), ("c", 0, 90)]) == {"c": 40}
     found = secrets.find(spark.createDataFrame([(i, f"key {t} end") for i, (_, t) in enumerate(made)], "doc_id long, text string")).select("doc_id", F.size("spans").alias("n")).collect()
     hits = [x.n for x in found if x.doc_id < 100]
     assert sum(hits) >= 90 and sum(x.n for x in found if x.doc_id >= 100) <= 5
+
+
+def brute_evidence(token, near):
+    """log2 of the e-value of a token, character by character; near is the text around all candidates."""
+    body = token.rstrip("=")
+    of = next((n for n, letters in list(secrets.ALPHABETS.items())[:-1] if set(body) <= set(letters)), "base64")
+    letters = secrets.ALPHABETS[of]
+    k, both = len(letters), letters.lower() != letters != letters.upper()
+    count = lambda c: 1 + (near.count(c) if both or c.lower() == c.upper() else near.count(c.lower()) + near.count(c.upper()))
+    share = {c: count(c) / sum(map(count, letters)) for c in letters}
+    words = sum(share[c] for c in letters if not c.isdigit())
+    ids = {c: 0.9 / sum(x.isdigit() for x in letters) if c.isdigit() else 0.1 * share[c] / words for c in letters}
+    nulls = [sum(math.log2(1 / k / model[c]) for c in body) for model in (share, ids)]
+    chain = sum(math.log2(1 / k / (1 / 6 + 0.5 / k if abs(letters.index(a) - letters.index(b)) <= 1 else 0.5 / k)) for a, b in zip(body, body[1:], strict=False))
+    return min(*nulls, chain)
+
+
+def brute_battery(token):
+    body = token.rstrip("=")
+    of = next((n for n, letters in list(secrets.ALPHABETS.items())[:-1] if set(body) <= set(letters)), "base64")
+    letters = secrets.ALPHABETS[of]
+    n, k, x = len(body), len(letters), np.array([letters.index(c) + 1 for c in body], float)
+    chi = sum((body.count(c) - n / k) ** 2 / (n / k) for c in letters)
+    tail = lambda z: 1 / (1 + math.exp(1.5976 * max(-9, min(9, z)) + 0.070565992 * max(-9, min(9, z)) ** 3))
+    df = k - 1
+    uniform = tail(((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
+    high = 2 * x > k + 1
+    runs, above = 1 + int((high[1:] != high[:-1]).sum()), int(high.sum())
+    expected = 2 * above * (n - above) / n + 1
+    spread = (expected - 1) * (expected - 2) / (n - 1)
+    run = abs(runs - expected) / spread**0.5 if spread > 0 else 9.0
+    d = x - x.mean()
+    serial = abs((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * n**0.5 if (d * d).sum() > 0 else 9.0
+    s = -math.log(uniform) - math.log(min(1, 2 * tail(run))) - math.log(min(1, 2 * tail(serial)))
+    return math.exp(-s) * (1 + s + s * s / 2)
+
+
+def test_the_control_against_brute_force(spark):
+    """Planted tokens of several encodings are added; ordinary tokens that look like them are not; each decision follows from the formulas."""
+    r = random.Random(5)
+    made = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    mixed, lower = string.ascii_letters + string.digits, string.ascii_lowercase + string.digits
+    planted = [made(mixed, 32) for _ in range(30)] + [made(mixed, 18) for _ in range(30)] + [made(lower, 40) for _ in range(30)] + [made(mixed + "+/", 44) + "=" for _ in range(10)] + [made("0123456789ABCDEF", 64) for _ in range(20)]
+    plain = [f"{prose(i, 8).replace(' ', '')[:24]}{i % 10}" for i in range(60)] + [f"getThe{prose(i, 4).title().replace(' ', '')}Value" for i in range(60)]
+    plain += [f"item-2024-{i:02d}-01-000{i}" for i in range(40)] + [f"ABCDEFGHIJKLMNOP{i}" for i in range(20)] + ["a1" * 12, "x" * 30 + "1"]
+    tokens = [*planted, *plain]
+    texts = [f"{prose(1000 + i, 9)} {t} {prose(2000 + i, 9)}" for i, t in enumerate(tokens)]
+    got = {x.doc_id: x.spans for x in secrets.summary(secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    pattern = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+    is_candidate = lambda t: re.search("[A-Za-z]", t) and (re.search("[0-9]", t) or (t.lower() != t and t.upper() != t))
+    found = [(i, m) for i, text in enumerate(texts) for m in pattern.finditer(text) if is_candidate(m[0])]
+    spans = [m.span() for _, m in found]
+    assert len(found) == len(tokens)
+    near = " ".join(texts[i][:a][-40:] + " " + texts[i][b:][:24] for (i, _), (a, b) in zip(found, spans, strict=True))
+    size = {i: math.floor(brute_evidence(m[0], near)) if brute_battery(m[0]) >= secrets.BATTERY else -1 for i, m in found}
+    order = sorted(size.values(), reverse=True)
+    limit = min((e for k, e in enumerate(order, 1) if e + math.log2(k) >= math.log2(len(order) / secrets.RATE)), default=10**6)
+    for i, m in found:
+        assert (f"random:{m.start()}:{m.end()}" in got[i].split(",")) == (size[i] >= limit), (m[0], size[i], limit)
+    hits = [f"random:{a}:{b}" in got[i].split(",") for (i, _), (a, b) in zip(found, spans, strict=True)]
+    assert sum(hits[: len(planted)]) >= 0.9 * len(planted)
+    assert sum(hits[len(planted) :]) <= secrets.RATE * sum(hits)
+
+
+def test_fewer_discoveries_need_more_evidence():
+    assert secrets.least_bin({}) > secrets.BINS
+    assert secrets.least_bin({-1: 1000, 10: 1}) > secrets.BINS  # 2**10 is under 1001 / 0.05
+    assert secrets.least_bin({-1: 1000, 10: 40}) == 10
+    assert secrets.least_bin({-1: 1000, 20: 1, 10: 1}) == 20
