@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.store import checkpoint
+from lodeframe.llm.store import checkpoint, spread_join
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for each node of links (a, b), by alternating stars.
 
     Each round hangs neighbours on smaller minima, so stars form in a number of rounds that follows the
-    logarithm of the longest chain. Aggregates combine before the shuffle; a hub's rows are never collected.
+    logarithm of the longest chain. Aggregates combine before the shuffle; a hub's rows are dealt over several tasks.
     No link gives no row; loops and repeated links are harmless.
     """
     edges = checkpoint(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
@@ -24,8 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         before = now
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
+        large = checkpoint(spread_join(both.filter("b > a"), least, ["a"], F.xxhash64("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select("b", "m").filter("b > m").union(low.select("a", "m")).toDF("a", "b")
+        small = spread_join(large, low, ["a"], F.xxhash64("b")).select("b", "m").filter("b > m").union(low.select("a", "m")).toDF("a", "b")
         edges = checkpoint(small.distinct())
     return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").union(edges.select("b", "b").distinct())

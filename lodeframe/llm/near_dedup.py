@@ -12,14 +12,15 @@ A document's set is its distinct shingles of `width` lower-cased words (fewer wo
    different components that the bitmaps allow come out. So every candidate pair is judged, and no
    group is spelled out in pairs. A large bucket is dealt in block pairs of BLOCK rows.
 5. Odd sketches drop pairs: those of the samples, pairs far below the threshold; a second one, of the full set, whose
-   XOR never counts more bits than elements differ, drops none that reach it. All others are confirmed on the full sets.
+   XOR never counts more bits than elements differ, drops none that reach it. It has four bits or more for an element, up to SET_BITS_MOST, so
+   nearly all pairs below the threshold go. All others are confirmed on the full sets of shingle hashes.
 
 The number of bands of 6 samples follows from the threshold, so that a pair right at it shares no band with probability
 2e-6 (28 bands at 0.85, 44 at 0.8), a closer one with less; the sketch margin is over five standard deviations.
 
 Defined cases: null, empty or wordless texts have n_shingles 0 and are their own component; a row with
 a null doc_id is linked with nothing (component_id null, kept true); rows that repeat a doc_id are one
-document and all return; other columns are ignored.
+document, linked by any of its texts, and all return, each with the size of its own set; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +35,11 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm import textkit as tk
 from lodeframe.llm.graph import components
-from lodeframe.llm.store import bounded_batches, checkpoint, parts
+from lodeframe.llm.store import bounded_batches, checkpoint, parts, spread_join
 
 ROWS, MISS, MOST_SAMPLES = 6, 2e-6, 6144
-SKETCH_BITS, SET_BITS, SKETCH_MARGIN = 512, 1024, 0.17
-LEADERS, BLOCK, GROUP_ROWS = 3, 1024, 20_000
+SKETCH_BITS, SET_BITS_LEAST, SET_BITS_MOST, SKETCH_MARGIN = 512, 1024, 65_536, 0.17
+LEADERS, BLOCK, GROUP_BYTES = 3, 1024, 16e6
 
 _rng = np.random.default_rng(6)
 _FACTOR = (_rng.integers(0, 1 << 31, MOST_SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -80,8 +81,14 @@ def odd_sketch(samples: np.ndarray) -> bytes:
 
 
 def set_sketch(shingles: np.ndarray) -> bytes:
-    """The parity of the number of the set's elements that fall on each bit."""
-    return np.packbits(np.bincount((shingles & np.uint64(SET_BITS - 1)).astype(np.int64), minlength=SET_BITS).astype(np.uint8) & 1).tobytes()
+    """The parity of the number of the set's elements that fall on each bit; the number of bits follows the set."""
+    bits = min(SET_BITS_MOST, max(SET_BITS_LEAST, 1 << (4 * len(shingles) - 1).bit_length()))
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Rows of set sketches as those of fewer bits would be; width is in bytes."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, width), axis=1)
 
 
 def sketched_similarity(a: np.ndarray, b: np.ndarray, samples: int) -> np.ndarray:
@@ -122,15 +129,36 @@ def _sketch(width: int, bands_of_set: int):
 def _possible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether sizes and sketches (rows of bytes) allow den * intersection >= num * union."""
     split = SKETCH_BITS // 8
-    differ = np.bitwise_count(a[:, split:] ^ b[:, split:]).sum(axis=1, dtype=np.int64)
+    width = min(a.shape[1], b.shape[1]) - split
+    differ = np.bitwise_count(folded(a[:, split:], width) ^ folded(b[:, split:], width)).sum(axis=1, dtype=np.int64)
     allowed = (n_a + n_b) * (den - num) // (den + num)  # of elements in one set only
-    fits = (den * np.minimum(n_a, n_b) >= num * np.maximum(n_a, n_b)) & (differ <= allowed)
+    fits = differ <= allowed
     fits[fits] = sketched_similarity(a[fits, :split], b[fits, :split], band_count(num, den) * ROWS) >= num / den - SKETCH_MARGIN
     return fits
 
 
-def _bitmaps(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+class _Bitmaps:
+    """A column of sketches, read in rows of one length."""
+
+    def __init__(self, column: pa.Array):
+        _, offsets, data = column.buffers()
+        self._bounds = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        self._data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        self.length = np.diff(self._bounds)
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        return self._data[self._bounds[at][:, None] + np.arange(self.length[at[0]])]
+
+    def possible(self, at: np.ndarray, others: _Bitmaps, there: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Whether rows at and the others' rows there are possible pairs; sizes first, then rows of one length each."""
+        fits = den * np.minimum(n_a, n_b) >= num * np.maximum(n_a, n_b)
+        lengths = np.column_stack([self.length[at], others.length[there]])
+        for pair in np.unique(lengths[fits], axis=0):
+            of = np.flatnonzero(fits & (lengths == pair).all(axis=1))
+            for k in range(0, len(of), BLOCK):
+                own = of[k : k + BLOCK]
+                fits[own] = _possible(self.rows(at[own]), others.rows(there[own]), n_a[own], n_b[own], num, den)
+        return fits
 
 
 def _likely(num: int, den: int):
@@ -140,7 +168,8 @@ def _likely(num: int, den: int):
         for batch in batches:
             get = lambda name: batch.column(batch.schema.get_field_index(name))
             if batch.num_rows:
-                keep = _possible(_bitmaps(get("sketch_a")), _bitmaps(get("sketch_b")), get("n_a").to_numpy(), get("n_b").to_numpy(), num, den)
+                every = np.arange(batch.num_rows)
+                keep = _Bitmaps(get("sketch_a")).possible(every, _Bitmaps(get("sketch_b")), every, get("n_a").to_numpy(), get("n_b").to_numpy(), num, den)
                 yield pa.record_batch([get("a"), get("b")], ["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -153,9 +182,9 @@ def _compare(num: int, den: int):
         table = table.combine_chunks()
         column = lambda name: table.column(name).chunk(0).to_numpy()
         key, x, y, own, doc, component, n = map(column, ("key", "x", "y", "own", "doc_id", "component", "n_shingles"))
-        bits = _bitmaps(table.column("sketch").chunk(0))
+        bits = _Bitmaps(table.column("sketch").chunk(0))
         order = np.lexsort((doc, own != x, y, x, key))
-        key, x, y, own, doc, component, n, bits = (z[order] for z in (key, x, y, own, doc, component, n, bits))
+        key, x, y, own, doc, component, n = (z[order] for z in (key, x, y, own, doc, component, n))
         new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
         out = []
         for begin, end in zip(new.tolist(), [*new[1:].tolist(), len(key)], strict=True):
@@ -167,7 +196,8 @@ def _compare(num: int, den: int):
                 others = np.arange(middle if middle < end or x[begin] != y[begin] else i + 1, end)
                 others = others[component[others] != component[i]]
                 if len(others):
-                    fits = others[_possible(np.broadcast_to(bits[i], (len(others), bits.shape[1])), bits[others], n[i], n[others], num, den)]
+                    same = np.full(len(others), i)
+                    fits = others[bits.possible(order[same], bits, order[others], n[same], n[others], num, den)]
                     out.append(np.column_stack([np.minimum(doc[i], doc[fits]), np.maximum(doc[i], doc[fits])]))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -175,52 +205,64 @@ def _compare(num: int, den: int):
     return run
 
 
-def _confirm(width: int, num: int, den: int):
-    """Pairs whose full sets have den * intersection >= num * union."""
+def _sets(width: int):
+    """doc_id and the packed sorted hashes of its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tk.slices(tk.text_column(batch, "text")):
+                sets = list(shingle_sets(part, width))
+                ids = batch.column(0).slice(part.first, part.rows)
+                yield pa.record_batch([ids, tk.packed(np.concatenate(sets), np.array([len(x) for x in sets]))], ["doc_id", "shingles"])
+
+    return run
 
-    def whole(text: str) -> np.ndarray:
-        return next(shingle_sets(next(tk.slices(pa.array([text], pa.string()))), width))
+
+def _confirm(num: int, den: int):
+    """Pairs whose full sets have den * intersection >= num * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, leader_set = None, None
         for batch in batches:
             get = lambda name: batch.column(batch.schema.get_field_index(name))
             keep = []
-            for a, text_a, text_b in zip(get("a").to_pylist(), get("text_a"), get("text_b"), strict=True):
-                if a != leader:
-                    leader, leader_set = a, whole(text_a.as_py())
-                other = whole(text_b.as_py())
-                at = np.minimum(np.searchsorted(leader_set, other), len(leader_set) - 1)
-                common = int((leader_set[at] == other).sum())
-                keep.append(den * common >= num * (len(leader_set) + len(other) - common))
+            for a, b in zip(get("shingles_a"), get("shingles_b"), strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (a, b))
+                common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                keep.append(den * common >= num * (len(x) + len(y) - common))
             yield pa.record_batch([get("a"), get("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _links(members: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _links(members: DataFrame, sketches: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Confirmed links among candidate pairs; they hold all that decide components."""
     spark = members.sparkSession
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-    text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    whole = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"shingles_{x}"))
+
+    def both(pairs: DataFrame, of) -> DataFrame:
+        """Pairs with what of gives for each of the two; a leader of very many others is dealt over several tasks."""
+        return spread_join(spread_join(pairs, of("a"), ["a"], F.xxhash64("b")), of("b"), ["b"], F.xxhash64("a"), narrow=pairs)
 
     def confirmed(likely: DataFrame) -> DataFrame:
-        return checkpoint(likely.join(text("b"), "b").join(text("a"), "a").mapInArrow(_confirm(width, num, den), "a long, b long"))
+        return checkpoint(both(checkpoint(likely.distinct()), whole).mapInArrow(_confirm(num, den), "a long, b long").distinct())
 
     rank = F.struct(F.xxhash64("doc_id", F.pmod("band", F.lit(LEADERS))).alias("rank"), "doc_id")
     leaders = members.groupBy("key").agg(F.min(rank)["doc_id"].alias("leader"))
-    stars = members.join(leaders, "key").filter("doc_id != leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-    links = confirmed(stars.join(side("b"), "b").join(side("a"), "a").mapInArrow(_likely(num, den), "a long, b long"))
+    led = spread_join(members.select("key", "doc_id"), leaders, ["key"], F.xxhash64("doc_id"))
+    stars = checkpoint(led.filter("doc_id != leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct())
+    links = confirmed(both(stars, side).mapInArrow(_likely(num, den), "a long, b long"))
 
     of = components(links).withColumnRenamed("node", "doc_id")
-    current = members.join(of, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    current = checkpoint(members.select("key", "doc_id").distinct().join(of, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     open_keys = current.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = checkpoint(current.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
+    rest = checkpoint(spread_join(current, open_keys, ["key"], F.xxhash64("doc_id")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = rest.select("*", other.alias("other")).select("key", "own", "doc_id", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    groups = parts(spark, rest.count(), GROUP_ROWS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.join(sketches, "doc_id").withColumn("part", F.pmod(F.xxhash64("key", "x", "y"), F.lit(groups)))
-    found = dealt.groupBy("part").applyInArrow(_compare(num, den), "a long, b long").distinct()
+    size = rest.join(sketches.select("doc_id", F.octet_length("sketch").alias("bytes")), "doc_id").agg(F.sum(F.col("blocks") * F.col("bytes"))).first()[0]
+    groups = parts(spark, size or 0, GROUP_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = spread_join(dealt, sketches, ["doc_id"], F.xxhash64("key", "x", "y")).withColumn("part", F.pmod(F.xxhash64("key", "x", "y"), F.lit(groups)))
+    found = dealt.groupBy("part").applyInArrow(_compare(num, den), "a long, b long")
     return links.union(confirmed(found))
 
 
@@ -229,17 +271,23 @@ def near_dedup(documents: DataFrame, width: int = 5, num: int = 80, den: int = 1
     bounded_batches(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = checkpoint(texts.mapInArrow(_sketch(width, band_count(num, den)), "doc_id long, n_shingles long, digest_a long, digest_b long, bands array<long>, sketch binary"))
-    classes = every.filter("doc_id is not null and n_shingles > 0").groupBy("digest_a", "digest_b", "n_shingles").agg(F.min("doc_id").alias("leader"))
-    heads = every.drop("digest_a", "digest_b").join(classes.select(F.col("leader").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = every.filter("doc_id is not null and n_shingles > 0")
+    of = ["digest_a", "digest_b", "n_shingles"]
+    classes = known.groupBy(*of).agg(F.min("doc_id").alias("leader"))
+    heads = known.join(classes.withColumnRenamed("leader", "doc_id"), ["doc_id", *of], "left_semi").dropDuplicates(["doc_id", *of])
     keys = heads.select("doc_id", F.posexplode("bands").alias("band", "key"))
     members = checkpoint(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key", "left_semi"))
     ids = members.select("doc_id").distinct()
-    near_texts = checkpoint(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    near_texts = texts.join(ids, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("rank")).agg(F.min("text").alias("text")).select("doc_id", "text")
+    sets = checkpoint(near_texts.mapInArrow(_sets(width), "doc_id long, shingles binary").filter(F.octet_length("shingles") > 0).dropDuplicates())
     sketches = checkpoint(heads.select("doc_id", "sketch", "n_shingles").join(ids, "doc_id", "left_semi"))
-    found = components(_links(members, sketches, near_texts, width, num, den)).withColumnRenamed("node", "leader")
-    of_class = classes.join(found, "leader", "left").select("digest_a", "digest_b", F.col("n_shingles").alias("size"), F.coalesce("component", "leader").alias("component_id"))
-    same = (every.digest_a == of_class.digest_a) & (every.digest_b == of_class.digest_b) & (every.n_shingles == of_class["size"])
-    joined = every.join(of_class, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    # an id with several texts ties their classes together
+    several = known.groupBy("doc_id").agg(F.min("digest_a").alias("low"), F.max("digest_a").alias("high")).filter("low < high").select("doc_id")
+    tied = known.select("doc_id", *of).join(several, "doc_id", "left_semi").distinct().join(classes, of).select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
+    found = components(_links(members, sketches, sets, num, den).union(tied)).withColumnRenamed("node", "leader")
+    of_class = classes.join(found, "leader", "left").select("digest_a", "digest_b", "n_shingles", F.coalesce("component", "leader").alias("component_id"))
+    joined = spread_join(every.select("doc_id", *of), of_class, of, F.xxhash64("doc_id"), "left")
+    joined = joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return joined.withColumn("kept", F.expr("doc_id <=> component_id"))
 
 

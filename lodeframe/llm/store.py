@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -28,6 +29,28 @@ def parts(spark: SparkSession, size: float, each: float, least: int = 1) -> int:
     return max(least, int(-(-size // each)))
 
 
+HOT_ROWS, HOT_KEYS = 1000, 4096
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "inner", narrow: DataFrame | None = None) -> DataFrame:
+    """left joined with right, which holds each key once; a key of very many left rows is dealt over several tasks by the hash spread.
+
+    Hot keys, HOT_KEYS at most, are those with over max(HOT_ROWS, rows / HOT_KEYS) rows. Their right rows are copied to each part.
+    They are counted in narrow, which has left's rows at less cost, if it is given.
+    """
+    narrow = left if narrow is None else narrow
+    counts = checkpoint(narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > HOT_ROWS))
+    if counts.isEmpty():
+        return left.join(right, keys, how)
+    limit = max(HOT_ROWS, narrow.count() // HOT_KEYS)
+    hot = F.broadcast(counts.filter(F.col("_rows") > limit).select(*keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts")))
+    part = F.pmod(spread, F.coalesce("_parts", F.lit(1))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    dealt = left.join(hot, keys, "left").withColumn("_part", part).drop("_parts")
+    copied = right.join(hot, keys, "left").withColumn("_part", every).drop("_parts")
+    return dealt.join(copied, [*keys, "_part"], how).drop("_part")
+
+
 BATCH_ROWS = 512
 
 

@@ -75,10 +75,63 @@ def test_odd_sketch_estimates():
 
 def test_set_sketch_never_counts_too_much():
     rng = np.random.default_rng(2)
-    a = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
-    b = np.concatenate([a[:480], rng.integers(0, 1 << 63, 10, dtype=np.uint64)])
-    differ = np.bitwise_count(np.frombuffer(near.set_sketch(a), np.uint8) ^ np.frombuffer(near.set_sketch(b), np.uint8)).sum()
-    assert differ <= 30
+    for n in (500, 5000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate([a[: n - 20], rng.integers(0, 1 << 63, 10, dtype=np.uint64)])
+        x, y = (np.frombuffer(near.set_sketch(z), np.uint8)[None] for z in (a, b))
+        assert 20 <= np.bitwise_count(x ^ y).sum() <= 30
+        longer = np.frombuffer(near.set_sketch(np.concatenate([a, a[:1], b])), np.uint8)[None]
+        assert near.folded(longer, x.shape[1]).shape == x.shape
+    few, many = a[:300], a[:300]
+    short = np.frombuffer(near.set_sketch(few), np.uint8)[None]
+    bits = 4 * 8 * short.shape[1]
+    wide = np.packbits(np.bincount((many & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)[None]
+    assert (near.folded(wide, short.shape[1]) == short).all()
+
+
+def test_long_texts_of_one_template_are_hardly_ever_confirmed(spark, monkeypatch):
+    """80 texts of 4000 words, similarity about 0.75: none is linked, and the sketches drop nearly all pairs before full sets are read."""
+    rng, base, data = np.random.default_rng(5), [f"t{k}" for k in range(4000)], []
+    for i in range(80):
+        own = list(base)
+        for k in rng.choice(4000, 190, replace=False):
+            own[k] = f"own{i}x{k}"
+        data.append((i, " ".join(own)))
+    seen, checkpoint = [], near.checkpoint
+
+    def kept(df):
+        done = checkpoint(df)
+        if df.columns == ["a", "b"]:
+            seen.append(done.count())
+        return done
+
+    monkeypatch.setattr(near, "checkpoint", kept)
+    got = near.near_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(4), width=3, num=85, den=100).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in brute_groups(data, 3, 85, 100).items()}
+    assert sum(n for n in seen[1:]) < 200, seen  # after the stars themselves
+
+
+def test_texts_of_one_id_are_tied(spark):
+    a, b, c = prose(50, 120), prose(51, 120), prose(52, 120)
+    data = [(1, a), (2, b), (3, a), (3, b), (4, f"{b} x"), (5, c), (5, c), (6, c)]
+    for parts in (1, 5):
+        got = near.near_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(parts)).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5)} and len(got) == len(data)
+
+
+def test_hot_keys_are_spread_and_joined_alike(spark, monkeypatch):
+    from lodeframe.llm import graph, store
+
+    monkeypatch.setattr(store, "HOT_ROWS", 20)
+    monkeypatch.setattr(store, "HOT_KEYS", 10)
+    left = spark.range(500).selectExpr("case when id < 300 then 1 else id end as k", "id as v")
+    right = spark.range(0, 480).selectExpr("id as k", "id * 2 as w")
+    from pyspark.sql import functions as F
+
+    for how in ("inner", "left", "left_semi"):
+        assert sorted(map(str, store.spread_join(left, right, ["k"], F.xxhash64("v"), how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+    hub = spark.createDataFrame([(0, i) for i in range(1, 200)] + [(500, i) for i in range(150, 400)] + [(i, i + 1) for i in range(600, 640)], "a long, b long")
+    assert {r.node: r.component for r in graph.components(hub).collect()} == {i: 0 for i in [*range(400), 500]} | {i: 600 for i in range(600, 641)}
 
 
 def brute_removal(data, window):
