@@ -12,8 +12,10 @@ minimisers, so they meet in one bucket, where sorting finds the smallest documen
 3. Each bucket sorts its windows and returns the places of those that a smaller document holds.
 4. Documents are joined with their places, and covered words go.
 
-Hot minimisers: those with over max(hot_rows, total / 4096) documents, at most 4096 by that bound, have
-their windows split over sub-buckets by window code, so no bucket holds a hot group whole.
+Hot minimisers are those with over max(HOT_ROWS, total / HOT_MOST) documents, HOT_MOST at most. Their super-k-mers are dealt over
+several buckets by document. Each bucket names the smallest document of every window that it holds, once; these meet
+by window and the buckets that named a larger one than the smallest of all are told. So neither a hot minimiser nor a passage that most documents
+share meets in one task, and no super-k-mer is cut.
 
 Defined cases: a null or empty text has no words and n_removed 0; a text shorter than the window keeps all
 words; a row with a null doc_id is compared with nothing and keeps all; rows that repeat a doc_id all return, each judged by its own
@@ -37,8 +39,9 @@ from lodeframe.llm.store import bounded_batches, checkpoint, parts
 
 WINDOW, SEED = 50, 10
 FILTER_BITS = 27
-HOT_ROWS, HOT_MOST = 4096, 4096
+HOT_ROWS, HOT_MOST = 1000, 4096
 BUCKET_BYTES = 24e6
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Runs:
@@ -70,6 +73,15 @@ def _kept_texts(documents: DataFrame) -> DataFrame:
     return _texts(documents).filter("doc_id is not null and text is not null")
 
 
+def _once(texts: DataFrame) -> DataFrame:
+    """One row for each id and text. Only rows of ids that repeat are aggregated, and before the shuffle, as one may be most of the table."""
+    twice = checkpoint(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    if twice.isEmpty():
+        return texts
+    one = texts.join(twice, "doc_id", "left_semi").groupBy("doc_id", "digest").agg(F.min("text").alias("text")).select("doc_id", "text", "digest")
+    return texts.join(twice, "doc_id", "left_anti").select("doc_id", "text", "digest").union(one)
+
+
 def _minimisers(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,66 +94,123 @@ def _minimisers(window: int, seed: int):
     return run
 
 
-def _pack(window: int, seed: int, bits, hot, buckets: int):
+def _pack(window: int, seed: int, bits, hot, buckets: int, is_hot: bool):
+    """Super-k-mers with a kept minimiser, by bucket: those of hot minimisers, or all others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(bits.value, np.uint64)
         shift = np.uint64(64 - FILTER_BITS)
-        hot_keys, hot_split = hot.value
         for batch in batches:
             ids, digests = tk.int64_column(batch, "doc_id"), tk.int64_column(batch, "digest")
             for part in tk.slices(tk.text_column(batch, "text")):
                 runs = _Runs(part, window, seed)
                 slot = runs.minimiser.view(np.uint64) >> shift
-                hit = (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                split = _split(runs.minimiser, hot.value)
+                hit = ((bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1) & ((split > 1) == is_hot)
                 if not hit.any():
                     continue
-                begin, length, key, row, place = (x[hit] for x in (runs.begin, runs.length, runs.minimiser, runs.row, runs.place))
-                where = np.minimum(np.searchsorted(hot_keys, key), max(0, len(hot_keys) - 1))
-                is_hot = hot_keys[where] == key if len(hot_keys) else np.zeros(len(key), bool)
+                begin, length, key, row, place, split = (x[hit] for x in (runs.begin, runs.length, runs.minimiser, runs.row, runs.place, split))
                 total = int(length.sum())
-                of = np.repeat(np.arange(len(key)), length)  # each window's run
                 inner = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
-                codes, spots = runs.codes[begin[of] + inner], place[of] + inner
-                bucket = tk.mix(key.view(np.uint64))[of] % np.uint64(buckets)
-                if is_hot.any():
-                    split = np.where(is_hot, hot_split[where], 1)[of].astype(np.uint64)
-                    sub = tk.mix(codes ^ np.uint64(0x5BD1E995)) % split
-                    bucket = np.where(split > 1, tk.mix(key.view(np.uint64)[of] + sub * np.uint64(0x9E3779B9)) % np.uint64(buckets), bucket)
-                    order = np.lexsort((spots, sub, of))
-                    of, codes, spots, bucket, sub = of[order], codes[order], spots[order], bucket[order], sub[order]
-                    new = np.ones(total, bool)
-                    new[1:] = (of[1:] != of[:-1]) | (sub[1:] != sub[:-1]) | (spots[1:] != spots[:-1] + 1)
-                else:
-                    new = inner == 0
-                head = np.flatnonzero(new)
-                counts = np.diff(np.append(head, total))
-                at = part.first + row[of[head]]
+                at = part.first + row
+                salt = tk.mix((ids[at] ^ digests[at]).view(np.uint64)) % split.astype(np.uint64)
+                bucket = tk.mix(key.view(np.uint64) + salt * _STEP) % np.uint64(buckets)
                 yield pa.record_batch(
-                    [pa.array(bucket[head].astype(np.int32)), pa.array(key[of[head]]), pa.array(ids[at]), pa.array(digests[at]), pa.array(spots[head].astype(np.int32)), tk.packed(codes, counts)],
+                    [pa.array(bucket.astype(np.int32)), pa.array(key), pa.array(ids[at]), pa.array(digests[at]), pa.array(place), tk.packed(runs.codes[np.repeat(begin, length) + inner], length)],
                     ["bucket", "minimiser", "doc_id", "digest", "place", "codes"],
                 )
 
     return run
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    """The windows of a bucket that a smaller document holds: doc_id, digest and the packed places, by super-k-mer."""
-    table = table.combine_chunks()
+def _split(keys: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Over how many buckets each minimiser is dealt."""
+    known, parts_of = hot
+    if not len(known):
+        return np.ones(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, parts_of[at], 1)
+
+
+def _windows(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of each window of packed super-k-mers: code, minimiser, doc_id, place and the number of its row."""
     column = lambda name: table.column(name).chunk(0)
     codes, counts = tk.unpacked(column("codes"), np.uint64)
     of = np.repeat(np.arange(len(counts)), counts)
-    doc, key = column("doc_id").to_numpy()[of], column("minimiser").to_numpy()[of]
     spots = column("place").to_numpy()[of] + (np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts))
+    return codes, column("minimiser").to_numpy()[of], column("doc_id").to_numpy()[of], spots, of
+
+
+def _least(codes: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by window, where each window begins in it, and the smallest document of each place in it."""
     order = np.lexsort((doc, key, codes))
-    codes, key = codes[order], key[order]
     new = np.ones(len(order), bool)
-    new[1:] = (codes[1:] != codes[:-1]) | (key[1:] != key[:-1])
-    least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    new[1:] = (codes[order][1:] != codes[order][:-1]) | (key[order][1:] != key[order][:-1])
+    return order, np.flatnonzero(new), doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+
+
+def _repeats(table: pa.Table, told: pa.Table | None = None) -> pa.Table:
+    """The windows of a bucket that a smaller document holds: doc_id, digest and the packed places, by super-k-mer.
+
+    told holds windows of which another bucket has a smaller document.
+    """
+    table = table.combine_chunks()
+    if not len(table):
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], ["doc_id", "digest", "places"])
+    codes, key, doc, spots, of = _windows(table)
+    n = len(codes)
+    if told is not None and len(told):
+        told = told.combine_chunks()
+        more, counts = tk.unpacked(told.column("codes").chunk(0), np.uint64)
+        codes, key = np.concatenate([codes, more]), np.concatenate([key, np.repeat(told.column("minimiser").chunk(0).to_numpy(), counts)])
+        doc = np.concatenate([doc, tk.unpacked(told.column("docs").chunk(0), np.int64)[0]])
+    order, _, least = _least(codes, key, doc)
     found = np.zeros(len(order), bool)
     found[order] = doc[order] > least
+    found = found[:n]
     spots, of = spots[found].astype(np.int32), of[found]
     runs, sizes = np.unique(of, return_counts=True)
-    return pa.table([pa.array(column("doc_id").to_numpy()[runs]), pa.array(column("digest").to_numpy()[runs]), tk.packed(spots, sizes)], ["doc_id", "digest", "places"])
+    column = lambda name: pa.array(table.column(name).chunk(0).to_numpy()[runs])
+    return pa.table([column("doc_id"), column("digest"), tk.packed(spots, sizes)], ["doc_id", "digest", "places"])
+
+
+def _by(keys: list[np.ndarray], names: list[str], codes: np.ndarray, docs: np.ndarray) -> pa.Table:
+    """Windows and their documents packed into a row for each combination of keys."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    head = np.flatnonzero(new)
+    counts = np.diff(np.append(head, len(order)))
+    return pa.table([*[pa.array(k[head]) for k in keys], tk.packed(codes[order], counts), tk.packed(docs[order], counts)], [*names, "codes", "docs"])
+
+
+def _named(hot, buckets: int):
+    """The smallest document of each window of a bucket, packed by the part where windows meet."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        codes, key, doc, _, _ = _windows(table)
+        order, head, least = _least(codes, key, doc)
+        codes, key, doc = codes[order][head], key[order][head], least[head]
+        sub = tk.mix(codes ^ _STEP) % _split(key, hot.value).astype(np.uint64)
+        part = (tk.mix(key.view(np.uint64) + sub * _STEP) % np.uint64(buckets)).astype(np.int32)
+        bucket = np.full(len(codes), table.column("bucket").chunk(0).to_numpy()[0], np.int32)
+        return _by([part, bucket, key], ["part", "bucket", "minimiser"], codes, doc)
+
+    return run
+
+
+def _told(table: pa.Table) -> pa.Table:
+    """For each bucket the windows of which another one named a smaller document, and that document."""
+    table = table.combine_chunks()
+    codes, counts = tk.unpacked(table.column("codes").chunk(0), np.uint64)
+    docs, _ = tk.unpacked(table.column("docs").chunk(0), np.int64)
+    key, bucket = (np.repeat(table.column(x).chunk(0).to_numpy(), counts) for x in ("minimiser", "bucket"))
+    order, _, least = _least(codes, key, docs)
+    later = docs[order] > least
+    order, least = order[later], least[later]
+    return _by([bucket[order], key[order]], ["bucket", "minimiser"], codes[order], least)
 
 
 def _remove(window: int, keep_text: bool):
@@ -175,7 +244,7 @@ def repeated_places(documents: DataFrame, window: int = WINDOW, seed: int = SEED
     """doc_id, digest of the text and places (a list of packed int32 word positions) of the windows that smaller documents hold."""
     spark = documents.sparkSession
     bounded_batches(spark)
-    texts = _kept_texts(documents)
+    texts = _once(_kept_texts(documents))
     shared = checkpoint(
         texts.mapInArrow(_minimisers(window, seed), "minimiser long, doc_id long")
         .groupBy("minimiser")
@@ -185,7 +254,7 @@ def repeated_places(documents: DataFrame, window: int = WINDOW, seed: int = SEED
     )
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     limit = max(HOT_ROWS, total // HOT_MOST)
-    hot = sorted((r.minimiser, max(2, -(-r.n // limit))) for r in shared.filter(F.col("n") > limit).collect())  # HOT_MOST rows at most
+    most = sorted((r.minimiser, max(2, -(-r.n // limit))) for r in shared.filter(F.col("n") > limit).collect())  # HOT_MOST rows at most
     slot = F.shiftrightunsigned("minimiser", 64 - FILTER_BITS)
     # one row for each 64 slots: 2**(FILTER_BITS - 6) rows at most, whatever the input
     words = shared.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(minimiser, {64 - FILTER_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -193,9 +262,16 @@ def repeated_places(documents: DataFrame, window: int = WINDOW, seed: int = SEED
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     buckets = parts(spark, total * (window - seed) / 2 * 8, BUCKET_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     context = spark.sparkContext
-    split = context.broadcast((np.array([k for k, _ in hot], np.int64), np.array([n for _, n in hot], np.int64)))
-    packed = texts.mapInArrow(_pack(window, seed, context.broadcast(bitmap.tobytes()), split, buckets), "bucket int, minimiser long, doc_id long, digest long, place int, codes binary")
-    return packed.groupBy("bucket").applyInArrow(_repeats, "doc_id long, digest long, places binary").groupBy("doc_id", "digest").agg(F.collect_list("places").alias("places"))
+    hot, kept = context.broadcast((np.array([k for k, _ in most], np.int64), np.array([n for _, n in most], np.int64))), context.broadcast(bitmap.tobytes())
+    out = "doc_id long, digest long, places binary"
+    packed = lambda is_hot: texts.mapInArrow(_pack(window, seed, kept, hot, buckets, is_hot), "bucket int, minimiser long, doc_id long, digest long, place int, codes binary")
+    found = packed(False).groupBy("bucket").applyInArrow(lambda table: _repeats(table), out)
+    if most:
+        rows = checkpoint(packed(True))
+        named = rows.groupBy("bucket").applyInArrow(_named(hot, buckets), "part int, bucket int, minimiser long, codes binary, docs binary")
+        told = named.groupBy("part").applyInArrow(_told, "bucket int, minimiser long, codes binary, docs binary")
+        found = found.union(rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_repeats, out))
+    return found.groupBy("doc_id", "digest").agg(F.collect_list("places").alias("places"))
 
 
 def substring_dedup(documents: DataFrame, window: int = WINDOW, seed: int = SEED, keep_text: bool = True) -> DataFrame:

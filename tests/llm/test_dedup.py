@@ -177,9 +177,12 @@ def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
 
 def test_hot_minimisers_are_split(spark, monkeypatch):
     monkeypatch.setattr(sub, "HOT_ROWS", 5)
-    passage = prose(20, 70)
-    data = [(i, f"{prose(100 + i, 20)} {passage} {prose(300 + i, 20)}") for i in range(40)]
-    got = sub.substring_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    passage, line = prose(20, 70), prose(21, 12)
+    data = [(i * 7 % 41, f"{prose(100 + i, 20)} {passage} {prose(300 + i, 20)}") for i in range(40)]
+    data += [(50 + i, f"{prose(500 + i % 9, 60)} {line} {prose(700 + i % 11, 60)}") for i in range(60)]  # a common line in texts that differ around it
+    data += [(200, data[50][1])] * 30
+    got = sub.substring_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(data)
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == brute_removal(data, 50)
 
 
