@@ -66,3 +66,56 @@ def test_repeated_rows_stay_once(spark):
     assert len(kept) == len(set(kept))
     by = {i: sorted(t or "" for j, t in kept if j == i) for i in {i for i, _ in kept}}
     assert by[0] == [texts[0]] and by[2] == [texts[2]] and by[None] == ["", texts[5]]
+
+
+def test_stages_stand_odd_tables(spark, sf, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeats, an empty table and columns with clashing names."""
+    from fixtures import SCHEMA, documents, empty, rows
+
+    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+    docs = documents(spark)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        none = stage(spark, empty(spark), sf)
+        assert none.count() == 0
+        before = {(r.doc_id, r.text) for r in docs.collect()}
+        docs = stage(spark, docs, sf)
+        assert docs.columns == none.columns
+        if k == len(corpus_pipeline.STAGES) - 1:
+            break
+        assert docs.columns == columns
+        docs.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        after = [(r.doc_id, r.text) for r in docs.collect()]
+        if name != "PII":
+            assert set(after) <= before
+        if k == 1:
+            assert len(after) == len(set(after))
+        if name == "PII":
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in docs.collect())
+    pieces = docs.collect()
+    assert {(r.doc_id) for r in pieces} == {i for i, _ in after} and all(r.length == len(r.ids) // 4 for r in pieces)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_each_stage_on_odd_rows(spark, sf, k):
+    from fixtures import documents, rows, words
+
+    name, stage = corpus_pipeline.STAGES[k]
+    got = stage(spark, documents(spark), sf).collect()
+    own = {(r[0], r[1]) for r in rows()}
+    if k == 1:
+        assert {r.doc_id for r in got if r.doc_id is not None} == {0, *range(3, 15)} and len(got) == len({(r.doc_id, r.text) for r in got})
+    elif k == 2:
+        assert len(got) == len(rows())
+        assert all(r.text == dict(own)[r.doc_id] for r in got if r.doc_id in (0, 3, 4, 5, 10, 13))
+    elif k == 3:
+        sizes = {}
+        for r in rows():
+            sizes[r[3]] = sizes.get(r[3], 0) + len(words(r[1]))
+        assert {(r.doc_id, r.text) for r in got} <= own
+        assert all(sum(len(words(r.text)) for r in got if r.source == s) <= 3 * n for s, n in sizes.items())
+    elif k == 4:
+        assert sum(r.length == 1 for r in got) >= 3  # null and empty texts are the end id
+        assert {r.doc_id for r in got} == {i for i, _ in own}
+    else:
+        assert {(r.doc_id, r.text) for r in got} <= own
