@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents from raw texts to packed training sequences, each stage on all that its predecessor kept."""
+"""The corpus pipeline: documents from raw texts to packed training sequences, each stage on all that its predecessor kept.
+
+All stages stand nulls in any column, empty and very long texts, repeated rows, empty tables and columns of any further names: what isn't named below
+is carried along, and an empty table gives an empty one with the same columns.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,10 @@ from lodeframe.llm.store import checkpoint
 
 
 def _good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; the folds are those of its query."""
+    """Documents that the quality classifier rejects go; the folds are those of its query.
+
+    Null and empty texts are scored as such, a null id trains nothing, and rows that repeat are kept or go together.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     name = "_".join([*docs.columns, "score"])  # no column has it
     scores = quality.annotate(docs, labels, training.fold("doc_id", 3) != 1, name)
@@ -37,18 +44,18 @@ def _one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def _masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars follows."""
+    """Personal data is replaced by its kind; n_chars follows, where there is such a column. A null text stays null."""
     masked = pii.mask(docs)
     return masked.withColumn("n_chars", F.length("text").cast(masked.schema["n_chars"].dataType)) if "n_chars" in masked.columns else masked
 
 
 def _mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it. Null and empty texts have no words; a null source is one of its own."""
     return mixing.mix_documents(docs)
 
 
 def _packed(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    """A row for each piece, with its ids and its place in a sequence."""
+    """A row for each piece, with its ids and its place in a sequence. A null or empty text is the end id alone."""
     return packing.pack(docs, vocabulary or queries.vocabulary(), with_ids=True)
 
 
@@ -64,7 +71,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what one kept is written once, as the next may read it several times."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, checkpoint(docs) if k else docs, sf_dir)
     return docs
