@@ -82,3 +82,9 @@ mask_plain_addresses = _texts(lambda text: PLAIN_ADDRESS.sub(lambda m: "█" * l
 content_key = _texts(duplicate_key)
 composed = _texts(lambda text: unicodedata.normalize("NFC", text))
 address_places = _texts(lambda text: [{"start": a, "stop": b} for a, b in places(text)], T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def blank_texts(texts: pd.Series) -> pd.Series:
+    """Arrays of texts, each with its addresses blanked."""
+    return texts.map(lambda ts: [None if t is None else covered(t) for t in ts], na_action="ignore")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodeframe.functions import figures, text, urls
 from lodeframe.operators import agents, profile, reasons, retrieval, verdicts
 from lodeframe.plans.bindings import Registry
-from lodeframe.session import table
+from lodeframe.session import spread, table
 from lodeframe.sources import bundle
 
 query = Registry()
@@ -155,7 +155,7 @@ def _stated(price):
 @query("""SELECT o_orderkey, [printf('%.2f', o_totalprice)] AS figures, 2 AS places FROM orders""")
 def e1_figures(spark, sf):
     """The amounts of a text; dates, periods, items and forms are none."""
-    found = table(spark, sf, "orders").select("o_orderkey", figures.figures_of(_stated(F.col("o_totalprice"))).alias("f"))
+    found = spread(table(spark, sf, "orders")).select("o_orderkey", figures.figures_of(_stated(F.col("o_totalprice"))).alias("f"))
     return found.select("o_orderkey", F.transform("f", lambda x: x["value"]).alias("figures"), F.array_max(F.transform("f", lambda x: x["places"])).alias("places"))
 
 
@@ -164,7 +164,7 @@ def e15_directions(spark, sf):
     """Written directions and half-widths."""
     k = F.col("o_orderkey") % 4
     t = F.concat(F.when(k == 0, "It fell by about ").when(k == 1, "It rose ").when(k == 2, "A level of ").otherwise("It is ±"), F.format_string("%.1f", F.col("o_totalprice") / 1000), F.lit(" now"))
-    return table(spark, sf, "orders").select("o_orderkey", figures.figures_of(t)[0].alias("f")).select("o_orderkey", "f.direction", "f.half_width")
+    return spread(table(spark, sf, "orders")).select("o_orderkey", figures.figures_of(t)[0].alias("f")).select("o_orderkey", "f.direction", "f.half_width")
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'anchored' WHEN 1 THEN 'unanchored' WHEN 2 THEN 'no_figures' WHEN 3 THEN 'anchored' ELSE 'no_figures' END AS status FROM orders""")
@@ -175,7 +175,7 @@ def e31_figure_status(spark, sf):
     claim = F.when(k == 0, F.concat(F.lit("It came to $"), cents)).when(k == 1, F.concat(F.lit("It came to $"), F.format_string("%.2f", price + 7))).when(k == 2, "It came to nothing much").when(k == 3, F.concat(F.lit("It came to "), cents, F.lit(" thousand"))).otherwise(F.concat(F.lit("We say "), cents))
     span = F.concat(F.lit("The order was at "), cents, F.lit(" in all"))
     own = F.when(k == 4, F.array(price)).otherwise(F.array().cast("array<double>"))
-    return table(spark, sf, "orders").select("o_orderkey", figures.figure_status(claim, span, own, F.array().cast("array<string>"), F.lit(8000)).alias("status"))
+    return spread(table(spark, sf, "orders")).select("o_orderkey", figures.figure_status(claim, F.array(span), own, cap=8000).alias("status"))
 
 
 @query("""WITH p AS (SELECT l_orderkey, list(round(l_extendedprice / 1000, 3)) AS pool, max(round(l_extendedprice, -2)) AS v FROM lineitem GROUP BY 1)
@@ -233,7 +233,7 @@ def j1_profile(spark, sf):
     """Number forms by family, kind and verdict."""
     k = F.col("o_orderkey") % 3
     t = F.when(k == 0, F.concat(F.lit("On "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" it went on"))).when(k == 1, "It moved twenty-five basis points").otherwise("It moved by ½ percentage point")
-    report = profile.profile(table(spark, sf, "orders").select(t.alias("t")), "t")
+    report = profile.profile(spread(table(spark, sf, "orders")).select(t.alias("t")), "t")
     return report.groupBy("family", "kind", "verdict").agg(F.sum("n").alias("n"))
 
 
@@ -241,7 +241,7 @@ def j1_profile(spark, sf):
 def j1_pages_profile(spark, sf):
     """J1 to J11 over real pages and documents."""
     texts = table(spark, sf, "pages").select(F.col("html").alias("t")).union(table(spark, sf, "documents").select("text"))
-    return profile.profile(texts, "t")
+    return profile.profile(spread(texts), "t")
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN ['leaderboard'] WHEN 1 THEN ['units/', '://'] WHEN 2 THEN [] ELSE ['canary'] END::VARCHAR[] AS denied FROM events""")

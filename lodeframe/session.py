@@ -25,3 +25,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One Parquet table of a data folder; column pruning and pushdown are Catalyst's."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df):
+    """df over all cores, where it comes in fewer parts, as a small file does; for work that is heavy for each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
