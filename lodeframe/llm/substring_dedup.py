@@ -40,7 +40,7 @@ from lodeframe.llm.store import bounded_batches, checkpoint, parts
 WINDOW, SEED = 50, 10
 FILTER_BITS = 27
 HOT_ROWS, HOT_MOST = 1000, 4096
-BUCKET_BYTES = 24e6
+BUCKET_BYTES = 6e6
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,8 +145,13 @@ def _least(codes: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndar
     """An order by window, where each window begins in it, and the smallest document of each place in it."""
     order = np.lexsort((doc, key, codes))
     new = np.ones(len(order), bool)
-    new[1:] = (codes[order][1:] != codes[order][:-1]) | (key[order][1:] != key[order][:-1])
-    return order, np.flatnonzero(new), doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    for x in (codes, key):
+        x = x[order]
+        new[1:] &= x[1:] == x[:-1]
+    new[1:] = ~new[1:]
+    doc = doc[order]
+    head = np.flatnonzero(new)
+    return order, head, np.repeat(doc[head], np.diff(np.append(head, len(order))))
 
 
 def _repeats(table: pa.Table, told: pa.Table | None = None) -> pa.Table:
