@@ -19,6 +19,8 @@ gives no row; other columns are carried along by `mix_documents` and ignored oth
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -63,31 +65,32 @@ def _most(rows: DataFrame) -> int:
     return rows.groupBy("source_key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def _stops(rows: DataFrame, gaps: DataFrame, hint) -> DataFrame:
-    """source_key, gap, rank and row of the first row that overshoots the gap (null: none does), and the words reached before it.
+def _stops(rows: DataFrame, most: int, hint) -> DataFrame:
+    """source_key, stop_rank and stop_row of the first row that overshoots the gap (null: none does), and the words reached before it.
 
-    rows have source_key, size, rank and row. While a source has more than WINDOW_ROWS rows, sums go over a prefix of the rank, then over more of it,
-    and over partitions if so many rows share one rank; only the rest is sorted, so neither a large source nor many equal rows meet in one task.
+    rows have source_key, gap, size, rank and row, most of one source. While a source has more than WINDOW_ROWS rows, sums go over a prefix of the
+    rank, then over more of it, and over partitions if so many rows share one rank; only the rest is sorted, so neither a large source nor
+    many equal rows meet in one task.
     """
-    every = gaps.join(hint(rows.groupBy("source_key").agg(F.sum("size").alias("reached"))), "source_key")
-    found = gaps.select("source_key", "gap", F.lit(0).cast("long").alias("before"))
-    left = rows.select("source_key", "size", "rank", "row")
+    left = rows.select("source_key", "gap", F.lit(0).cast("long").alias("before"), "size", "rank", "row")
+    every = []
     for digit in (F.shiftright("rank", 48), F.shiftright("rank", 32), F.col("rank"), F.shiftright("row", 33)):
-        if _most(left) <= WINDOW_ROWS:
+        if most <= WINDOW_ROWS:
             break
         running = W.partitionBy("source_key").orderBy("digit").rowsBetween(W.unboundedPreceding, W.currentRow)
-        sums = left.join(hint(found), "source_key").groupBy("source_key", "gap", "before", digit.alias("digit")).agg(F.sum("size").alias("words")).withColumn("until", F.col("before") + F.sum("words").over(running))
-        # the first digit at which a sum is over the gap
-        ends = sums.filter("until > gap").groupBy("source_key", "gap").agg(F.min("digit").alias("digit"), F.min(F.col("until") - F.col("words")).alias("before"))
-        found = checkpoint(ends)
-        left = checkpoint(left.join(hint(found.select("source_key", F.col("digit").alias("end"))), "source_key").filter(digit == F.col("end")).drop("end"))
-        found = found.drop("digit")
+        sums = left.groupBy("source_key", "gap", "before", digit.alias("digit")).agg(F.sum("size").alias("words")).withColumn("until", F.col("before") + F.sum("words").over(running))
+        over = F.col("until") > F.col("gap")
+        # the first digit at which a sum is over the gap, and the words before it
+        ends = checkpoint(sums.groupBy("source_key").agg(F.min(F.when(over, F.col("digit"))).alias("end"), F.min(F.when(over, F.col("until") - F.col("words"))).alias("next"), F.max("until").alias("all")))
+        every.append(ends.filter("end is null").select("source_key", F.lit(None).cast("long").alias("stop_rank"), F.lit(None).cast("long").alias("stop_row"), F.col("all").alias("reached")))
+        left = checkpoint(left.join(hint(ends.select("source_key", "end", "next")), "source_key").filter(digit == F.col("end")).select("source_key", "gap", F.col("next").alias("before"), "size", "rank", "row"))
+        most = _most(left)
     order = W.partitionBy("source_key").orderBy("rank", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
-    sums = left.join(hint(found), "source_key").withColumn("until", F.col("before") + F.sum("size").over(order))
+    sums = left.withColumn("until", F.col("before") + F.sum("size").over(order))
     over = F.col("until") > F.col("gap")
-    last = sums.filter(over).groupBy("source_key").agg(F.min("until").alias("first"))
-    at = sums.join(hint(last), "source_key").filter("until = first and size > 0").select("source_key", F.col("rank").alias("stop_rank"), F.col("row").alias("stop_row"), (F.col("until") - F.col("size")).alias("reached"))
-    return checkpoint(every.join(hint(at), "source_key", "left").select("source_key", "gap", "stop_rank", "stop_row", F.coalesce(at["reached"], every["reached"]).alias("reached")))
+    found = sums.groupBy("source_key").agg(F.min(F.when(over, F.struct("rank", "row"))).alias("stop"), F.coalesce(F.max(F.when(~over, F.col("until"))), F.min("before")).alias("reached"))
+    every.append(found.select("source_key", F.col("stop.rank").alias("stop_rank"), F.col("stop.row").alias("stop_row"), "reached"))
+    return reduce(lambda a, b: a.union(b), every)
 
 
 def _is_before(rank: Column, row: Column) -> Column:
@@ -101,28 +104,32 @@ def _steps(narrow: DataFrame, gaps: DataFrame, hint) -> DataFrame:
     A step takes rows in order up to the first that overshoots; the next one goes on behind it with the rows that still fit. So each row in turn
     is taken if it fits, and the steps come to an end, as what stops a step is longer than the next one's gap.
     """
-    step = F.struct(F.col("gap").alias("gap"), "stop_rank", "stop_row")
-    stops = _stops(narrow, gaps, hint)
-    plan = checkpoint(stops.select("source_key", F.array(step).alias("steps"), (F.col("gap") - F.col("reached")).alias("gap"), "stop_rank", "stop_row"))
-    left = narrow
+    none = F.expr("cast(array() as array<struct<gap:bigint,stop_rank:bigint,stop_row:bigint>>)")
+    plan = gaps.select("source_key", "gap", none.alias("steps"), F.lit(-1).cast("long").alias("stop_rank"), F.lit(-1).cast("long").alias("stop_row"))
+    left, first = narrow, True
     while True:
-        open_ = plan.filter("gap > 0 and stop_rank is not null").select("source_key", "gap", F.col("stop_rank").alias("past"), F.col("stop_row").alias("past_row"))
-        behind = (F.col("rank") > F.col("past")) | (F.col("rank") == F.col("past")) & (F.col("row") > F.col("past_row"))
-        left = checkpoint(left.join(hint(open_), "source_key").filter((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & behind).select("source_key", "size", "rank", "row"))
-        if left.isEmpty():
+        behind = (F.col("rank") > F.col("stop_rank")) | (F.col("rank") == F.col("stop_rank")) & (F.col("row") > F.col("stop_row"))
+        fits = F.lit(True) if first else (F.col("size") > 0) & (F.col("size") <= F.col("gap")) & behind
+        open_ = plan.select("source_key", "gap", "stop_rank", "stop_row")
+        left = left.select("source_key", "size", "rank", "row").join(hint(open_), "source_key").filter(fits).select("source_key", "gap", "size", "rank", "row")
+        left = left if first else checkpoint(left)
+        most = _most(left)
+        if not most:
             return plan.select("source_key", "steps", "gap")
-        stops = _stops(left, plan.select("source_key", "gap").join(hint(left.select("source_key").distinct()), "source_key", "left_semi"), hint)
-        now = stops.select("source_key", F.array(step).alias("more"), "reached", F.col("stop_rank").alias("next_rank"), F.col("stop_row").alias("next_row"))
-        took = F.col("more").isNotNull()
+        now = _stops(left, most, hint).withColumnRenamed("stop_rank", "at_rank").withColumnRenamed("stop_row", "at_row")
+        step = F.struct("gap", F.col("at_rank").alias("stop_rank"), F.col("at_row").alias("stop_row"))
+        went = F.col("reached").isNotNull()
+        # a source of which nothing fits any more, or all does, is done: its stop is null
         plan = checkpoint(
             plan.join(hint(now), "source_key", "left").select(
                 "source_key",
-                F.when(took, F.concat("steps", "more")).otherwise(F.col("steps")).alias("steps"),
                 (F.col("gap") - F.coalesce("reached", F.lit(0))).alias("gap"),
-                F.when(took, F.col("next_rank")).alias("stop_rank"),
-                F.when(took, F.col("next_row")).alias("stop_row"),
+                F.when(went, F.array_append("steps", step)).otherwise(F.col("steps")).alias("steps"),
+                F.col("at_rank").alias("stop_rank"),
+                F.col("at_row").alias("stop_row"),
             )
         )
+        first = False
 
 
 def _taken(documents: DataFrame, columns: list[str], weights: Column | None, epochs: int) -> DataFrame:
@@ -141,7 +148,7 @@ def _taken(documents: DataFrame, columns: list[str], weights: Column | None, epo
     fraction = targets.withColumn("epochs", F.least(whole, F.lit(epochs).cast("long"))).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
     plan = _steps(narrow, fraction.select("source_key", F.floor("rest").cast("long").alias("gap")), hint)
     # rows of the first step are in, wordless ones too, then those that fit behind it; the nearest of the others closes the gap
-    first, fits = F.col("steps")[0], F.exists("steps", lambda s: (F.col("size") <= s["gap"]) & _is_before(s["stop_rank"], s["stop_row"]))
+    first, fits = F.get("steps", F.lit(0)), F.exists("steps", lambda s: (F.col("size") <= s["gap"]) & _is_before(s["stop_rank"], s["stop_row"]))
     is_in = _is_before(first["stop_rank"], first["stop_row"]) | (F.col("size") > 0) & fits
     others = narrow.join(hint(plan), "source_key").withColumn("off", F.abs(F.col("gap") - F.col("size"))).filter(~is_in & (F.col("off") < F.col("gap"))).select("source_key", "off", "rank", "row")
     least = checkpoint(others.groupBy("source_key").agg(F.min("off").alias("off")))
