@@ -100,8 +100,8 @@ def explode_claims(predictions: DataFrame, keys: list[str], most: int = MOST_CLA
 
 
 def first_claims(claims: DataFrame, keys: list[str], order: str, most: int = MOST_CLAIMS) -> DataFrame:
-    """The same cap where claims are rows already; the window's limit is pushed below its shuffle."""
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(order))
+    """The same cap where claims are rows already, one for each citation; the window's limit is pushed below its shuffle."""
+    place = F.dense_rank().over(W.partitionBy(*keys).orderBy(order))
     return claims.withColumn("claim_place", place).filter(F.col("claim_place") <= most)
 
 

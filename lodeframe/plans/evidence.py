@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from lodeframe.functions import figures, text, urls
-from lodeframe.operators import agents, profile, reasons, retrieval, verdicts
+from lodeframe.operators import agents, outcomes, profile, reasons, retrieval, verdicts
 from lodeframe.plans.bindings import Registry
 from lodeframe.session import spread, table
 from lodeframe.sources import bundle
@@ -102,10 +104,9 @@ def c7_window_words(spark, sf):
 
 @query()
 def c6_best_window(spark, sf):
-    """The window of a passage that shares most words with the claim, by Arrow and by expression."""
+    """The window of a passage that shares most words with the claim."""
     pairs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("whole"), (F.col("doc_id") % 40).alias("item_id")).join(table(spark, sf, "benchmark").withColumnRenamed("text", "claim"), "item_id")
-    native = text.windows_native(F.col("whole"), F.lit(400), F.col("claim"))
-    return pairs.select("doc_id", text.best_window("whole", F.lit(400), "claim").alias("start"), native["start"].alias("native_start"), native["shared"].alias("shared"))
+    return pairs.select("doc_id", text.best_window(F.col("whole"), F.lit(400), F.col("claim")).alias("start"))
 
 
 @query("""SELECT p_partkey, unnest([p_name || ' ' || 'misses the bar.', 'It holds that ' || p_name || ' misses the bar.', 'The evidence says that ' || p_name || ' misses the bar.']) AS hypothesis, unnest([0, 1, 2])::INT AS phrasing FROM part""")
@@ -340,13 +341,20 @@ def a22_answer_sink(spark, sf):
     return answer.select("submission_id", F.size(back["entity_predictions"]).cast("long").alias("n"), (back["task_id"] == "t").alias("written"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'cutoff_violation' WHEN o_orderkey % 3 = 0 THEN 'roster_mismatch' ELSE 'domain_gate_failed' END AS label FROM orders""")
+REASON = "CASE o_orderkey % 8 WHEN 0 THEN 'post_cutoff' WHEN 1 THEN 'missing' WHEN 2 THEN 'schema' WHEN 3 THEN 'reversed' WHEN 4 THEN 'no_answer' WHEN 5 THEN 'unresolved' WHEN 6 THEN 'task_mismatch' END"
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, {REASON} AS reason FROM orders)
+SELECT o_orderkey, CASE WHEN reason = 'reversed' THEN 't4_miscalibrated_interval' WHEN reason = 'unresolved' THEN 't4_unfaithful_citation' WHEN reason = 'post_cutoff' THEN 't4_stale_evidence' WHEN reason IS NOT NULL THEN 'schema_invalid_output' END AS label,
+  CASE reason WHEN 'post_cutoff' THEN 'cutoff_violation' WHEN 'missing' THEN 'incomplete_output' WHEN 'schema' THEN 'schema_invalid' WHEN 'no_answer' THEN 'no_output' ELSE CASE WHEN reason IS NOT NULL THEN 'domain_gate_failed' END END AS code,
+  CASE WHEN reason IS NOT NULL THEN o_orderkey % 5 END::BIGINT AS missing_count FROM r""")
 def b26_labels(spark, sf):
-    """Public labels of failures, with a default."""
+    """The public label and code of each reason, and the detail that may be published: code and counts."""
     k = F.col("o_orderkey")
-    code = F.when(k % 2 == 0, "post_cutoff").when(k % 3 == 0, "missing").otherwise("other")
-    labels = F.create_map(*[F.lit(x) for pair in {"post_cutoff": "cutoff_violation", "undated": "cutoff_violation", "unresolved": "unfaithful", "malformed": "roster_mismatch", "duplicate": "roster_mismatch", "unknown": "roster_mismatch", "missing": "roster_mismatch"}.items() for x in pair])
-    return table(spark, sf, "orders").select("o_orderkey", F.coalesce(F.try_element_at(labels, code), F.lit("domain_gate_failed")).alias("label"))
+    reason = reduce(lambda chain, x: F.when(k % 8 == x[0], x[1]).otherwise(chain), enumerate(["post_cutoff", "missing", "schema", "reversed", "no_answer", "unresolved", "task_mismatch"]), F.lit(None).cast("string"))
+    rows = table(spark, sf, "orders").withColumn("reason", reason)
+    detail = outcomes.public_detail(F.col("reason"), {"missing_count": k % 5})
+    return rows.select("o_orderkey", outcomes.public_label(F.col("reason")).alias("label"), detail["code"].alias("code"), detail["missing_count"].alias("missing_count"))
 
 
 @query("""SELECT d.doc_id, b.text AS hypothesis, round(len(list_intersect(list_distinct(list_filter(string_split_regex(lower(trim(b.text)), '[ \n\t\r]+'), lambda x: length(x) > 2)), list_distinct(list_filter(string_split_regex(lower(trim(d.text)), '[ \n\t\r]+'), lambda x: length(x) > 2))))

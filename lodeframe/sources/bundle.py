@@ -9,11 +9,14 @@ of any number of units are verified in parallel. An organiser's fault is a row i
 from __future__ import annotations
 
 import tomllib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lodeframe.operators import alignment, citations
+
 # fixed values of the contract
 MOST_BYTES, DIGEST, CORPUS_PATH = 8 * 1024 * 1024, "^[0-9a-f]{64}$", r"^corpus/([A-Za-z0-9][A-Za-z0-9._-]{0,127})\.json$"
 CARD_DEFAULTS = {"interval_level": 0.90, "faithfulness_threshold": 0.80, "tau_citation": 0.5, "composite_weights": [0.7, 0.3], "interval_leg": True}
@@ -21,7 +24,7 @@ LEGACY_THRESHOLD = 0.80
 TASK = "task_id string, schema_version string, family string, target struct<name:string,type:string,labels:array<string>,label_assertions:map<string,string>>, prompt string, cutoff_date string, resolution_date string, interval_level double, entities array<string>"
 MANIFEST = "manifest_version string, unit_id string, files array<struct<path:string,role:string,sha256:string,bytes:bigint,shared:boolean,entity_ids:array<string>>>"
 DOCUMENT = "doc_id string, doc_date string, source string, title string, text string, spans array<struct<span_id:string,start:int,end:int,text:string>>"
-ANSWER = "task_id string, target_type string, entity_predictions array<struct<entity_id:string,label:string,point_forecast:double,rank:double,interval:struct<level:double,lo:double,hi:double>,claims:array<struct<doc_id:string,span_start:double,span_end:double,claim:string,text:string>>>>, submitted_reasons array<struct<reason_id:string,premise:string,mechanism:string,answer_implication:string>>, notes string"
+ANSWER = "task_id string, target_type string, entity_predictions array<struct<entity_id:string,label:string,point_forecast:double,rank:double,interval:struct<level:double,lo:double,hi:double>,claims:array<struct<doc_id:string,span_start:variant,span_end:variant,claim:string,text:string>>>>, submitted_reasons array<struct<reason_id:string,premise:string,mechanism:string,answer_implication:string>>, notes string"
 OUTCOME = "unit_id string, cutoff_date string, target_type string, outcomes array<struct<entity_id:string,true_label:string,direction:string,y:double,true_value:double>>"
 
 
@@ -36,7 +39,8 @@ def files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 def strict_json(content: Column, schema: str) -> tuple[Column, Column]:
     """(object, fault): text that isn't a JSON object of UTF-8 is a fault; NaN and Infinity are none that JSON knows."""
     text = F.decode(content, "UTF-8")
-    bare = text.rlike(r'(?s)[:\[,]\s*-?(?:NaN|Infinity)\s*[,\]}]')
+    outside = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', '""')  # what strings hold is no number
+    bare = outside.rlike(r'(?s)[:\[,]\s*-?(?:NaN|Infinity)\s*[,\]}]')
     broken = F.try_parse_json(text).isNull() | ~F.ltrim(text).startswith("{")
     return F.from_json(text, schema), F.when(bare, "non_finite").when(broken, "not_json")
 
@@ -138,3 +142,107 @@ def install_plan(units: DataFrame, found: DataFrame) -> DataFrame:
 def must_be_sound(df: DataFrame) -> DataFrame:
     """df, or an error that names the first fault, raised by the job that reads it."""
     return df.withColumn("fault", F.when(F.col("fault").isNotNull(), F.raise_error(F.concat(F.lit("organiser's fault: "), F.col("fault")))))
+
+
+# ---- whole bundles -----------------------------------------------------------------------------------------------------------
+NAIVE, TASK_TABLE_LINE = "reference/naive_answer.json", "line"
+
+
+def unit_folders(spark: SparkSession, root: str) -> DataFrame:
+    """unit of each folder under root that holds a corpus manifest or one of its own; what has neither is no unit."""
+    found = [files(spark, root, pattern).select("unit") for pattern in ("manifest.json", "corpus/manifest.json") if _any(spark, f"{root}/*/{pattern}")]
+    return reduce(lambda a, b: a.union(b), found).distinct() if found else spark.createDataFrame([], "unit string")
+
+
+def _any(spark: SparkSession, pattern: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
+def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """files(), or no row where no unit has such a file."""
+    if _any(spark, f"{root}/*/{pattern}"):
+        return files(spark, root, pattern)
+    return spark.createDataFrame([], "unit string, file string, content binary, bytes long, sha256 string")
+
+
+def task_roster(task: DataFrame) -> DataFrame:
+    """unit, pos, entity_id, name and line of each entity of tasks (unit, entities: JSON texts), the line being the entity's row in the task's table."""
+    text = F.col("entity")
+    return task.select("unit", F.posexplode("entities").alias("pos", "entity")).select("unit", "pos", F.get_json_object(text, "$.entity_id").alias("entity_id"), F.get_json_object(text, "$.name").alias("name"), _spaced(text).alias(TASK_TABLE_LINE))
+
+
+def _spaced(text: Column) -> Column:
+    """JSON text with ", " and ": " between its parts, as the task's table is written; strings stay as they are."""
+    token = r'"(?:[^"\\]|\\.)*"|[,:]|[^",:]+'
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(token), F.lit(0)), lambda t: F.when(t.isin(",", ":"), F.concat(t, F.lit(" "))).otherwise(F.when(t.startswith('"'), t).otherwise(F.trim(t)))), "")
+
+
+def answer_rows(read: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(predictions, claims) of answers (keys and the columns of ANSWER), in the order of the file; only the first claims of an entity count."""
+    rows = read.filter("fault is null").select(*keys, F.explode("entity_predictions").alias("p"))
+    predictions = rows.select(*keys, "p.entity_id", "p.label", F.col("p.point_forecast").alias("point"), F.col("p.interval.lo").alias("low"), F.col("p.interval.hi").alias("high"), F.col("p.interval.level").alias("level"), F.col("p.claims").alias("claims"))
+    each = alignment.explode_claims(predictions, keys)
+    whole = lambda name: alignment.whole_offset(F.to_json(name))
+    claims = each.select(*keys, "entity_id", "claim_pos", "doc_id", whole("span_start")[0].alias("span_start"), whole("span_end")[0].alias("span_end"), (whole("span_start")[1] | whole("span_end")[1]).alias("bad_offsets"), F.coalesce("claim", "text").alias("claim"))
+    return predictions.drop("claims"), claims
+
+
+def hydrate(spark: SparkSession, root: str, submissions: str | None = None) -> dict[str, DataFrame]:
+    """The tables of an evaluation from the unit folders under root, and `faults`: what of the organiser's material can't be trusted.
+
+    Answers are read from submissions/<unit>/<submission>.json. A naive answer has to be there, and to cover the roster, where there is an outcome.
+    """
+    units = unit_folders(spark, root)
+    tasks_ = tasks(_files(spark, root, "task.json").select("unit", "content")).join(units, "unit", "left_semi")
+    texts = {r.unit: bytes(r.content).decode() for r in _files(spark, root, "card.toml").join(units, "unit", "left_semi").select("unit", "content").collect()}  # small files, one for each unit
+    card = cards(spark, texts)
+    target = F.coalesce("target_type", "target.type")
+    made = tasks_.withColumnRenamed("fault", "task_fault").join(card.select("unit", F.col("target_type"), F.col("interval_level").alias("level"), "w_a", "w_c", "interval_leg", F.col("fault").alias("card_fault")), "unit")
+    cutoff = citations.iso_date(F.col("cutoff_date"))
+    unit_table = made.select(F.col("unit").alias("unit_id"), target.alias("target_type"), cutoff.alias("cutoff"), F.col("target.labels").alias("labels"), "level", "w_a", "w_c", "interval_leg", "task_id")
+    roster = task_roster(tasks_).withColumnRenamed("unit", "unit_id")
+    manifests = _files(spark, root, "manifest.json").select("unit", "file", "content").union(_files(spark, root, "corpus/manifest.json").select("unit", "file", "content"))
+    docs = verified_documents(manifest_entries(manifests), _files(spark, root, "corpus/*.json"))
+    outcome = outcomes(_files(spark, root, "reference/outcome.json"))
+    rule = answers(_files(spark, root, NAIVE).select("unit", "content")).withColumnRenamed("unit", "unit_id")
+    naive, _ = answer_rows(rule, ["unit_id"])
+    read = _submissions(spark, submissions or f"{root}-answers")
+    predictions, claims = answer_rows(read, ["submission_id", "unit_id"])
+    bad = claims.filter("bad_offsets").select("submission_id", "unit_id", F.lit("bad_offsets").alias("bad")).distinct()
+    answer_table = read.join(bad, ["submission_id", "unit_id"], "left").select("submission_id", "unit_id", F.coalesce("fault", F.when(F.col("schema_faults") > 0, "schema"), "bad").alias("fault"), "task_id")
+    covered = alignment.roster_check(roster.join(outcome.select("unit_id").distinct(), "unit_id", "left_semi").select("unit_id", "entity_id"), naive.select("unit_id", "entity_id"), ["unit_id"])
+    faults = reduce(
+        lambda a, b: a.unionByName(b),
+        [
+            made.select(F.col("unit").alias("unit_id"), F.lit("task.json").alias("file"), F.coalesce("task_fault", F.when(cutoff.isNull(), "no_cutoff")).alias("fault")),
+            made.select(F.col("unit").alias("unit_id"), F.lit("card.toml").alias("file"), F.col("card_fault").alias("fault")),
+            units.join(made.select("unit"), "unit", "left_anti").select(F.col("unit").alias("unit_id"), F.lit("task.json").alias("file"), F.lit("missing_file").alias("fault")),
+            alignment.roster_faults(roster, ["unit_id"]).select("unit_id", F.lit("task.json").alias("file"), F.lit("roster").alias("fault")),
+            docs.select(F.col("unit").alias("unit_id"), F.col("doc_id").alias("file"), "fault"),
+            rule.select("unit_id", F.lit(NAIVE).alias("file"), "fault"),
+            covered.filter("reason <> 'unknown'").select("unit_id", F.lit(NAIVE).alias("file"), F.concat(F.lit("roster_"), "reason").alias("fault")),
+        ],
+    ).filter("fault is not null")
+    sound = docs.filter("fault is null").select(F.col("unit").alias("unit_id"), "doc_id", "doc_date", "text", "shared", "entity_ids")
+    return {
+        "units": unit_table, "roster": roster, "answers": answer_table, "predictions": predictions, "claims": claims.drop("bad_offsets"), "docs": sound,
+        "truth": outcome.select("unit_id", "entity_id", "true_label", "y"), "naive": naive.select("unit_id", "entity_id", "label", "point", "low", "high"), "faults": faults,
+    }
+
+
+def _submissions(spark: SparkSession, root: str) -> DataFrame:
+    """submission_id, unit_id, the answer's columns, schema_faults and fault of root/<unit>/<submission>.json."""
+    found = _files(spark, root, "*.json").select(F.col("unit").alias("unit_id"), F.regexp_extract("file", r"([^/]+)\.json$", 1).alias("submission_id"), "content")
+    body, broken = strict_json(F.col("content"), ANSWER)
+    rows = found.select("submission_id", "unit_id", body.alias("a"), broken.alias("fault"))
+    return rows.select("submission_id", "unit_id", "a.*", alignment.schema_faults(F.col("a")).alias("schema_faults"), "fault")
+
+
+def self_check(claims: DataFrame, docs: DataFrame) -> DataFrame:
+    """The claims of one's own answer (unit_id, entity_id, doc_id, span_start, span_end) that don't resolve to a piece of their document."""
+    joined = claims.join(docs.select("unit_id", "doc_id", "text"), ["unit_id", "doc_id"], "left")
+    start, end = F.col("span_start"), F.col("span_end")
+    sound = (start >= 0) & (start < end) & (end <= F.length("text"))
+    return joined.filter(~F.coalesce(sound, F.lit(False))).select("unit_id", "entity_id", "doc_id", "span_start", "span_end", F.when(F.col("text").isNull(), "unknown_doc").otherwise("bad_span").alias("code"))

@@ -36,12 +36,38 @@ def test_entry_imports():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_window_choice_by_arrow_is_the_best(spark):
+def _best_start(whole, length, claim):
+    """The window with most of the claim's words, start by start."""
+    import re
+
+    from lodeframe.functions import text
+
+    def words(t):
+        return {w for w in (x.strip(".-") for x in re.findall(r"[a-z0-9][a-z0-9.\-]*", t.lower())) if len(w) > 1} - set(text.WINDOW_STOPWORDS)
+
+    ends = sorted({m.end() for p in (r"\n", r"[.;]\s") for m in re.finditer(p, whole)})
+    starts, half = [0], max(length // 2, 1)
+    while (least := starts[-1] + half) < len(whole):
+        start = next((e for e in ends if e >= least), least)
+        if start >= len(whole):
+            break
+        starts.append(start)
+    return max(starts, key=lambda s: (len(words(claim) & words(whole[s : s + length])), -s))
+
+
+def test_window_choice_is_the_best(spark, sf):
+    from pyspark.sql import functions as F
+
     from lodeframe.functions import text
 
     whole = "Rates rose. " * 20 + "\nGuidance for copper was cut sharply. " + "Nothing else. " * 20
-    assert "copper" in whole[text.best_start(whole, 120, "copper guidance cut") :][:120]
-    assert text.best_start(whole, len(whole), "copper") == 0
+    cases = [(whole, 120, "copper guidance cut"), (whole, len(whole), "copper"), (whole, 7, "nothing"), ("", 5, "x"), ("a; b\n\nc. d", 1, "c"), ("no bounds here" * 30, 40, "bounds")]
+    cases += [(t, 400, c) for t, c in _read(sf, "select d.text, b.text from documents d join benchmark b on d.doc_id % 40 = b.item_id where d.doc_id < 60")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, n int, c string")
+    got = {r.i: r.s for r in df.select("i", text.best_window(F.col("t"), F.col("n"), F.col("c")).alias("s")).collect()}
+    assert got == {i: _best_start(*c) for i, c in enumerate(cases)}
+    at = got[0]
+    assert "copper" in whole[at : at + 120]
 
 
 def test_roster_check_counts_all_orders(spark, sf):
