@@ -63,7 +63,9 @@ def answer_json(df: DataFrame) -> DataFrame:
 @F.pandas_udf(T.StringType())
 def number_text(value: pd.Series) -> pd.Series:
     """Integers as such, other numbers with six significant digits."""
-    return value.map(lambda x: str(int(x)) if math.isfinite(x) and x == int(x) and abs(x) < 1e15 else f"{x:.6g}", na_action="ignore")
+    codes, distinct = pd.factorize(value)  # each distinct number is written once
+    written = [str(int(x)) if math.isfinite(x) and x == int(x) and abs(x) < 1e15 else f"{x:.6g}" for x in distinct.tolist()]
+    return pd.Series([None if c < 0 else written[c] for c in codes], dtype=object)
 
 
 def hypotheses(target: Column, name: Column, kind: Column, assertion: Column, point: Column, low: Column, high: Column, rank: Column) -> Column:

@@ -59,11 +59,22 @@ def denied(seen: Column) -> Column:
 
 
 def premise_quotes(premises: DataFrame, docs: DataFrame, on: list[str], masked: bool = True) -> DataFrame:
-    """premises with is_quote: three words or more after masking addresses, and a piece of a document of the same unit."""
+    """premises with is_quote: three words or more after masking addresses, and a piece of a document of the same unit.
+
+    The words inside a premise stand whole in a document that holds it, so a premise meets only the documents of its unit that have
+    the rarest of them, not every one.
+    """
     mask = mask_addresses if masked else (lambda x: x)
+    words = lambda text: F.split(text, r"\s+")
     asked = premises.withColumn("wanted", F.trim(mask(F.col("premise"))))
-    pairs = asked.filter(F.size(F.split("wanted", r"\s+")) >= QUOTE_WORDS).join(docs.select(*on, mask(F.col("text")).alias("doc_text")), on)
-    hit = pairs.filter(F.contains("doc_text", F.col("wanted"))).select(*on, "premise").distinct().withColumn("is_quote", F.lit(True))
+    long = asked.select(*on, "premise", "wanted").distinct().filter(F.size(words(F.col("wanted"))) >= QUOTE_WORDS)
+    inner = long.select(*on, "premise", "wanted", F.explode(F.array_distinct(F.slice(words(F.col("wanted")), 2, F.size(words(F.col("wanted"))) - 2))).alias("word"))
+    texts = docs.select(*on, mask(F.col("text")).alias("doc_text"))
+    held = texts.select(*on, "doc_text", F.explode(F.array_distinct(words(F.col("doc_text")))).alias("word")).join(inner.select(*on, "word").distinct(), [*on, "word"], "left_semi")
+    common = held.groupBy(*on, "word").agg(F.count(F.lit(1)).alias("n"))
+    # a word that no document has leaves no quote; otherwise the rarest one decides which documents are read
+    rarest = inner.join(common, [*on, "word"], "left").groupBy(*on, "premise", "wanted").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))["word"].alias("word"))
+    hit = rarest.join(held, [*on, "word"]).filter(F.contains("doc_text", F.col("wanted"))).select(*on, "premise").distinct().withColumn("is_quote", F.lit(True))
     return asked.drop("wanted").join(hit, [*on, "premise"], "left").withColumn("is_quote", F.coalesce("is_quote", F.lit(False)))
 
 

@@ -36,7 +36,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, cutoff: Column, k: int) -> DataF
     """query_id, doc_id, start, score and rank of the k best chunks of each query.
 
     Terms are filtered to those that queries use before anything is shuffled, so the postings that move follow the
-    queries' terms, not the corpus. Order: score, then doc_id, then start.
+    queries' terms, not the corpus. Order: score to nine digits, as sums of doubles differ behind them, then doc_id, then start.
     """
     usable = chunks.filter(F.coalesce(F.col("doc_date") <= cutoff, F.lit(False))).select("doc_id", "start", tokens(F.col("text")).alias("terms"))
     sized = usable.withColumn("n", F.size("terms"))
@@ -49,7 +49,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, cutoff: Column, k: int) -> DataF
     weighed = frequency.join(F.broadcast(totals)).withColumn("idf", F.log(1 + (F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     each = postings.join(weighed, "term").withColumn("part", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean"))))
     scored = each.join(asked, "term").groupBy("query_id", "doc_id", "start").agg(F.sum("part").alias("score")).filter("score > 0")
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id", "start")
+    order = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id", "start")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -60,9 +60,12 @@ def overlap_best(docs: DataFrame, queries: DataFrame, cutoff: Column, most_chars
     """
     passing = docs.filter(~F.coalesce(F.col("doc_date") > cutoff, F.lit(False))).select("doc_id", "pos", "text", tokens(F.col("text"), 2).alias("terms")).filter(F.size("terms") > 0)
     asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"), 2)).alias("asked")).filter(F.size("asked") > 0)
-    words = passing.select("doc_id", F.explode("terms").alias("term"), F.size("terms").alias("n"))
-    hits = words.join(asked.select("query_id", F.explode("asked").alias("term")), "term").groupBy("query_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("shared"))
-    best = hits.withColumn("score", F.col("shared") / F.sqrt(F.col("n"))).join(passing.select("doc_id", "pos"), "doc_id").groupBy("query_id").agg(F.max(F.struct("score", (-F.col("pos")).alias("order"), "doc_id")).alias("best"))
+    wanted = asked.select("query_id", F.explode("asked").alias("term"))
+    # only terms that a query has are moved, and each once for a document
+    words = passing.select("doc_id", "pos", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    counted = words.groupBy("term", "doc_id", "pos", "n").agg(F.count(F.lit(1)).alias("tf"))
+    hits = counted.join(wanted, "term").groupBy("query_id", "doc_id", "pos", "n").agg(F.sum("tf").alias("shared"))
+    best = hits.withColumn("score", F.col("shared") / F.sqrt(F.col("n"))).groupBy("query_id").agg(F.max(F.struct("score", (-F.col("pos")).alias("order"), "doc_id")).alias("best"))
     # queries that share no token get the first document with score 0
     first = passing.agg(F.min(F.struct("pos", "doc_id")).alias("first"))
     chosen = asked.select("query_id").join(best, "query_id", "left").join(F.broadcast(first)).select("query_id", F.coalesce("best.doc_id", "first.doc_id").alias("doc_id"), F.coalesce("best.score", F.lit(0.0)).alias("score"))

@@ -22,16 +22,15 @@ def _chunks(spark, sf):
     return table(spark, sf, "documents").select(F.concat(F.lit("D"), d.cast("string")).alias("doc_id"), F.when(d % 13 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (d % 300).cast("int"))).alias("doc_date"), (d % 5 * 10).cast("int").alias("start"), d.cast("int").alias("pos"), "text")
 
 
-def _queries(spark, sf, words: int | None = 8):
-    text = F.col("text") if words is None else F.array_join(F.slice(F.split("text", " "), 1, words), " ")
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"))
+def _queries(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query("""WITH c AS (SELECT 'D' || doc_id AS doc_id, (doc_id % 5 * 10)::INT AS start, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1) AS terms FROM documents WHERE doc_id % 13 <> 0 AND doc_id % 300 <= 250),
 n AS (SELECT *, len(terms) AS n FROM c), t AS (SELECT count(*) AS chunks, avg(n) AS mean FROM n),
 p AS (SELECT term, doc_id, start, n, count(*) AS tf FROM (SELECT doc_id, start, n, unnest(terms) AS term FROM n) GROUP BY ALL),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:8], ' ')), '[a-z0-9]+'), lambda x: length(x) > 1))) AS term FROM benchmark),
+q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1))) AS term FROM benchmark),
 s AS (SELECT query_id, doc_id, start, sum(ln(1 + (chunks - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))) AS score FROM q JOIN p USING (term) JOIN f USING (term), t GROUP BY 1, 2, 3)
 SELECT query_id, doc_id, start, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id, start)::INT AS rank FROM s) WHERE rank <= 5""")
 def h3_bm25(spark, sf):
@@ -40,16 +39,9 @@ def h3_bm25(spark, sf):
     return found.withColumn("score", F.round("score", 6))
 
 
-@query()
-def h3_bm25_whole(spark, sf):
-    """The same for whole passages; the SQL of h3_bm25 cuts them to eight words."""
-    found = retrieval.bm25(_chunks(spark, sf), _queries(spark, sf, None), F.lit("2024-09-07").cast("date"), 5)
-    return found.withColumn("score", F.round("score", 6))
-
-
 @query("""WITH c AS (SELECT doc_id, text, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2) AS terms FROM documents WHERE doc_id % 13 = 0 OR doc_id % 300 <= 250),
 u AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM c),
-q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:8], ' ')), '[a-z0-9]+'), lambda x: length(x) > 2))) AS term FROM benchmark),
+q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2))) AS term FROM benchmark),
 s AS (SELECT query_id, doc_id, count(*) / sqrt(any_value(n)) AS score FROM q JOIN u USING (term) GROUP BY 1, 2),
 b AS (SELECT query_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) = 1),
 z AS (SELECT i.query_id, coalesce(b.doc_id, (SELECT min(doc_id) FROM u)) AS doc_id, coalesce(score, 0.0) AS score FROM (SELECT DISTINCT query_id FROM q) i LEFT JOIN b USING (query_id))
@@ -60,13 +52,6 @@ def h4_overlap(spark, sf):
     return found.withColumn("score", F.round("score", 8))
 
 
-@query()
-def h4_overlap_whole(spark, sf):
-    """The same for whole passages; the SQL of h4_overlap cuts them to eight words."""
-    found = retrieval.overlap_best(_chunks(spark, sf), _queries(spark, sf, None), F.lit("2024-09-07").cast("date"))
-    return found.withColumn("score", F.round("score", 8))
-
-
 @query("""WITH p AS (SELECT d.doc_id, d.text, b.text[1:40] AS quote FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id
 UNION ALL SELECT doc_id + 1000000, text, replace(text[21:50], '''', '’') FROM documents)
 SELECT doc_id, CASE WHEN trim(quote) = '' THEN NULL WHEN instr(text, trim(quote)) > 0 THEN instr(text, trim(quote)) - 1 WHEN instr(text, replace(trim(quote), '’', '''')) > 0 THEN instr(text, replace(trim(quote), '’', '''')) - 1 END::INT AS start FROM p""")
@@ -133,16 +118,9 @@ def c14_addresses(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.blank_addresses(t).alias("blanked"), urls.mask_addresses(t).alias("masked"), urls.address_places(t).alias("p")).select("page_id", "blanked", "masked", F.col("p")[0]["start"].alias("start"), F.col("p")[0]["stop"].alias("stop"))
 
 
-@query("""SELECT doc_id, md5(lower(trim(regexp_replace(text, '[ \n\t\r]+', ' ', 'g')))) AS key FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(replace(lower(regexp_replace(nfc_normalize(text), '\p{Cf}', '', 'g')), 'ß', 'ss'), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'))) AS key FROM documents""")
 def c19_content_key(spark, sf):
     """The key by which duplicates in content are found."""
-    d = table(spark, sf, "documents").filter("lang = 'en'").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return d.select("doc_id", F.md5(urls.content_key("text")).alias("key"))
-
-
-@query()
-def c19_content_key_all(spark, sf):
-    """The same for all languages and characters, which the SQL of c19_content_key leaves out."""
     return table(spark, sf, "documents").select("doc_id", F.md5(urls.content_key("text")).alias("key"))
 
 
@@ -332,13 +310,17 @@ def a13_answers(spark, sf):
     return bundle.answers(table(spark, sf, "events").select(F.col("event_id").alias("unit"), raw.cast("binary").alias("content"))).select(F.col("unit").alias("event_id"), "fault", F.when(F.col("fault").isNull(), F.col("task_id")).alias("task_id"))
 
 
-@query("""SELECT 'S' || l_orderkey AS submission_id, count(*) AS n, sum(length('{"entity_id":' || l_suppkey || '}'))::BIGINT >= 0 AS written FROM lineitem GROUP BY 1""")
+@query("""SELECT 'S' || l_orderkey AS submission_id, count(*) AS n, sum(l_suppkey)::BIGINT AS entities, round(sum(round(l_extendedprice, 4)), 2) AS points, 't' || any_value(l_orderkey % 7) AS task_id, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS returned FROM lineitem GROUP BY l_orderkey""")
 def a22_answer_sink(spark, sf):
-    """Answers written as JSON, in roster order, and read back."""
-    rows = table(spark, sf, "lineitem").select(F.concat(F.lit("S"), F.col("l_orderkey").cast("string")).alias("submission_id"), F.lit("u").alias("unit_id"), F.lit("t").alias("task_id"), F.col("l_linenumber").alias("pos"), F.col("l_suppkey").alias("entity_id"), F.col("l_returnflag").alias("label"), agents.rounded(F.col("l_extendedprice")).alias("point_forecast"), F.lit(0.9).alias("level"), F.col("l_discount").alias("low"), F.col("l_tax").alias("high"), F.array(F.struct(F.lit("task").alias("doc_id"))).alias("claims"))
+    """Answers written as JSON, in roster order, and read back."""
+    rows = table(spark, sf, "lineitem").select(F.concat(F.lit("S"), F.col("l_orderkey").cast("string")).alias("submission_id"), F.lit("u").alias("unit_id"), F.concat(F.lit("t"), (F.col("l_orderkey") % 7).cast("string")).alias("task_id"), F.col("l_linenumber").alias("pos"), F.col("l_suppkey").alias("entity_id"), F.col("l_returnflag").alias("label"), agents.rounded(F.col("l_extendedprice")).alias("point_forecast"), F.lit(0.9).alias("level"), F.col("l_discount").alias("low"), F.col("l_tax").alias("high"), F.array(F.struct(F.lit("task").alias("doc_id"))).alias("claims"))
     answer = agents.answer_json(rows)
-    back = F.from_json("answer", "task_id string, entity_predictions array<struct<entity_id:bigint>>")
-    return answer.select("submission_id", F.size(back["entity_predictions"]).cast("long").alias("n"), (back["task_id"] == "t").alias("written"))
+    back = F.from_json("answer", "task_id string, entity_predictions array<struct<entity_id:bigint,label:string,point_forecast:double,claims:array<struct<doc_id:string>>>>")
+    rows = back["entity_predictions"]
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    points = F.aggregate(F.transform(rows, lambda r: r["point_forecast"]), F.lit(0.0), lambda a, x: a + x)
+    returned = F.size(F.filter(rows, lambda r: (r["label"] == "R") & (r["claims"][0]["doc_id"] == "task"))).cast("long")
+    return answer.select("submission_id", F.size(rows).cast("long").alias("n"), total(F.transform(rows, lambda r: r["entity_id"])).alias("entities"), F.round(points, 2).alias("points"), back["task_id"].alias("task_id"), returned.alias("returned"))
 
 
 REASON = "CASE o_orderkey % 8 WHEN 0 THEN 'post_cutoff' WHEN 1 THEN 'missing' WHEN 2 THEN 'schema' WHEN 3 THEN 'reversed' WHEN 4 THEN 'no_answer' WHEN 5 THEN 'unresolved' WHEN 6 THEN 'task_mismatch' END"

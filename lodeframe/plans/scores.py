@@ -86,12 +86,20 @@ def g15_worst_case(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("answer"), F.round(score, 11).alias("score"), F.round(m.leaderboard(score, F.when(F.col("c_custkey") % 2 == 0, 0.5)), 11).alias("shown"))
 
 
-@query("""SELECT c_mktsegment AS unit, avg(CASE WHEN c_acctbal BETWEEN 0 AND 8000 THEN 1.0 ELSE 0.0 END) >= 0 AS any_row,
-  CASE WHEN count(*) FILTER (c_acctbal IS NULL) > 0 THEN 'uncovered' END AS truth_fault FROM customer GROUP BY 1""")
+PLANTED = """SELECT c_nationkey AS unit, CASE WHEN c_nationkey % 6 = 5 THEN 'classification' ELSE 'regression' END AS target_type,
+  CASE c_nationkey % 6 WHEN 1 THEN CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_acctbal END WHEN 2 THEN CASE WHEN c_custkey % 3 = 0 THEN 'NaN'::DOUBLE ELSE c_acctbal END WHEN 5 THEN NULL ELSE c_acctbal END AS y,
+  CASE WHEN c_nationkey % 6 = 4 OR (c_nationkey % 6 = 1 AND c_nationkey > 10) THEN NULL WHEN c_nationkey % 6 = 3 THEN NULL ELSE 'up' END AS true_label FROM customer"""
+
+
+@query(f"""WITH p AS ({PLANTED}) SELECT unit, CASE WHEN count(*) FILTER (y IS NULL AND true_label IS NULL) > 0 THEN 'uncovered' WHEN count(*) FILTER (isnan(y)) > 0 THEN 'not_finite'
+  WHEN count(y) > 0 AND count(y) < count(*) THEN 'partly_numeric' WHEN max(target_type) = 'regression' AND count(y) < count(*) THEN 'numeric_truth_required' END AS truth_fault FROM p GROUP BY 1""")
 def b21_truth(spark, sf):
-    """Whether the truth covers the roster and is numeric where it must be."""
-    rows = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("unit"), F.col("c_acctbal").alias("y"), F.lit(None).cast("string").alias("true_label"), F.lit("regression").alias("target_type"))
-    return alignment.truth_fault(rows, ["unit"]).withColumn("any_row", F.lit(True))
+    """Whether the truth covers the roster and is numeric where it must be, with faults planted by nation."""
+    kind, own, k = F.col("c_nationkey") % 6, F.col("c_acctbal"), F.col("c_custkey")
+    y = F.when(kind == 1, F.when(k % 2 != 0, own)).when(kind == 2, F.when(k % 3 == 0, F.lit(float("nan"))).otherwise(own)).when(kind != 5, own)
+    label = F.when(~((kind == 4) | (kind == 3) | ((kind == 1) & (F.col("c_nationkey") > 10))), "up")
+    rows = table(spark, sf, "customer").select(F.col("c_nationkey").alias("unit"), y.alias("y"), label.alias("true_label"), F.when(kind == 5, "classification").otherwise("regression").alias("target_type"))
+    return alignment.truth_fault(rows, ["unit"])
 
 
 QUERIES, ORACLES = query.queries, query.oracles

@@ -83,7 +83,7 @@ def test_roster_check_counts_all_orders(spark, sf):
         own = {e: n for (u, e), n in made.items() if u == unit and e}
         asked = {e for u, e in roster if u == unit}
         expected[unit] = (made[unit, ""], sum(n - 1 for n in own.values()), len(set(own) - asked), len(asked - set(own)))
-    got = catalog.queries()["b5_roster_check_all"](spark, sf).collect()
+    got = catalog.queries()["b5_roster_check"](spark, sf).collect()
     assert {r.unit_id: (r.malformed, r.duplicate, r.unknown, r.missing) for r in got} == expected
     assert sum(made.values()) == len(orders)
 
@@ -101,7 +101,7 @@ def test_content_keys_of_all_documents(spark, sf):
 
     docs = _read(sf, "select doc_id, text from documents")
     plain = lambda t: " ".join("".join(c for c in unicodedata.normalize("NFC", t) if unicodedata.category(c) != "Cf").casefold().split())
-    got = catalog.queries()["c19_content_key_all"](spark, sf).collect()
+    got = catalog.queries()["c19_content_key"](spark, sf).collect()
     assert sorted((r.doc_id, r.key) for r in got) == sorted((i, t if t is None else hashlib.md5(plain(t).encode()).hexdigest()) for i, t in docs)
 
 
@@ -115,7 +115,7 @@ def test_quotes_of_all_documents_are_grounded(spark, sf):
         quote = (t[5:25], "zz " + t.lower().split(" ")[0] + " qq", "zz qq")[i % 3].strip(" ")
         stands = quote and (quote in t or fold(quote) in fold(t))
         expected[i] = "quote" if stands else "chunk" if white(quote) & white(t) else None
-    got = {r.quote_id: r.how for r in catalog.queries()["i5_ground_all"](spark, sf).collect()}
+    got = {r.quote_id: r.how for r in catalog.queries()["i5_ground"](spark, sf).collect()}
     assert got == expected
 
 
@@ -138,12 +138,12 @@ def test_whole_passages_are_asked(spark, sf):
             if score:
                 best[q].append(score)
     got = defaultdict(list)
-    for r in catalog.queries()["h3_bm25_whole"](spark, sf).collect():
+    for r in catalog.queries()["h3_bm25"](spark, sf).collect():
         got[r.query_id].append(r.score)
     assert set(got) == set(best)
     for q in best:
         assert sorted(got[q]) == pytest.approx(sorted(best[q])[-5:], abs=2e-6)
     over = {i: Counter(terms(t or "", 2)) for i, t in docs if i % 13 == 0 or i % 300 <= 250}
     most = {q: max(sum(c[x] for x in set(terms(t, 2))) / math.sqrt(c.total()) for c in over.values() if c) for q, t in asked if terms(t, 2)}
-    found = {r.query_id: r.score for r in catalog.queries()["h4_overlap_whole"](spark, sf).collect()}
+    found = {r.query_id: r.score for r in catalog.queries()["h4_overlap"](spark, sf).collect()}
     assert found == pytest.approx(most, abs=1e-7)
