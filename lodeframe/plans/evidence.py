@@ -284,7 +284,7 @@ def l1_hybrid(spark, sf):
 
 @query("""SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text))::INT AS bytes, octet_length(encode(text)) > 8000 AS too_large, sha256(text) = sha256(CASE WHEN doc_id % 9 = 0 THEN text || ' ' ELSE text END) AS sound FROM documents""")
 def a8_digests(spark, sf):
-    """Documents verified by digest and size."""
+    """Digests and sizes of texts, and those that a declared digest refuses."""
     t = F.col("text")
     declared = F.sha2(F.when(F.col("doc_id") % 9 == 0, F.concat(t, F.lit(" "))).otherwise(t), 256)
     return table(spark, sf, "documents").select("doc_id", F.sha2(t, 256).alias("sha256"), F.octet_length(t).alias("bytes"), (F.octet_length(t) > 8000).alias("too_large"), (F.sha2(t, 256) == declared).alias("sound"))
