@@ -65,8 +65,8 @@ CLAIMS = [  # claim, span, status by "every", status by "any"
     ("We saw {n} and 7", "they had {n} of 7", "anchored", "anchored"),
     ("We saw {n}", "they had none", "unanchored", "unanchored"),
     ("We saw them", "they had {n}", "no_figures", "no_figures"),
-    ("Our 90% interval is at {n}", "they had {n}", "anchored", "anchored"),
-    ("Our 90% interval is wide", "they had {n}", "no_figures", "unanchored"),
+    ("Our 95.5% interval is at {n}", "they had {n}", "anchored", "anchored"),
+    ("Our 95.5% interval is wide", "they had {n}", "no_figures", "unanchored"),
     ("Lot 7: they had {n} of all things", "they had {n} of all things, and more", "unanchored", "anchored"),
     ("Note: they had {n} of all things", "they had {n} of all things, and more", "anchored", "anchored"),
     ("They had {n}.0 thousand", "they had {n}000", "anchored", "anchored"),
@@ -78,7 +78,7 @@ def e32_rules(spark, sf):
     """Claims by both rules: levels, labels before quotes, scales."""
     k, n = F.col("o_orderkey") % len(CLAIMS), F.col("o_orderkey") % 89 + 11
     rows = spread(table(spark, sf, "orders")).select("o_orderkey", _sentence([c[0] for c in CLAIMS], k, n).alias("claim"), F.array(_sentence([c[1] for c in CLAIMS], k, n)).alias("spans"))
-    every = figures.figure_status("claim", "spans", cap=8000, levels=F.array(F.lit(0.9)))
+    every = figures.figure_status("claim", "spans", cap=8000, levels=F.array(F.lit(0.955)))
     return rows.select("o_orderkey", every.alias("by_every"), figures.figure_status("claim", "spans", rule="any").alias("by_any"))
 
 

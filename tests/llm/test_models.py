@@ -346,6 +346,24 @@ def test_toxic_words_of_a_small_language_are_found():
             assert sum(f == bad for f in own) >= 0.9 * len(own), (small, bad)
 
 
+def test_windows_find_words_that_no_sample_holds():
+    """Toxic words that share a stem, each with an ending of its own: a set of the sample's words knows none of them, the windows' lengths do."""
+
+    def text(i):
+        r = np.random.default_rng(i)
+        ending = lambda: "".join(r.choice(list("bdfgpstuvwz"), 6))
+        odd = [f"snorkle{ending()}" if i % 4 == 0 else f"{ending()}{ending()}" for _ in range(3)]
+        return f"{prose(i, 80)} {' '.join(odd)} {prose(-i, 80)}", int(i % 4 == 0)
+
+    sample = [text(i) for i in range(600)]
+    held = [text(i) for i in range(600, 1000)]
+    score = toxicity.score_texts(toxicity.fit(sample), [t for t, _ in held])
+    right = sum((s >= 0.5) == bool(y) for s, (_, y) in zip(score, held, strict=True)) / len(held)
+    seen = {of: {w for t, y in sample if y == of for w in t.split()} for of in (0, 1)}
+    by_words = sum(bool(set(t.split()) & (seen[1] - seen[0])) == bool(y) for t, y in held) / len(held)
+    assert right > 0.97 > 0.8 > by_words
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     shapes = {"e": (5, 4), "eb": (4,), "v": (4, 3), "u": (4, 3), "a": (3,), "o": (4,), "ob": (1,)}
