@@ -188,11 +188,13 @@ def pack(documents: DataFrame, path: str, limit: int = 1024, end_id: int = 2, gr
     bounded_batches(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = PIECES + ", ids binary" * with_ids
-    made = checkpoint(texts.mapInArrow(_pieces(path, limit, end_id, with_ids), schema))
+    # row: the place in the checkpoint, by which equal rows are told apart and spread too
+    made = checkpoint(texts.mapInArrow(_pieces(path, limit, end_id, with_ids), schema).withColumn("row", F.monotonically_increasing_id()))
     short = made.filter(F.col("length") < limit)
     groups = parts(spark, short.count(), group)
-    # by the row's place in the checkpoint, so that equal rows are spread too
-    dealt = short.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
-    full = made.filter(F.col("length") >= limit).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    packed = dealt.groupBy("bin_group").applyInPandas(_pack(limit), f"{schema}, sequence_id long, offset long")
-    return packed.unionByName(full)
+    dealt = short.drop("ids").withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(groups)).cast("int"))
+    full = made.filter(F.col("length") >= limit).withColumn("sequence_id", -1 - F.col("row")).withColumn("offset", F.lit(0).cast("long")).drop("row")
+    packed = dealt.groupBy("bin_group").applyInPandas(_pack(limit), f"{PIECES}, row long, sequence_id long, offset long")
+    if with_ids:  # ids needn't go through the packing
+        packed = packed.select("row", "sequence_id", "offset").join(short, "row")
+    return packed.drop("row").unionByName(full)

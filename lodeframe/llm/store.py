@@ -51,14 +51,17 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
     return dealt.join(copied, [*keys, "_part"], how).drop("_part")
 
 
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS rows: texts are long, and a batch is held whole by JVM and Python.
+    """Lower the session's Arrow batches to BATCH_ROWS rows and about BATCH_BYTES: texts are long, and a batch is held whole by JVM and Python.
 
-    Plans read the setting when they run, so it stays for the session; no result depends on it.
+    Plans read the settings when they run, so they stay for the session; no result depends on them.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    set_to = spark.conf.get(size, None)
+    if set_to is not None and not 0 < int(set_to.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(size, f"{BATCH_BYTES}b")
