@@ -63,8 +63,8 @@ def b10_offsets(spark, sf):
     return table(spark, sf, "events").select("event_id", value.alias("value"), bad.alias("malformed"))
 
 
-@query("""SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber)::INT AS claim_place FROM lineitem
-QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) <= 20""")
+@query("""SELECT l_suppkey, l_orderkey, l_linenumber, dense_rank() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber)::INT AS claim_place FROM lineitem
+QUALIFY dense_rank() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) <= 20""")
 def h1_first_claims(spark, sf):
     """The first twenty claims of an entity in file order."""
     rows = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
