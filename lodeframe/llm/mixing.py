@@ -65,6 +65,11 @@ def _most(rows: DataFrame) -> int:
     return rows.groupBy("source_key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
+def _by_source(df: DataFrame, hint) -> DataFrame:
+    """df, a row for each source, computed once: as one file where sources are few enough to be broadcast."""
+    return checkpoint(df.repartition(1) if hint is F.broadcast else df)
+
+
 def _stops(rows: DataFrame, most: int, hint) -> DataFrame:
     """source_key, stop_rank and stop_row of the first row that overshoots the gap (null: none does), and the words reached before it.
 
@@ -81,7 +86,7 @@ def _stops(rows: DataFrame, most: int, hint) -> DataFrame:
         sums = left.groupBy("source_key", "gap", "before", digit.alias("digit")).agg(F.sum("size").alias("words")).withColumn("until", F.col("before") + F.sum("words").over(running))
         over = F.col("until") > F.col("gap")
         # the first digit at which a sum is over the gap, and the words before it
-        ends = checkpoint(sums.groupBy("source_key").agg(F.min(F.when(over, F.col("digit"))).alias("end"), F.min(F.when(over, F.col("until") - F.col("words"))).alias("next"), F.max("until").alias("all")))
+        ends = _by_source(sums.groupBy("source_key").agg(F.min(F.when(over, F.col("digit"))).alias("end"), F.min(F.when(over, F.col("until") - F.col("words"))).alias("next"), F.max("until").alias("all")), hint)
         every.append(ends.filter("end is null").select("source_key", F.lit(None).cast("long").alias("stop_rank"), F.lit(None).cast("long").alias("stop_row"), F.col("all").alias("reached")))
         left = checkpoint(left.join(hint(ends.select("source_key", "end", "next")), "source_key").filter(digit == F.col("end")).select("source_key", "gap", F.col("next").alias("before"), "size", "rank", "row"))
         most = _most(left)
@@ -120,14 +125,15 @@ def _steps(narrow: DataFrame, gaps: DataFrame, hint) -> DataFrame:
         step = F.struct("gap", F.col("at_rank").alias("stop_rank"), F.col("at_row").alias("stop_row"))
         went = F.col("reached").isNotNull()
         # a source of which nothing fits any more, or all does, is done: its stop is null
-        plan = checkpoint(
+        plan = _by_source(
             plan.join(hint(now), "source_key", "left").select(
                 "source_key",
                 (F.col("gap") - F.coalesce("reached", F.lit(0))).alias("gap"),
                 F.when(went, F.array_append("steps", step)).otherwise(F.col("steps")).alias("steps"),
                 F.col("at_rank").alias("stop_rank"),
                 F.col("at_row").alias("stop_row"),
-            )
+            ),
+            hint,
         )
         first = False
 
@@ -151,9 +157,9 @@ def _taken(documents: DataFrame, columns: list[str], weights: Column | None, epo
     first, fits = F.get("steps", F.lit(0)), F.exists("steps", lambda s: (F.col("size") <= s["gap"]) & _is_before(s["stop_rank"], s["stop_row"]))
     is_in = _is_before(first["stop_rank"], first["stop_row"]) | (F.col("size") > 0) & fits
     others = narrow.join(hint(plan), "source_key").withColumn("off", F.abs(F.col("gap") - F.col("size"))).filter(~is_in & (F.col("off") < F.col("gap"))).select("source_key", "off", "rank", "row")
-    least = checkpoint(others.groupBy("source_key").agg(F.min("off").alias("off")))
+    least = _by_source(others.groupBy("source_key").agg(F.min("off").alias("off")), hint)
     nearest = others.join(hint(least), ["source_key", "off"]).groupBy("source_key").agg(F.min(F.struct("rank", "row")).alias("extra"))
-    plan = checkpoint(fraction.join(hint(plan), "source_key").join(hint(nearest), "source_key", "left").select("source_key", "source_size", "target", "epochs", "steps", "extra"))
+    plan = _by_source(fraction.join(hint(plan), "source_key").join(hint(nearest), "source_key", "left").select("source_key", "source_size", "target", "epochs", "steps", "extra"), hint)
     taken_too = is_in | F.coalesce((F.col("rank") == F.col("extra")["rank"]) & (F.col("row") == F.col("extra")["row"]), F.lit(False))
     joined = rows.join(hint(plan), "source_key").withColumn("copies", F.least(F.lit(epochs).cast("long"), F.col("epochs") + F.when(taken_too, 1).otherwise(0)))
     return joined.select(*columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -39,11 +39,12 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
     They are counted in narrow, which has left's rows at less cost, if it is given.
     """
     narrow = left if narrow is None else narrow
-    counts = checkpoint(narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > HOT_ROWS))
-    if counts.isEmpty():
-        return left.join(right, keys, how)
     limit = max(HOT_ROWS, narrow.count() // HOT_KEYS)
-    hot = F.broadcast(counts.filter(F.col("_rows") > limit).select(*keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts")))
+    found = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit).select(*keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts"))
+    rows = found.collect()  # HOT_KEYS at most, by the limit
+    if not rows:
+        return left.join(right, keys, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(rows, found.schema))
     part = F.pmod(spread, F.coalesce("_parts", F.lit(1))).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
     dealt = left.join(hot, keys, "left").withColumn("_part", part).drop("_parts")
