@@ -108,6 +108,61 @@ def test_matches_that_a_rule_dropped_may_be_added(spark):
     assert spans[1] == ["ip:16:24"] and {"ip:3:12", "ip:16:24", "card:34:53"} <= set(spans[0])
 
 
+def brute_posteriors(votes, steps=60):
+    """Expectation-maximisation row by row, every row with its own chance."""
+    chance = [(1 + v.count("+")) / (2 + v.count("+") + v.count("-")) for v in votes]
+    for _ in range(steps if votes else 0):
+        prior = min(0.99, max(0.01, sum(chance) / len(votes)))
+        new = []
+        share = {}
+        for i in range(6):
+            for c in (0, 1):
+                extra = {"+": 3.0 if c else 1.0, "-": 1.0 if c else 3.0, "0": 1.0}
+                mass = {x: extra[x] + sum((p if c else 1 - p) for v, p in zip(votes, chance, strict=True) if v[i] == x) for x in "+-0"}
+                share |= {(i, c, x): mass[x] / sum(mass.values()) for x in mass}
+        for v in votes:
+            yes, no = prior, 1 - prior
+            for i, x in enumerate(v):
+                yes, no = yes * share[i, 1, x], no * share[i, 0, x]
+            odds = math.log(yes) - math.log(no)
+            new.append(1 / (1 + math.exp(-max(-30, min(30, odds)))))
+        chance = new
+    return chance
+
+
+def test_added_spans_against_brute_force(spark):
+    """What is added follows from the votes and features of all candidates: posteriors row by row, and naive Bayes counted out."""
+    texts = [f"please mail jane.{i} [at] example [dot] com or call (212) 555-01{i:02d}, card 4111 1111 1111 111{i % 10}" for i in range(30)]
+    texts += [f"order 123-45-67{i:02d} version 300.{i}.2.1, invoice 1234 5678 9012 345{i % 10}" for i in range(30)] + [f"reach me: a{i}@b.org, +1 212 555 01{i:02d}" for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    judged = {r.doc_id: r.judged for r in pii._candidates(df, ["doc_id"]).collect()}
+    every = [s for own in judged.values() for s in own]
+    chance = dict(zip([s.votes for s in every], brute_posteriors([s.votes for s in every]), strict=True))
+    assert pii.estimate({v: sum(s.votes == v for s in every) for v in chance}) == pytest.approx(chance, abs=1e-9)
+    yes, no = sum(chance[s.votes] for s in every), sum(1 - chance[s.votes] for s in every)
+
+    def final(s):
+        odds = math.log((yes + 1) / (no + 1))
+        for f in s.features:
+            a, b = (sum(p(chance[x.votes]) for x in every if f in x.features) for p in (lambda c: c, lambda c: 1 - c))
+            odds += math.log((a + 1) / (yes + 12)) - math.log((b + 1) / (no + 12))
+        return 1 / (1 + math.exp(-odds))
+
+    got = {r.doc_id: {(s.kind, s.start) for s in r.added} for r in pii._decided(pii._candidates(df, ["doc_id"]), 0.9).select("doc_id", F.expr("filter(spans, s -> not s.valid)").alias("added")).collect()}
+    total = 0
+    for i, own in judged.items():
+        base = [s for s in own if s.valid]
+        asked = sorted((s for s in own if not s.valid and chance[s.votes] >= 0.9 and final(s) >= 0.9), key=lambda s: (s.start, (pii.KINDS + pii.EXTRA).index(s.kind)))
+        clear, until = set(), 0
+        for s in asked:
+            if not any(s.start < b.stop and b.start < s.stop for b in base) and s.start >= until:
+                clear.add((s.kind, s.start))
+                until = s.stop
+        assert got[i] == clear, texts[i]
+        total += len(clear)
+    assert total >= 30
+
+
 def test_em_finds_the_bad_labeler():
     counts = {"+++000": 50, "---000": 50, "++-000": 3, "--+000": 3}
     chance = pii.estimate(counts)
