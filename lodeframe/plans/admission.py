@@ -180,7 +180,7 @@ def g17_newest(spark, sf):
 SELECT n_regionkey, n_nationkey, coalesce(sum(length(line) + 1) OVER w, 0)::BIGINT AS row_start, (coalesce(sum(length(line) + 1) OVER w, 0) + length(line))::BIGINT AS row_end FROM l
 WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def a10_row_ranges(spark, sf):
-    """Rows of the task table and their places in its text."""
+    """A10 H2: rows of the task table and their places in its text."""
     line = F.format_string('{"entity_id": %d, "name": "%s"}', "n_nationkey", "n_name")
     return citations.row_ranges(table(spark, sf, "nation").withColumn("line", line), ["n_regionkey"], "line", "n_nationkey").select("n_regionkey", "n_nationkey", F.col("row_start").cast("long").alias("row_start"), F.col("row_end").cast("long").alias("row_end"))
 

@@ -34,7 +34,7 @@ q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extrac
 s AS (SELECT query_id, doc_id, start, sum(ln(1 + (chunks - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))) AS score FROM q JOIN p USING (term) JOIN f USING (term), t GROUP BY 1, 2, 3)
 SELECT query_id, doc_id, start, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id, start)::INT AS rank FROM s) WHERE rank <= 5""")
 def h3_bm25(spark, sf):
-    """BM25 over the chunks that the embargo admits, five best of each query."""
+    """BM25 over the chunks that the embargo admits, five best of each query."""
     found = retrieval.bm25(_chunks(spark, sf), _queries(spark, sf), F.lit("2024-09-07").cast("date"), 5)
     return found.withColumn("score", F.round("score", 6))
 
@@ -47,7 +47,7 @@ b AS (SELECT query_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION
 z AS (SELECT i.query_id, coalesce(b.doc_id, (SELECT min(doc_id) FROM u)) AS doc_id, coalesce(score, 0.0) AS score FROM (SELECT DISTINCT query_id FROM q) i LEFT JOIN b USING (query_id))
 SELECT query_id, 'D' || z.doc_id AS doc_id, round(score, 8) AS score, 0 AS start, least(length(text), 240)::INT AS "end", text[1:240] AS text FROM z JOIN c USING (doc_id)""")
 def h4_overlap(spark, sf):
-    """The best document by overlap; undated ones pass."""
+    """H4: the best document by overlap; undated ones pass."""
     found = retrieval.overlap_best(_chunks(spark, sf), _queries(spark, sf), F.lit("2024-09-07").cast("date"))
     return found.withColumn("score", F.round("score", 8))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodeframe.functions import figures, urls
-from lodeframe.operators import alignment, judges, profile, retrieval, scoring
+from lodeframe.operators import alignment, citations, judges, profile, retrieval, scoring
 from lodeframe.plans.bindings import Registry
 from lodeframe.session import spread, table
 from lodeframe.sources import bundle
@@ -197,4 +197,23 @@ def i11_self_check(spark, sf):
     return bundle.self_check(claims, docs).select(F.col("entity_id").alias("o_orderkey"), "code")
 
 
+@query("""WITH l AS (SELECT n_regionkey AS unit_id, n_nationkey AS e, '{"entity_id": "' || n_nationkey || '", "name": "' || n_name || '"}' AS line FROM nation),
+p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY unit_id ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM l)
+SELECT unit_id, e::VARCHAR AS entity_id, e % 3 = 1 AS wrong_entity, CASE e % 3 WHEN 0 THEN line WHEN 1 THEN line || chr(10) ELSE line[4:] END AS span, 'ok' AS embargo FROM p
+WHERE NOT (e % 3 = 1 AND e = (SELECT max(q.e) FROM p q WHERE q.unit_id = p.unit_id))
+UNION ALL SELECT unit_id, e::VARCHAR, TRUE, NULL, 'ok' FROM p WHERE e % 3 = 1 AND e = (SELECT max(q.e) FROM p q WHERE q.unit_id = p.unit_id)""")
+def a11_task_documents(spark, sf):
+    """The task's table as a document of its unit; an entity may cite its own row, or a part of it, and nothing beyond."""
+    nation = table(spark, sf, "nation").select(F.col("n_regionkey").alias("unit_id"), F.col("n_nationkey").alias("pos"), F.col("n_nationkey").cast("string").alias("entity_id"), F.col("n_name").alias("name"))
+    roster = nation.withColumn("line", F.format_string('{"entity_id": "%s", "name": "%s"}', "entity_id", "name"))
+    units = roster.select("unit_id").distinct().withColumn("cutoff", F.lit("2024-06-30").cast("date"))
+    rows = roster.join(units, "unit_id").withColumn("submission_id", F.lit("s"))
+    places = citations.row_ranges(roster, ["unit_id"], "line", "pos")
+    k = F.col("pos") % 3
+    claims = places.select(F.lit("s").alias("submission_id"), "unit_id", "entity_id", F.lit(0).alias("claim_pos"), F.lit("task").alias("doc_id"), (F.col("row_start") + F.when(k == 2, 3).otherwise(0)).cast("int").alias("span_start"), (F.col("row_end") + F.when(k == 1, 1).otherwise(0)).cast("int").alias("span_end"), F.lit("x").alias("claim"))
+    none = spark.createDataFrame([], "unit_id int, doc_id string, doc_date date, text string, shared boolean, entity_ids array<string>").withColumn("unit_id", F.col("unit_id").cast(nation.schema["unit_id"].dataType))
+    cited = scoring.cited_spans(rows, claims, scoring.with_task_documents(none, units, roster))
+    return cited.select("unit_id", "entity_id", "wrong_entity", "span", "embargo")
+
+
 QUERIES, ORACLES = query.queries, query.oracles
