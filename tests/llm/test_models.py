@@ -84,6 +84,11 @@ def test_fingerprints_over_many_ranges(spark, monkeypatch):
     assert all(frozenset.intersection(*x) for x in chosen.values())  # rows of an id agree on the next document
 
 
+def test_fingerprints_alone_are_the_same(spark):
+    got = {(r.doc_id, r.fingerprint) for r in fingerprint.fingerprints(documents(spark)).collect()}
+    assert got == {(r.doc_id, r.fingerprint) for r in fingerprint.edited_fingerprints(documents(spark)).collect()}
+
+
 def test_a_least_hash_is_no_member():
     texts = ["ab", "abc", "a" * 16, "", prose(3, 400)]
     found = dict(zip(texts, fingerprint.sketches(pa.array(texts)), strict=True))
