@@ -109,3 +109,15 @@ def test_streaming_embargo_equals_batch(spark, tmp_path):
     stream.stop()
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(spark.sql("select * from embargo")) == rows(counts(claims))
+
+
+def test_interval_losses_by_window(spark):
+    import datetime as dt
+
+    from lodeframe.streaming import embargo
+
+    at = lambda minute: dt.datetime(2024, 1, 1, 0, minute)
+    rows = [(at(1), 0.0, 2.0, 1.0), (at(4), 0.0, 2.0, 3.0), (at(11), 0.0, 1.0, -1.0)]
+    df = spark.createDataFrame(rows, "ts timestamp, low double, high double, y double")
+    got = {r.start: (round(r.loss, 9), r.n) for r in embargo.loss_by_window(df, "ts", "1 hour", "10 minutes", 0.9).collect()}
+    assert got == {at(0): (12.0, 2), at(10): (21.0, 1)}

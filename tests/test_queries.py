@@ -147,3 +147,18 @@ def test_whole_passages_are_asked(spark, sf):
     most = {q: max(sum(c[x] for x in set(terms(t, 2))) / math.sqrt(c.total()) for c in over.values() if c) for q, t in asked if terms(t, 2)}
     found = {r.query_id: r.score for r in catalog.queries()["h4_overlap"](spark, sf).collect()}
     assert found == pytest.approx(most, abs=1e-7)
+
+
+def test_the_text_blind_baseline_covers_all_rows(spark, sf):
+    got = catalog.queries()["l3_text_blind"](spark, sf).collect()
+    assert sorted(r.p_partkey for r in got) == sorted(k for (k,) in _read(sf, "select p_partkey from part"))
+
+
+def test_the_text_blind_baseline_beats_the_mean(spark):
+    from lodeframe.operators import baselines
+
+    df = spark.range(600).selectExpr("id", "cast(id * 37 % 101 as double) as a", "cast(id * 53 % 17 as double) as b").selectExpr("*", "3 * a + b * b as y")
+    model = baselines.boosted(df.filter("id % 3 <> 0"), ["a", "b"], "y", False, 10)
+    held = [(r.prediction, r.y) for r in model.transform(df.filter("id % 3 = 0")).collect()]
+    mean = sum(y for _, y in held) / len(held)
+    assert sum(abs(p - y) for p, y in held) < 0.4 * sum(abs(mean - y) for _, y in held)
