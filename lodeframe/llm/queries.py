@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import fingerprint, mixing, near_dedup, nearest, packing, pii, quality, secrets, substring_dedup, toxicity, training
+from lodeframe.llm import conversations, fill_middle, fingerprint, line_rules, mixing, near_dedup, nearest, packing, pii, quality, secrets, substring_dedup, toxicity, training
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,5 +64,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_near_dedup, op4_toxicity, op5_pii, op6_secrets, op7_nearest, op8_fingerprint, op9_packing, op10_substring_dedup)}
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_near_dedup": near_dedup.ORACLE, "op7_nearest": nearest.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.clean_lines(_table(spark, sf_dir, "documents"), keep_text=False)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit(*conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_middle(_table(spark, sf_dir, "documents"), keep_text=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_near_dedup, op4_toxicity, op5_pii, op6_secrets, op7_nearest, op8_fingerprint, op9_packing, op10_substring_dedup, op11_line_rules, op12_conversation_repair, op13_fill_middle)}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_near_dedup": near_dedup.ORACLE, "op7_nearest": nearest.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE, "op11_line_rules": line_rules.ORACLE, "op13_fill_middle": fill_middle.ORACLE}
