@@ -16,20 +16,31 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _fold_sums(numbers: Column) -> Column:
+def blocks(every: Column, size: int = BLOCK) -> Column:
+    """An array in slices of size elements; every should be computed once already."""
+    first = F.filter(F.sequence(F.lit(0), F.size(every), F.lit(size)), lambda i: i < F.size(every))
+    return F.transform(first, lambda i: F.slice(every, i + 1, size))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _fold(numbers: Column, of: Callable[[Column, Column], Column]) -> Column:
     none = F.expr("cast(array() as array<int>)")
-    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    step = lambda acc, n: F.struct(of(acc["at"], n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
     return F.aggregate(numbers, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
 
-def running(numbers: Column, levels: int = 2) -> Column:
-    """For each integer of an array, the sum of those before it: sums within blocks, and by the same way of the blocks before them."""
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, n: a + n)
-    shifted = lambda at, part: F.transform(_fold_sums(part), lambda n: n + at)
-    joined = lambda parts: F.flatten(F.zip_with(running(F.transform(parts, total), levels - 1), parts, shifted))
-    first = lambda every: F.filter(F.sequence(F.lit(0), F.size(every), F.lit(BLOCK)), lambda i: i < F.size(every))
-    parts = lambda every: F.transform(first(every), lambda i: F.slice(every, i + 1, BLOCK))
-    return _fold_sums(numbers) if levels == 0 else let(numbers, lambda every: F.when(F.size(every) <= BLOCK, _fold_sums(every)).otherwise(let(parts(every), joined)))
+def running(numbers: Column, of: Callable[[Column, Column], Column] = _plus, levels: int = 2) -> Column:
+    """For each integer of an array, the sum of those before it, 0 for the first: sums within blocks, and by the same way of the blocks before them.
+
+    of may be another associative function of integers for which 0 changes nothing, as F.greatest is of such as aren't negative.
+    """
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, n: of(a, n))
+    shifted = lambda at, part: F.transform(_fold(part, of), lambda n: of(at, n))
+    joined = lambda parts: F.flatten(F.zip_with(running(F.transform(parts, total), of, levels - 1), parts, shifted))
+    return _fold(numbers, of) if levels == 0 else let(numbers, lambda every: F.when(F.size(every) <= BLOCK, _fold(every, of)).otherwise(let(blocks(every), joined)))
 
 
 STRETCH = 4096
