@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.spanning import apart, in_order, listed, with_spans
+from lodeframe.llm.spanning import apart, in_order, listed, replaced, with_spans
 from lodeframe.llm.store import checkpoint
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -177,13 +177,6 @@ def mask(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = _candidates(own.withColumn("text", F.col(f"own_{at['text']}")), [f"own_{c}" for c in columns])
     spans = in_order(F.col("spans"), KINDS + EXTRA, False)
     text = F.col(f"own_{at['text']}")
-    piece = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("until"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["start"] < a["until"], F.struct(F.greatest(a["until"], s["stop"]).alias("until"), a["out"].alias("out"))).otherwise(
-            F.struct(s["stop"].alias("until"), F.concat(a["out"], F.substring(text, a["until"] + 1, s["start"] - a["until"]), F.lit("<"), s["kind"], F.lit(">")).alias("out"))
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["until"] + 1, F.length(text) - a["until"])),
-    )
-    done = _decided(checkpoint(rows), threshold).withColumn("_masked", F.when(F.size("spans") > 0, piece).otherwise(text))
+    masked = replaced(text, spans, lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">")))
+    done = _decided(checkpoint(rows), threshold).withColumn("_masked", masked)
     return done.select(*[(F.col("_masked") if c == at["text"] else F.col(f"own_{c}")).alias(c) for c in columns])

@@ -250,3 +250,47 @@ def test_fewer_discoveries_need_more_evidence():
     assert secrets.least_bin({-1: 1000, 10: 1}) > secrets.BINS  # 2**10 is under 1001 / 0.05
     assert secrets.least_bin({-1: 1000, 10: 40}) == 10
     assert secrets.least_bin({-1: 1000, 20: 1, 10: 1}) == 20
+
+
+def test_added_spans_and_masks_against_plain_python(spark):
+    """Added spans apart from base ones and from one another, and texts with spans replaced, over many lists."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lodeframe.llm import spanning
+
+    r = random.Random(11)
+    spans = lambda n, most: sorted((a, a + r.randint(1, most)) for a in (r.randint(0, 400) for _ in range(n)))
+    rows = [(k, spans(r.choice([0, 1, 5, 200]), 9), spans(r.choice([0, 1, 7, 90]), 6), "".join(r.choice("abé😀 ") for _ in range(420))) for k in range(120)]
+    df = spark.createDataFrame(rows, "k int, added array<struct<start:int,stop:int>>, base array<struct<start:int,stop:int>>, text string")
+    got = df.select("k", spanning.apart(F.col("added"), F.col("base")).alias("apart"), spanning.replaced(F.col("text"), F.col("base"), lambda s: F.lit("#")).alias("text")).collect()
+    for (k, added, base, text), found in zip(rows, sorted(got)):
+        want, until = [], 0
+        for a, b in added:
+            if a >= until and not any(a < y and x < b for x, y in base):
+                want.append((a, b))
+                until = b
+        assert [tuple(s) for s in found.apart] == want
+        out, until = "", 0
+        for a, b in base:
+            if a >= until:
+                out += text[until:a] + "#"
+            until = max(until, b)
+        assert found.text == out + text[until:]
+
+
+def test_texts_with_very_many_spans(spark):
+    """A contact list of 30000 addresses and numbers in one text: the work grows with it, not with its square."""
+    import time
+
+    from lodeframe.llm import pii, secrets
+
+    df = spark.createDataFrame([(1, "".join(f"u{i}@ex{i % 7}.com, 10.0.0.{i % 200} " for i in range(30_000)))], "doc_id long, text string")
+    began = time.time()
+    found = pii.summary(pii.find(df)).first()
+    assert (found.n_email, found.n_ip, found.spans.count(",")) == (30_000, 30_000, 59_999)
+    assert pii.mask(df).first().text == "<email>, <ip> " * 30_000
+    df = spark.createDataFrame([(1, "".join(f"secret: abcdefghijk{i} " for i in range(10_000)))], "doc_id long, text string")
+    assert secrets.summary(secrets.find(df)).first().n_assign == 10_000
+    assert time.time() - began < 240
