@@ -12,10 +12,11 @@ minimisers, so they meet in one bucket, where sorting finds the smallest documen
 3. Each bucket sorts its windows and returns the places of those that a smaller document holds.
 4. Documents are joined with their places, and covered words go.
 
-Hot minimisers are those with over max(HOT_ROWS, total / HOT_MOST) documents, HOT_MOST at most. Their super-k-mers are dealt over
-several buckets by document. Each bucket names the smallest document of every window that it holds, once; these meet
+Hot minimisers are those with over max(HOT_WINDOWS, total / HOT_MOST) windows, HOT_MOST at most. Their super-k-mers, which end after CUT windows,
+are dealt over several buckets by document and place. Each bucket names the smallest document of every window that it holds, once; these meet
 by window and the buckets that named a larger one than the smallest of all are told. So neither a hot minimiser nor a passage that most documents
-share meets in one task, and no super-k-mer is cut.
+share meets in one task, and a text that repeats a few words is
+many super-k-mers instead of one. Equal windows still meet, as they meet by minimiser and code.
 
 Defined cases: a null or empty text has no words and n_removed 0; a text shorter than the window keeps all
 words; a row with a null doc_id is compared with nothing and keeps all; rows that repeat a doc_id all return, each judged by its own
@@ -39,7 +40,8 @@ from lodeframe.llm.store import bounded_batches, checkpoint, parts
 
 WINDOW, SEED = 50, 10
 FILTER_BITS = 27
-HOT_ROWS, HOT_MOST = 1000, 4096
+HOT_WINDOWS, HOT_MOST = 20_000, 4096
+CUT = 2048
 BUCKET_BYTES = 6e6
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,6 +58,8 @@ class _Runs:
         row = words.row[self.at]
         new = np.ones(len(self.at), bool)
         new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+        head = np.flatnonzero(new)
+        new[np.arange(len(new)) - np.repeat(head, np.diff(np.append(head, len(new)))) & (CUT - 1) == 0] = True  # CUT is a power of two
         self.begin = np.flatnonzero(new)
         self.length = np.diff(np.append(self.begin, len(self.at)))
         self.minimiser = least[self.begin].view(np.int64)
@@ -89,7 +93,7 @@ def _minimisers(window: int, seed: int):
             for part in tk.slices(tk.text_column(batch, "text")):
                 runs = _Runs(part, window, seed)
                 if len(runs.begin):
-                    yield pa.record_batch([pa.array(runs.minimiser), pa.array(ids[part.first + runs.row])], ["minimiser", "doc_id"])
+                    yield pa.record_batch([pa.array(runs.minimiser), pa.array(ids[part.first + runs.row]), pa.array(runs.length)], ["minimiser", "doc_id", "windows"])
 
     return run
 
@@ -113,7 +117,7 @@ def _pack(window: int, seed: int, bits, hot, buckets: int, is_hot: bool):
                 total = int(length.sum())
                 inner = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
                 at = part.first + row
-                salt = tk.mix((ids[at] ^ digests[at]).view(np.uint64)) % split.astype(np.uint64)
+                salt = tk.mix((ids[at] ^ digests[at] ^ place // CUT).view(np.uint64)) % split.astype(np.uint64)
                 bucket = tk.mix(key.view(np.uint64) + salt * _STEP) % np.uint64(buckets)
                 yield pa.record_batch(
                     [pa.array(bucket.astype(np.int32)), pa.array(key), pa.array(ids[at]), pa.array(digests[at]), pa.array(place), tk.packed(runs.codes[np.repeat(begin, length) + inner], length)],
@@ -251,21 +255,21 @@ def repeated_places(documents: DataFrame, window: int = WINDOW, seed: int = SEED
     bounded_batches(spark)
     texts = _once(_kept_texts(documents))
     shared = checkpoint(
-        texts.mapInArrow(_minimisers(window, seed), "minimiser long, doc_id long")
+        texts.mapInArrow(_minimisers(window, seed), "minimiser long, doc_id long, windows long")
         .groupBy("minimiser")
-        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("windows").alias("n"))
         .filter("least < most")
         .select("minimiser", "n")
     )
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    limit = max(HOT_ROWS, total // HOT_MOST)
+    limit = max(HOT_WINDOWS, total // HOT_MOST)
     most = sorted((r.minimiser, max(2, -(-r.n // limit))) for r in shared.filter(F.col("n") > limit).collect())  # HOT_MOST rows at most
     slot = F.shiftrightunsigned("minimiser", 64 - FILTER_BITS)
     # one row for each 64 slots: 2**(FILTER_BITS - 6) rows at most, whatever the input
     words = shared.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(minimiser, {64 - FILTER_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    buckets = parts(spark, total * (window - seed) / 2 * 8, BUCKET_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = parts(spark, total * 8, BUCKET_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     context = spark.sparkContext
     hot, kept = context.broadcast((np.array([k for k, _ in most], np.int64), np.array([n for _, n in most], np.int64))), context.broadcast(bitmap.tobytes())
     out = "doc_id long, digest long, places binary"

@@ -176,7 +176,7 @@ def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
 
 
 def test_hot_minimisers_are_split(spark, monkeypatch):
-    monkeypatch.setattr(sub, "HOT_ROWS", 5)
+    monkeypatch.setattr(sub, "HOT_WINDOWS", 100)
     passage, line = prose(20, 70), prose(21, 12)
     data = [(i * 7 % 41, f"{prose(100 + i, 20)} {passage} {prose(300 + i, 20)}") for i in range(40)]
     data += [(50 + i, f"{prose(500 + i % 9, 60)} {line} {prose(700 + i % 11, 60)}") for i in range(60)]  # a common line in texts that differ around it
@@ -186,6 +186,16 @@ def test_hot_minimisers_are_split(spark, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == brute_removal(data, 50)
 
 
+def test_texts_that_repeat_a_word_are_many_runs(spark):
+    """Buckets are weighed by windows: a text of equal words is one super-k-mer of all its windows unless it is cut."""
+    data = [(i, "same " * (3000 + 700 * (i % 5)) + prose(800 + i, 60)) for i in range(24)]
+    texts = sub._kept_texts(spark.createDataFrame(data, "doc_id long, text string"))
+    runs = texts.mapInArrow(sub._minimisers(50, 10), "minimiser long, doc_id long, windows long")
+    assert runs.selectExpr("max(windows)").first()[0] == sub.CUT
+    got = sub.substring_dedup(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == brute_removal(data, 50)
+
+
 def test_words_of_slices():
     texts = ["a  b", "", None, " c\t", "d\x0be", "ä b", "x" * 10]
     found = []
