@@ -142,10 +142,11 @@ def _taken(documents: DataFrame, columns: list[str], weights: Column | None, epo
     """columns of documents with size, source_size, target, copies and taken."""
     text, source = F.col("text").cast("string"), F.col("source").cast("string")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    rows = documents.withColumns({"size": size, "source_key": F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)), "rank": _rank(F.col("doc_id"), text), "row": F.monotonically_increasing_id()})
-    narrow = checkpoint(rows.select("doc_id", source.alias("source"), "size", "source_key", "rank", "row"))
-    if columns == ["doc_id"]:
-        rows = narrow
+    facts = {"size": size, "source_key": F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)), "rank": _rank(F.col("doc_id"), text), "row": F.monotonically_increasing_id()}
+    carried = [c for c in columns if c != "doc_id"]
+    # row tells equal rows apart, so all that reads it reads the file in which it is kept; the steps read one without texts
+    rows = checkpoint(documents.withColumns(facts).select("doc_id", source.alias("source"), *facts, *carried))
+    narrow = checkpoint(rows.select("doc_id", "source", *facts)) if carried else rows
     targets = checkpoint(source_targets(narrow, weights, epochs))
     small = targets.count() <= BROADCAST_SOURCES
     hint = F.broadcast if small else (lambda x: x)
