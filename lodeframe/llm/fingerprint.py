@@ -33,6 +33,7 @@ from lodeframe.llm.store import bounded_batches, parts
 
 WIDTH, SHIFT = 16, 4  # the retained fraction is 2**-SHIFT
 PART_BYTES, STEPS = 16e6, 512
+BROADCAST_ENDS = 100_000  # rows of a range and an id
 OUT_ROWS = 2000
 _RETAINED = np.uint64(1 << 32)  # retained hashes are kept as the 32 bits below the threshold's; a least one, as it is, is larger
 
@@ -245,8 +246,9 @@ def edited_fingerprints(documents: DataFrame, width: int = WIDTH, shift: int = S
             if i in hot:
                 tails += [(hot[i][0] + j, low.get(k, after[k])) for j in range(hot[i][1])]
     ends = spark.createDataFrame(tails, "part int, doc_id long")
-    wanted = texts.join(F.broadcast(ends.select("doc_id").distinct()), "doc_id", "left_semi")
+    near = F.broadcast if len(tails) <= BROADCAST_ENDS else (lambda x: x)
+    wanted = texts.join(near(ends.select("doc_id").distinct()), "doc_id", "left_semi")
     one = wanted.groupBy("doc_id").agg(F.min(F.struct("rank", "text")).alias("of")).select("doc_id", "of.text", "of.rank")
-    last = one.join(F.broadcast(ends), "doc_id").select("part", F.lit(True).alias("tail"), "doc_id", "text", "rank")
+    last = one.join(near(ends), "doc_id").select("part", F.lit(True).alias("tail"), "doc_id", "text", "rank")
     moved = texts.mapInArrow(_dealt(splits, hot), "part int, tail boolean, doc_id long, text string, rank long").union(last)
     return moved.repartition(count, "part").sortWithinPartitions("part", F.desc("tail"), F.desc("doc_id"), "rank").mapInArrow(_compared(width, shift), OUT)
