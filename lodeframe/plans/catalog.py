@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodeframe.plans import admission, evidence, forms, lifecycle, scores
+from lodeframe.plans import admission, contracts, evidence, forms, lifecycle, scores
 
-MODULES = [scores, admission, evidence, lifecycle, forms]
+MODULES = [scores, admission, evidence, lifecycle, forms, contracts]
 
 
 def queries() -> dict:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +33,14 @@ def spread(df):
     """df over all cores, where it comes in fewer parts, as a small file does; for work that is heavy for each row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables below the cluster's checkpoint folder; only a local session without one gets it from this machine."""
+    context = spark.sparkContext
+    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.gettempdir()
+    return f"{root}/lodeframe-{name}-{uuid.uuid4().hex}"

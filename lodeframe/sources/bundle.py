@@ -11,11 +11,14 @@ from __future__ import annotations
 import tomllib
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window as W
 
-from lodeframe.operators import alignment, citations
+from lodeframe.operators import alignment, citations, schema
 
 # fixed values of the contract
 MOST_BYTES, DIGEST, CORPUS_PATH = 8 * 1024 * 1024, "^[0-9a-f]{64}$", r"^corpus/([A-Za-z0-9][A-Za-z0-9._-]{0,127})\.json$"
@@ -45,24 +48,42 @@ def strict_json(content: Column, schema: str) -> tuple[Column, Column]:
     return F.from_json(text, schema), F.when(bare, "non_finite").when(broken, "not_json")
 
 
-def cards(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
-    """The scoring parameters of each unit's card (unit -> TOML text), with defaults; fault names what is refused."""
-    rows = []
-    for unit, text in texts.items():
+CARD = "unit string, task_id string, target_type string, interval_level double, w_a double, w_c double, tau double, interval_leg boolean, fault string"
+
+
+def _card(unit: str, text: str) -> tuple:
+    """The row of CARD of one card. What isn't TOML, or has values of other types, is refused whole."""
+    try:
         card = tomllib.loads(text)
         given = card.get("scoring", {}).get("params", {})
         p = CARD_DEFAULTS | given
+        level, tau, threshold = (float(p[x]) for x in ("interval_level", "tau_citation", "faithfulness_threshold"))
         weights = [float(x) for x in p["composite_weights"]]
-        fault = (
-            "level" if not 0 < p["interval_level"] < 1
-            else "weights" if len(weights) != 2 or abs(sum(weights) - 1) > 1e-9
-            else "threshold" if abs(p["faithfulness_threshold"] - LEGACY_THRESHOLD) > 1e-12
-            else "tau" if not 0 <= p["tau_citation"] < 1
-            else "fixed_key" if {"penalty_k", "contradiction_bar"} & set(given)
-            else None
-        )
-        rows.append((unit, card.get("task", {}).get("id"), p.get("target_type"), float(p["interval_level"]), weights[0], weights[-1], float(p["tau_citation"]), bool(p["interval_leg"]), fault))
-    return spark.createDataFrame(rows, "unit string, task_id string, target_type string, interval_level double, w_a double, w_c double, tau double, interval_leg boolean, fault string")
+        tests = [
+            ("level", not 0 < level < 1), ("weights", len(weights) != 2 or abs(sum(weights) - 1) > 1e-9), ("threshold", abs(threshold - LEGACY_THRESHOLD) > 1e-12),
+            ("tau", not 0 <= tau < 1), ("fixed_key", bool({"penalty_k", "contradiction_bar"} & set(given))),
+        ]
+        return unit, card.get("task", {}).get("id"), p.get("target_type"), level, weights[0], weights[-1], tau, bool(p["interval_leg"]), next((name for name, bad in tests if bad), None)
+    except (ValueError, TypeError, KeyError, IndexError, AttributeError):
+        return unit, None, None, None, None, None, None, None, "not_a_card"
+
+
+def read_cards(files_: DataFrame) -> DataFrame:
+    """The scoring parameters of each unit's card (unit, content: TOML in UTF-8), with defaults; fault names what is refused. Cards are parsed where they are read."""
+
+    names, arrow = [x.split()[0] for x in CARD.split(", ")], to_arrow_schema(_parse_datatype_string(CARD))
+
+    def parse(batches):
+        for batch in batches:
+            rows = [_card(u, bytes(c).decode(errors="replace")) for u, c in zip(batch.column("unit").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], arrow)
+
+    return files_.select("unit", F.col("content").cast("binary").alias("content")).mapInArrow(parse, CARD)
+
+
+def cards(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
+    """read_cards of texts at hand (unit -> TOML)."""
+    return read_cards(spark.createDataFrame([(u, t.encode()) for u, t in texts.items()], "unit string, content binary"))
 
 
 def manifest_entries(manifests: DataFrame) -> DataFrame:
@@ -196,8 +217,7 @@ def hydrate(spark: SparkSession, root: str, submissions: str | None = None) -> d
     """
     units = unit_folders(spark, root)
     tasks_ = tasks(_files(spark, root, "task.json").select("unit", "content")).join(units, "unit", "left_semi")
-    texts = {r.unit: bytes(r.content).decode() for r in _files(spark, root, "card.toml").join(units, "unit", "left_semi").select("unit", "content").collect()}  # small files, one for each unit
-    card = cards(spark, texts)
+    card = read_cards(_files(spark, root, "card.toml").join(units, "unit", "left_semi"))
     target = F.coalesce("target_type", "target.type")
     made = tasks_.withColumnRenamed("fault", "task_fault").join(card.select("unit", F.col("target_type"), F.col("interval_level").alias("level"), "w_a", "w_c", "interval_leg", F.col("fault").alias("card_fault")), "unit")
     cutoff = citations.iso_date(F.col("cutoff_date"))
@@ -211,7 +231,7 @@ def hydrate(spark: SparkSession, root: str, submissions: str | None = None) -> d
     read = _submissions(spark, submissions or f"{root}-answers")
     predictions, claims = answer_rows(read, ["submission_id", "unit_id"])
     bad = claims.filter("bad_offsets").select("submission_id", "unit_id", F.lit("bad_offsets").alias("bad")).distinct()
-    answer_table = read.join(bad, ["submission_id", "unit_id"], "left").select("submission_id", "unit_id", F.coalesce("fault", F.when(F.col("schema_faults") > 0, "schema"), "bad").alias("fault"), "task_id")
+    answer_table = read.join(bad, ["submission_id", "unit_id"], "left").select("submission_id", "unit_id", F.coalesce("fault", "bad", F.when(F.col("schema_faults") > 0, "schema")).alias("fault"), "task_id")
     covered = alignment.roster_check(roster.join(outcome.select("unit_id").distinct(), "unit_id", "left_semi").select("unit_id", "entity_id"), naive.select("unit_id", "entity_id"), ["unit_id"])
     faults = reduce(
         lambda a, b: a.unionByName(b),
@@ -236,8 +256,9 @@ def _submissions(spark: SparkSession, root: str) -> DataFrame:
     """submission_id, unit_id, the answer's columns, schema_faults and fault of root/<unit>/<submission>.json."""
     found = _files(spark, root, "*.json").select(F.col("unit").alias("unit_id"), F.regexp_extract("file", r"([^/]+)\.json$", 1).alias("submission_id"), "content")
     body, broken = strict_json(F.col("content"), ANSWER)
-    rows = found.select("submission_id", "unit_id", body.alias("a"), broken.alias("fault"))
-    return rows.select("submission_id", "unit_id", "a.*", alignment.schema_faults(F.col("a")).alias("schema_faults"), "fault")
+    gate = F.size(schema.schema_faults(F.decode("content", "UTF-8"), schema.answer_schema()))
+    rows = found.select("submission_id", "unit_id", body.alias("a"), gate.alias("schema_faults"), broken.alias("fault"))
+    return rows.select("submission_id", "unit_id", "a.*", "schema_faults", "fault")
 
 
 def self_check(claims: DataFrame, docs: DataFrame) -> DataFrame:
