@@ -69,12 +69,14 @@ def premise_quotes(premises: DataFrame, docs: DataFrame, on: list[str], masked:
     asked = premises.withColumn("wanted", F.trim(mask(F.col("premise"))))
     long = asked.select(*on, "premise", "wanted").distinct().filter(F.size(words(F.col("wanted"))) >= QUOTE_WORDS)
     inner = long.select(*on, "premise", "wanted", F.explode(F.array_distinct(F.slice(words(F.col("wanted")), 2, F.size(words(F.col("wanted"))) - 2))).alias("word"))
-    texts = docs.select(*on, mask(F.col("text")).alias("doc_text"))
-    held = texts.select(*on, "doc_text", F.explode(F.array_distinct(words(F.col("doc_text")))).alias("word")).join(inner.select(*on, "word").distinct(), [*on, "word"], "left_semi")
+    texts = docs.select(*on, mask(F.col("text")).alias("doc_text")).withColumn("_doc", F.sha2("doc_text", 256))
+    held = texts.select(*on, "_doc", F.explode(F.array_distinct(words(F.col("doc_text")))).alias("word")).join(inner.select(*on, "word").distinct(), [*on, "word"], "left_semi")
     common = held.groupBy(*on, "word").agg(F.count(F.lit(1)).alias("n"))
     # a word that no document has leaves no quote; otherwise the rarest one decides which documents are read
     rarest = inner.join(common, [*on, "word"], "left").groupBy(*on, "premise", "wanted").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))["word"].alias("word"))
-    hit = rarest.join(held, [*on, "word"]).filter(F.contains("doc_text", F.col("wanted"))).select(*on, "premise").distinct().withColumn("is_quote", F.lit(True))
+    # words travel with a digest; a text is joined once for each premise that it may hold
+    near = rarest.join(held, [*on, "word"]).select(*on, "premise", "wanted", "_doc")
+    hit = near.join(texts, [*on, "_doc"]).filter(F.contains("doc_text", F.col("wanted"))).select(*on, "premise").distinct().withColumn("is_quote", F.lit(True))
     return asked.drop("wanted").join(hit, [*on, "premise"], "left").withColumn("is_quote", F.coalesce("is_quote", F.lit(False)))
 
 

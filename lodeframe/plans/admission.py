@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodeframe.functions import metrics
 from lodeframe.functions import text as words
 from lodeframe.operators import alignment, citations, judges, verdicts
-from lodeframe.plans.bindings import CLAIMS, Registry, claims, documents
+from lodeframe.plans.bindings import CLAIMS, Registry, claims, documents, items
 from lodeframe.session import table
 
 query = Registry()
@@ -150,13 +150,13 @@ def b4_vocabulary(spark, sf):
     return table(spark, sf, "part").select("p_partkey", alignment.vocabulary_fault(labels, F.lit("classification")).alias("fault"))
 
 
-@query("""WITH s AS (SELECT doc_id, text, (doc_id * 7 % 400)::INT AS s, (doc_id * 7 % 400 + doc_id % 90)::INT AS e FROM documents)
+@query("""WITH s AS (SELECT doc_id, text, (doc_id * 7919 % (length(text) + 20))::INT AS s, (doc_id * 7919 % (length(text) + 20) + doc_id % 90)::INT AS e FROM documents)
 SELECT doc_id, CASE WHEN 0 <= s AND s < e AND e <= length(text) THEN substring(text, s + 1, e - s) END AS span, NOT (0 <= s AND s < e AND e <= length(text)) AS out_of_range FROM s""")
 def c1_spans(spark, sf):
     """Guarded slices in code points."""
     d = F.col("doc_id")
-    start = (d * 7 % 400).cast("int")
-    span, out = citations.span_text(F.col("text"), start, (d * 7 % 400 + d % 90).cast("int"))
+    start = (d * 7919 % (F.length("text") + 20)).cast("int")
+    span, out = citations.span_text(F.col("text"), start, (start + d % 90).cast("int"))
     return table(spark, sf, "documents").select("doc_id", span.alias("span"), out.alias("out_of_range"))
 
 
@@ -262,12 +262,12 @@ def d16_claim_shape(spark, sf):
     return table(spark, sf, "events").select("event_id", F.array_join(with_missing, ",").alias("codes"))
 
 
-@query("""WITH p AS (SELECT d.doc_id, string_split_regex(lower(trim(d.text)), '[ \n\t\r]+') AS p, string_split_regex(lower(trim(b.text)), '[ \n\t\r]+') AS h FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
+@query("""WITH p AS (SELECT d.doc_id, string_split_regex(lower(trim(d.text)), '[ \n\t\r]+') AS p, string_split_regex(lower(trim(b.text)), '[ \n\t\r]+') AS h FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id),
 w AS (SELECT doc_id, list_distinct(list_filter(p, lambda x: length(x) > 2)) AS p, list_distinct(list_filter(h, lambda x: length(x) > 2)) AS h FROM p)
 SELECT doc_id, round(len(list_intersect(h, p)) / len(h), 8) AS entailment FROM w""")
 def f1_lexical(spark, sf):
     """The lexical judge."""
-    pairs = table(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id")).join(table(spark, sf, "benchmark").withColumnRenamed("text", "claim"), "item_id")
+    pairs = table(spark, sf, "documents").select("doc_id", "text", items(spark, sf, "doc_id").alias("item_id")).join(table(spark, sf, "benchmark").withColumnRenamed("text", "claim"), "item_id")
     return pairs.select("doc_id", F.round(judges.lexical(F.col("text"), F.col("claim")), 8).alias("entailment"))
 
 

@@ -15,6 +15,11 @@ from lodeframe.session import table
 CUTOFF, Z = "1998-07-01", 1.645
 
 
+def items(spark: SparkSession, sf: str, key: str):
+    """The passage that a row is paired with: all of them in turn."""
+    return F.col(key) % table(spark, sf, "benchmark").count()
+
+
 class Registry:
     """Queries and their SQL, collected by decorator."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import figures, text, urls
 from lodeframe.operators import agents, outcomes, profile, reasons, retrieval, verdicts
-from lodeframe.plans.bindings import Registry
+from lodeframe.plans.bindings import Registry, items
 from lodeframe.session import spread, table
 from lodeframe.sources import bundle
 
@@ -52,24 +52,24 @@ def h4_overlap(spark, sf):
     return found.withColumn("score", F.round("score", 8))
 
 
-@query("""WITH p AS (SELECT d.doc_id, d.text, b.text[1:40] AS quote FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id
+@query("""WITH p AS (SELECT d.doc_id, d.text, b.text AS quote FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id
 UNION ALL SELECT doc_id + 1000000, text, replace(text[21:50], '''', '’') FROM documents)
 SELECT doc_id, CASE WHEN trim(quote) = '' THEN NULL WHEN instr(text, trim(quote)) > 0 THEN instr(text, trim(quote)) - 1 WHEN instr(text, replace(trim(quote), '’', '''')) > 0 THEN instr(text, replace(trim(quote), '’', '''')) - 1 END::INT AS start FROM p""")
 def c9_find_quote(spark, sf):
     """Where a quote stands, quotes and dashes made plain."""
     d = table(spark, sf, "documents")
-    a = d.select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id")).join(table(spark, sf, "benchmark").select("item_id", F.left("text", F.lit(40)).alias("quote")), "item_id").select("doc_id", "text", "quote")
+    a = d.select("doc_id", "text", items(spark, sf, "doc_id").alias("item_id")).join(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")), "item_id").select("doc_id", "text", "quote")
     b = d.select((F.col("doc_id") + 1000000).alias("doc_id"), "text", F.translate(F.substring("text", 21, 30), "'", "’").alias("quote"))
     start, _ = retrieval.find_quote(F.col("text"), F.col("quote"))
     return a.union(b).select("doc_id", start.cast("int").alias("start"))
 
 
-@query("""WITH q AS (SELECT item_id AS quote_id, 'D' || (item_id * 7 % 200) AS doc_id, text AS quote FROM benchmark), c AS (SELECT 'D' || doc_id AS doc_id, (doc_id % 5 * 10)::INT AS start, text FROM documents),
+@query("""WITH q AS (SELECT item_id AS quote_id, 'D' || (item_id * 7919 % (SELECT count(*) FROM documents)) AS doc_id, text AS quote FROM benchmark), c AS (SELECT 'D' || doc_id AS doc_id, (doc_id % 5 * 10)::INT AS start, text FROM documents),
 w AS (SELECT quote_id, doc_id, start, len(list_intersect(list_distinct(string_split_regex(lower(trim(quote)), '[ \n\t\r]+')), list_distinct(string_split_regex(lower(trim(text)), '[ \n\t\r]+')))) AS shared FROM q JOIN c USING (doc_id))
 SELECT quote_id, doc_id, start, shared::INT AS shared FROM w WHERE shared > 0""")
 def c11_best_chunk(spark, sf):
     """C11: the chunk of a document that shares most words with a quote."""
-    quotes = table(spark, sf, "benchmark").select(F.col("item_id").alias("quote_id"), F.concat(F.lit("D"), (F.col("item_id") * 7 % 200).cast("string")).alias("doc_id"), F.col("text").alias("quote"))
+    quotes = table(spark, sf, "benchmark").select(F.col("item_id").alias("quote_id"), F.concat(F.lit("D"), (F.col("item_id") * 7919 % table(spark, sf, "documents").count()).cast("string")).alias("doc_id"), F.col("text").alias("quote"))
     chunks = _chunks(spark, sf).withColumn("end", F.col("start") + F.length("text"))
     return retrieval.best_chunk(quotes, chunks).drop("end")
 
@@ -90,7 +90,7 @@ def c7_window_words(spark, sf):
 @query()
 def c6_best_window(spark, sf):
     """The window of a passage that shares most words with the claim."""
-    pairs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("whole"), (F.col("doc_id") % 40).alias("item_id")).join(table(spark, sf, "benchmark").withColumnRenamed("text", "claim"), "item_id")
+    pairs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("whole"), items(spark, sf, "doc_id").alias("item_id")).join(table(spark, sf, "benchmark").withColumnRenamed("text", "claim"), "item_id")
     return pairs.select("doc_id", text.best_window(F.col("whole"), F.lit(400), F.col("claim")).alias("start"))
 
 
@@ -231,11 +231,11 @@ def j12_denied(spark, sf):
     return table(spark, sf, "events").select("event_id", urls.fold_text(t).alias("seen")).select("event_id", reasons.denied(F.col("seen")).alias("denied"))
 
 
-@query("""SELECT d.doc_id AS unit, b.text AS premise, contains(d.text, trim(b.text)) AS is_quote FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id""")
+@query("""SELECT d.doc_id AS unit, b.text AS premise, contains(d.text, trim(b.text)) AS is_quote FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id""")
 def j13_premise_quotes(spark, sf):
     """Premises that quote a document of their unit."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("unit"), "text")
-    premises = docs.select("unit", (F.col("unit") % 40).alias("item_id")).join(table(spark, sf, "benchmark").withColumnRenamed("text", "premise"), "item_id").select("unit", "premise")
+    premises = docs.select("unit", items(spark, sf, "unit").alias("item_id")).join(table(spark, sf, "benchmark").withColumnRenamed("text", "premise"), "item_id").select("unit", "premise")
     return reasons.premise_quotes(premises, docs, ["unit"], masked=False)
 
 
@@ -340,13 +340,13 @@ def b26_labels(spark, sf):
 
 
 @query("""SELECT d.doc_id, b.text AS hypothesis, round(len(list_intersect(list_distinct(list_filter(string_split_regex(lower(trim(b.text)), '[ \n\t\r]+'), lambda x: length(x) > 2)), list_distinct(list_filter(string_split_regex(lower(trim(d.text)), '[ \n\t\r]+'), lambda x: length(x) > 2))))
-  / len(list_distinct(list_filter(string_split_regex(lower(trim(b.text)), '[ \n\t\r]+'), lambda x: length(x) > 2))), 8) AS contradiction FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE d.doc_id % 3 = 0
-UNION ALL SELECT d.doc_id, b.text, NULL FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE d.doc_id % 3 <> 0""")
+  / len(list_distinct(list_filter(string_split_regex(lower(trim(b.text)), '[ \n\t\r]+'), lambda x: length(x) > 2))), 8) AS contradiction FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id WHERE d.doc_id % 3 = 0
+UNION ALL SELECT d.doc_id, b.text, NULL FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id WHERE d.doc_id % 3 <> 0""")
 def o3_lazy_judge(spark, sf):
     """The judge runs on open claims only, once for each distinct pair."""
     from lodeframe.operators import judges
 
-    claims = table(spark, sf, "documents").select("doc_id", F.col("text").alias("premise"), (F.col("doc_id") % 40).alias("item_id")).join(table(spark, sf, "benchmark").withColumnRenamed("text", "hypothesis"), "item_id").withColumn("open", F.col("doc_id") % 3 == 0)
+    claims = table(spark, sf, "documents").select("doc_id", F.col("text").alias("premise"), items(spark, sf, "doc_id").alias("item_id")).join(table(spark, sf, "benchmark").withColumnRenamed("text", "hypothesis"), "item_id").withColumn("open", F.col("doc_id") % 3 == 0)
     judge = lambda pairs: pairs.select("pair", judges.lexical(F.col("premise"), F.col("hypothesis")).alias("contradiction"))
     return verdicts.judge_open(claims, judge, ["doc_id"], "premise", "hypothesis").select("doc_id", "hypothesis", F.round("contradiction", 8).alias("contradiction"))
 
