@@ -151,6 +151,44 @@ def a23_report_sink(spark, sf):
     return spark.read.parquet(f"{folder}/findings").withColumn("gaps", F.lit(gaps).cast("long"))
 
 
+# ---- planted dates and tokens: (SQL text of the form on the day t or the digit n, what it has to be called)
+DATES = [
+    ("date_format(t, 'yyyy-MM-dd')", "iso covered"), ("date_format(t, 'MM/dd/yyyy')", "m_d_y covered"), ("date_format(t, 'M/yyyy')", "m_yyyy covered"), ("date_format(t, 'MMMM d, yyyy')", "month_day covered"),
+    ("date_format(t, 'd MMMM yyyy')", "day_month covered"), ("concat(quarter(t), 'Q', date_format(t, 'yy'))", "period_label covered"), ("concat('Q', quarter(t), ' ', date_format(t, 'yy'))", "period_label_spaced left_alone"),
+    ("date_format(t, 'MMM-yy')", "month_yy left_alone"), ("concat(chr(39), date_format(t, 'yy'))", "apostrophe_yy left_alone"), ("date_format(t, 'yyyyMMdd')", "compact_ymd left_alone"), ("concat(10 + n, ':45')", "clock_time left_alone"),
+    ("date_format(t, 'M/d')", "m_d covered"), ("concat('13/4', n)", "m_d_not_a_date covered"),
+]
+TOKENS = [
+    ("'=100'", "index_base"), ("concat('(', year(t), '-9', n, ')')", "year_or_period"), ("concat(year(t), '/est')", "year_then_word"), ("concat(n, '.5.98')", "date"), ("concat('ABC', n)", "identifier"), ("concat(n, '½')", "period_with_fraction"),
+    ("concat('1', n, '.5abc')", "number_then_word"), ("concat('1-', n, '-x')", "id_with_punctuation"), ("concat('*', n, '*')", "marker_only"), ("concat('#12345', n)", "hex_colour"), ("concat(n, ',/x')", "path_or_url"), ("concat('5,6', n, '%8')", "glued_values"), ("concat(n, '€6')", "gap"),
+]
+
+
+def _planted_forms(spark, sf, forms):
+    """o_orderkey and text: each order's date or digit in one of the forms."""
+    t, n = F.col("o_orderdate").cast("date").alias("t"), (F.col("o_orderkey") % 9 + 1).cast("string").alias("n")
+    form = reduce(lambda chain, k: F.when(F.col("o_orderkey") % len(forms) == k, F.expr(forms[k][0])).otherwise(chain), range(len(forms)), F.lit(None).cast("string"))
+    return spread(table(spark, sf, "orders").select("o_orderkey", t, n)).select("o_orderkey", form.alias("text"))
+
+
+def _named(forms) -> str:
+    return f"""(['{"','".join(name for _, name in forms)}'])[(o_orderkey % {len(forms)})::INT + 1]"""
+
+
+@query(f"""SELECT o_orderkey, {_named(DATES)} AS called FROM orders""")
+def j6_date_kinds(spark, sf):
+    """A planted date of each kind, and what the profile makes of it; that is one case for each."""
+    said = _planted_forms(spark, sf, DATES).select("o_orderkey", F.concat(F.lit("It came on "), "text", F.lit(" then")).alias("text"))
+    found = said.select("o_orderkey", F.explode(profile.cases(F.col("text"))).alias("x")).select("o_orderkey", "x.*").filter("family = 'date'")
+    return profile.judged(found).select("o_orderkey", F.concat_ws(" ", "kind", "verdict").alias("called"))
+
+
+@query(f"""SELECT o_orderkey, {_named(TOKENS)} AS called FROM orders""")
+def j11_unread_classes(spark, sf):
+    """A planted token of each class of what yields no figure, and one of none."""
+    return _planted_forms(spark, sf, TOKENS).select("o_orderkey", F.coalesce(profile.unread_class(F.col("text")), F.lit("gap")).alias("called"))
+
+
 # ---- a panel: five judges vote on each component of each of three target reasons of an order's answer ------------------------
 _PARTS = panel.COMPONENTS + panel.FLAGS
 _VOTE = "CASE WHEN (k * 7 + t * 5 + c * 3 + j * 11) % 17 = 0 THEN NULL WHEN c = 6 THEN ((k + t) % 9 = 0 AND j <> 2)::INT ELSE ((k * 3 + t * 5 + c + j * 2) % 8 <> 0)::INT END"
