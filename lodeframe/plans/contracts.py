@@ -10,6 +10,7 @@ from lodeframe.functions import text
 from lodeframe.operators import bands, calibration, judges, panel, profile, schema, verdicts
 from lodeframe.plans.bindings import Registry
 from lodeframe.session import shared_folder, spread, table
+from lodeframe.sources import bundle
 
 query = Registry()
 
@@ -151,6 +152,58 @@ def a23_report_sink(spark, sf):
     return spark.read.parquet(f"{folder}/findings").withColumn("gaps", F.lit(gaps).cast("long"))
 
 
+# ---- bundles as rows: a unit of fifty customers, its files as an organiser would write them, one kind of fault in each of five of six units
+def _bundle_files(spark, sf):
+    key, kind = F.col("c_custkey"), F.col("k") % 6
+    unit = F.concat(F.lit("u"), F.col("k").cast("string"))
+    people = table(spark, sf, "customer").groupBy(F.floor(key / 50).alias("k")).agg(F.array_sort(F.collect_list(F.struct(key.alias("key"), F.col("c_acctbal").alias("y")))).alias("es"))
+    name = lambda x: F.concat(F.lit("c"), x["key"].cast("string")).alias("entity_id")
+    lit = lambda **values: [F.lit(v).alias(k) for k, v in values.items()]
+    entities = F.transform("es", lambda x: F.struct(name(x), F.concat(F.lit("Customer "), x["key"].cast("string")).alias("name")))
+    task = F.to_json(F.struct(*lit(task_id="t1", cutoff_date="2024-06-30"), F.struct(*lit(name="y", type="regression")).alias("target"), entities.alias("entities")))
+    doc = F.to_json(F.struct(*lit(doc_id="d1", doc_date="2024-01-02"), F.concat(F.lit("Balances of unit "), unit).alias("text")))
+    entry = F.struct(*lit(path="corpus/d1.json", role="corpus"), F.when(kind == 1, F.repeat(F.lit("0"), 64)).otherwise(F.sha2(doc, 256)).alias("sha256"), F.length(doc).cast("long").alias("bytes"), F.lit(True).alias("shared"))
+    outcome = F.to_json(F.struct(unit.alias("unit_id"), F.transform("es", lambda x: F.struct(name(x), x["y"].alias("y"))).alias("outcomes")))
+    interval = F.struct(*lit(level=0.9, lo=-1e4, hi=1e4)).alias("interval")
+    claims = F.array(F.struct(*lit(doc_id="d1", span_start=0, span_end=8, claim="Balances of it."))).alias("claims")
+    covered = F.when(kind == 3, F.slice("es", 2, F.size("es"))).otherwise(F.col("es"))
+    naive = F.to_json(F.struct(*lit(task_id="t1"), F.transform(covered, lambda x: F.struct(name(x), F.lit(0.0).alias("point_forecast"), interval, claims)).alias("entity_predictions")))
+    card = F.concat(F.lit('[task]\nid = "t1"\n[scoring.params]\ntarget_type = "regression"\ninterval_level = '), F.when(kind == 4, "1.5").otherwise("0.9"), F.lit("\n"))
+    given = [("card.toml", card), ("task.json", F.when(kind == 5, "{oops").otherwise(task)), ("manifest.json", F.to_json(F.struct(F.array(entry).alias("files")))), ("corpus/d1.json", doc), ("reference/outcome.json", outcome), ("reference/naive_answer.json", F.when(kind != 2, naive))]
+    rows = people.select(unit.alias("unit"), F.explode(F.array(*[F.struct(F.lit(f).alias("file"), c.alias("content")) for f, c in given])).alias("x")).select("unit", "x.*").filter("content is not null")
+    stray = people.select(F.concat(F.lit("folder"), F.col("k").cast("string")).alias("unit"), F.lit("notes.txt").alias("file"), F.lit("no unit").alias("content"))
+    return rows.union(stray)
+
+
+@query("""WITH u AS (SELECT c_custkey // 50 AS k, count(*) AS n FROM customer GROUP BY 1)
+SELECT 'u' || k AS unit_id, CASE WHEN k % 6 = 4 THEN 1.5 ELSE 0.9 END::DOUBLE AS level, CASE WHEN k % 6 = 5 THEN 0 ELSE n END::BIGINT AS entities, (k % 6 <> 1)::BIGINT AS docs, n AS truths,
+  CASE k % 6 WHEN 2 THEN 0 WHEN 3 THEN n - 1 ELSE n END::BIGINT AS naives, (['', 'd1 digest_mismatch', 'reference/naive_answer.json roster_missing', 'reference/naive_answer.json roster_missing', 'card.toml level', 'task.json not_json'])[(k % 6)::INT + 1] AS faults FROM u""")
+def a1_hydrate(spark, sf):
+    """Units from their files: what each has of entities, documents, outcomes and naive rows, and what of it can't be trusted."""
+    files_ = _bundle_files(spark, sf)
+    found = bundle.hydrate_files(files_, files_.filter("unit is null"))
+    count = lambda of, name: found[of].groupBy("unit_id").agg(F.count(F.lit(1)).alias(name))
+    faults = found["faults"].groupBy("unit_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "file", "fault"))), ",").alias("faults"))
+    sides = [count("roster", "entities"), count("docs", "docs"), count("truth", "truths"), count("naive", "naives")]
+    joined = reduce(lambda a, b: a.join(b, "unit_id", "left"), [*sides, faults], found["units"].select("unit_id", "level"))
+    return joined.select("unit_id", "level", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("entities", "docs", "truths", "naives")], F.coalesce("faults", F.lit("")).alias("faults"))
+
+
+CARDS = [
+    ("interval_level = 0.8\ntau_citation = 0.25", 0.8, 0.7, 0.25, None), ("", 0.9, 0.7, 0.5, None), ("interval_level = 1.0", 1.0, 0.7, 0.5, "level"), ("composite_weights = [0.5, 0.4]", 0.9, 0.5, 0.5, "weights"), ("composite_weights = [1.0]", 0.9, 1.0, 0.5, "weights"),
+    ("faithfulness_threshold = 0.5", 0.9, 0.7, 0.5, "threshold"), ("tau_citation = 1.0", 0.9, 0.7, 1.0, "tau"), ("penalty_k = 2.0", 0.9, 0.7, 0.5, "fixed_key"), ("interval_level = ", None, None, None, "not_a_card"), ('interval_level = "high"', None, None, None, "not_a_card"),
+]
+_SQL = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else repr(x)
+
+
+@query(f"""SELECT 'u' || o_orderkey AS unit, {", ".join(f"([{', '.join(_SQL(c[i]) for c in CARDS)}])[(o_orderkey % {len(CARDS)})::INT + 1]::{kind} AS {name}" for i, name, kind in ((1, "level", "DOUBLE"), (2, "w_a", "DOUBLE"), (3, "tau", "DOUBLE"), (4, "fault", "VARCHAR")))} FROM orders""")
+def a3_cards(spark, sf):
+    """A3: cards in TOML, with defaults, and what each kind of fault in them is called."""
+    params = F.element_at(F.array(*[F.lit(c[0]) for c in CARDS]), (F.col("o_orderkey") % len(CARDS)).cast("int") + 1)
+    cards = table(spark, sf, "orders").select(F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("unit"), F.concat(F.lit('[task]\nid = "t"\n[scoring.params]\n'), params, F.lit("\n")).alias("content"))
+    return bundle.read_cards(cards).select("unit", F.col("interval_level").alias("level"), "w_a", "tau", "fault")
+
+
 # ---- planted dates and tokens: (SQL text of the form on the day t or the digit n, what it has to be called)
 DATES = [
     ("date_format(t, 'yyyy-MM-dd')", "iso covered"), ("date_format(t, 'MM/dd/yyyy')", "m_d_y covered"), ("date_format(t, 'M/yyyy')", "m_yyyy covered"), ("date_format(t, 'MMMM d, yyyy')", "month_day covered"),

@@ -9,6 +9,7 @@ of any number of units are verified in parallel. An organiser's fault is a row i
 from __future__ import annotations
 
 import tomllib
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
@@ -215,20 +216,33 @@ def hydrate(spark: SparkSession, root: str, submissions: str | None = None) -> d
 
     Answers are read from submissions/<unit>/<submission>.json. A naive answer has to be there, and to cover the roster, where there is an outcome.
     """
-    units = unit_folders(spark, root)
-    tasks_ = tasks(_files(spark, root, "task.json").select("unit", "content")).join(units, "unit", "left_semi")
-    card = read_cards(_files(spark, root, "card.toml").join(units, "unit", "left_semi"))
+    return _hydrated(lambda pattern: _files(spark, root, pattern), unit_folders(spark, root), _files(spark, submissions or f"{root}-answers", "*.json"))
+
+
+def hydrate_files(given: DataFrame, submitted: DataFrame) -> dict[str, DataFrame]:
+    """hydrate() of files as rows (unit, file, content), from whatever source Spark reads them: those of units, and those of answers."""
+    text = F.col("content").cast("binary")
+    sized = lambda df: df.select("unit", "file", text.alias("content"), F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256"))
+    pick = lambda pattern: sized(given).filter(F.col("file").rlike("^" + pattern.replace(".", "[.]").replace("*", "[^/]*") + "$"))
+    units = pick("manifest.json").union(pick("corpus/manifest.json")).select("unit").distinct()
+    return _hydrated(pick, units, sized(submitted))
+
+
+def _hydrated(pick: Callable[[str], DataFrame], units: DataFrame, submitted: DataFrame) -> dict[str, DataFrame]:
+    """The tables of hydrate(): pick gives the files that match a glob."""
+    tasks_ = tasks(pick("task.json").select("unit", "content")).join(units, "unit", "left_semi")
+    card = read_cards(pick("card.toml").join(units, "unit", "left_semi"))
     target = F.coalesce("target_type", "target.type")
     made = tasks_.withColumnRenamed("fault", "task_fault").join(card.select("unit", F.col("target_type"), F.col("interval_level").alias("level"), "w_a", "w_c", "interval_leg", F.col("fault").alias("card_fault")), "unit")
     cutoff = citations.iso_date(F.col("cutoff_date"))
     unit_table = made.select(F.col("unit").alias("unit_id"), target.alias("target_type"), cutoff.alias("cutoff"), F.col("target.labels").alias("labels"), "level", "w_a", "w_c", "interval_leg", "task_id")
     roster = task_roster(tasks_).withColumnRenamed("unit", "unit_id")
-    manifests = _files(spark, root, "manifest.json").select("unit", "file", "content").union(_files(spark, root, "corpus/manifest.json").select("unit", "file", "content"))
-    docs = verified_documents(manifest_entries(manifests), _files(spark, root, "corpus/*.json"))
-    outcome = outcomes(_files(spark, root, "reference/outcome.json"))
-    rule = answers(_files(spark, root, NAIVE).select("unit", "content")).withColumnRenamed("unit", "unit_id")
+    manifests = pick("manifest.json").select("unit", "file", "content").union(pick("corpus/manifest.json").select("unit", "file", "content"))
+    docs = verified_documents(manifest_entries(manifests), pick("corpus/*.json"))
+    outcome = outcomes(pick("reference/outcome.json"))
+    rule = answers(pick(NAIVE).select("unit", "content")).withColumnRenamed("unit", "unit_id")
     naive, _ = answer_rows(rule, ["unit_id"])
-    read = _submissions(spark, submissions or f"{root}-answers")
+    read = _submissions(submitted)
     predictions, claims = answer_rows(read, ["submission_id", "unit_id"])
     bad = claims.filter("bad_offsets").select("submission_id", "unit_id", F.lit("bad_offsets").alias("bad")).distinct()
     answer_table = read.join(bad, ["submission_id", "unit_id"], "left").select("submission_id", "unit_id", F.coalesce("fault", "bad", F.when(F.col("schema_faults") > 0, "schema")).alias("fault"), "task_id")
@@ -252,9 +266,9 @@ def hydrate(spark: SparkSession, root: str, submissions: str | None = None) -> d
     }
 
 
-def _submissions(spark: SparkSession, root: str) -> DataFrame:
-    """submission_id, unit_id, the answer's columns, schema_faults and fault of root/<unit>/<submission>.json."""
-    found = _files(spark, root, "*.json").select(F.col("unit").alias("unit_id"), F.regexp_extract("file", r"([^/]+)\.json$", 1).alias("submission_id"), "content")
+def _submissions(submitted: DataFrame) -> DataFrame:
+    """submission_id, unit_id, the answer's columns, schema_faults and fault of files <unit>/<submission>.json."""
+    found = submitted.select(F.col("unit").alias("unit_id"), F.regexp_extract("file", r"([^/]+)\.json$", 1).alias("submission_id"), "content")
     body, broken = strict_json(F.col("content"), ANSWER)
     gate = F.size(schema.schema_faults(F.decode("content", "UTF-8"), schema.answer_schema()))
     rows = found.select("submission_id", "unit_id", body.alias("a"), gate.alias("schema_faults"), broken.alias("fault"))
