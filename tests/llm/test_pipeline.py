@@ -50,7 +50,7 @@ def test_sql(spark, sf, name):
 
 
 def test_entry_has_all(spark):
-    assert {f"op{n}_" for n in range(1, 11)} == {x[: x.index("_") + 1] for x in entry.queries() if x.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {x[: x.index("_") + 1] for x in entry.queries() if x.startswith("op")}
     assert "pipeline" in entry.queries()
 
 
