@@ -209,7 +209,7 @@ SELECT unit, count(*) AS n_claims, count(*) FILTER (bad) AS n_false, count(*) FI
   count(*) FILTER (status = 'over_cap') AS n_over_cap, count(*) FILTER (status = 'unanchored') AS n_unanchored, count(*) FILTER (status = 'content_free') AS n_content_free, count(*) FILTER (status = 'contradicted') AS n_contradicted,
   count(*) FILTER (status = 'neutral') AS n_neutral, count(DISTINCT entity_id) AS n_entities FROM r GROUP BY 1""")
 def d11_report(spark, sf):
-    """The verdict chain and its counters."""
+    """Reasons and its counters."""
     return verdicts.report(_verdicts(spark, sf), ["unit"])
 
 
@@ -254,7 +254,7 @@ def d4_content_free(spark, sf):
 @query("""WITH s AS (SELECT event_id AS e, value FROM events) SELECT e AS event_id, array_to_string(list_filter([CASE WHEN e % 13 = 0 THEN 'missing_field' END, CASE WHEN e % 7 = 0 THEN 'empty_claim' END,
   CASE WHEN e % 2 = 0 AND (e % 5 = 0 OR 40 > 50 + e % 3 * -20) THEN 'bad_span' END, CASE WHEN e % 2 = 1 THEN 'unknown_doc' END, CASE WHEN e % 2 = 0 AND e % 3 = 0 THEN 'stale_doc' END], lambda x: x IS NOT NULL), ',') AS codes FROM s""")
 def d16_claim_shape(spark, sf):
-    """The rail's codes of a claim."""
+    """The rail's codes of a claim."""
     e = F.col("event_id")
     start = F.when(e % 5 == 0, -1).otherwise(3)
     codes = verdicts.shape_codes(F.when(e % 13 != 0, "d").otherwise("d"), start, F.lit(40), F.when(e % 7 == 0, " ").otherwise("text"), e % 2 == 0, e % 3 == 0, (50 + e % 3 * -20).cast("int"))
@@ -281,7 +281,7 @@ def f3_softmax(spark, sf):
 
 @query("""SELECT l_orderkey::VARCHAR AS pair, count(*) AS members, round(avg(l_discount), 8) AS entailment, round(avg(l_tax), 8) AS contradiction, max(l_partkey) AS claim_tokens, count(DISTINCT l_returnflag) <= 1 AS windows_agree FROM lineitem GROUP BY 1""")
 def f4_ensemble(spark, sf):
-    """The mean of members, the longest token count, and whether windows agree."""
+    """The mean of members, the longest of given token counts, and whether windows agree."""
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("pair"), F.col("l_discount").alias("entailment"), F.col("l_tax").alias("contradiction"), F.col("l_partkey").alias("claim_tokens"), F.col("l_returnflag").alias("window"))
     found = judges.ensemble(rows)
     return found.withColumn("entailment", F.round("entailment", 8)).withColumn("contradiction", F.round("contradiction", 8))

@@ -209,7 +209,7 @@ def i7_reply_rows(spark, sf):
   ) GROUP BY 1, 2, 3 HAVING sum(n) > 0
 UNION ALL SELECT 'unread', 'year_or_period', 'left_alone', count(*) FROM orders WHERE o_orderkey % 3 = 0""")
 def j1_profile(spark, sf):
-    """Number forms by family, kind and verdict."""
+    """Number forms by family, kind and verdict."""
     k = F.col("o_orderkey") % 3
     t = F.when(k == 0, F.concat(F.lit("On "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" it went on"))).when(k == 1, "It moved twenty-five basis points").otherwise("It moved by ½ percentage point")
     report = profile.profile(spread(table(spark, sf, "orders")).select(t.alias("t")), "t")
