@@ -162,3 +162,23 @@ def test_the_text_blind_baseline_beats_the_mean(spark):
     held = [(r.prediction, r.y) for r in model.transform(df.filter("id % 3 = 0")).collect()]
     mean = sum(y for _, y in held) / len(held)
     assert sum(abs(p - y) for p, y in held) < 0.4 * sum(abs(mean - y) for _, y in held)
+
+
+def _altered(spark, sf, folder, **tables):
+    """A folder of the test tables in which some are replaced by rows of a DuckDB query."""
+    from pathlib import Path
+
+    con = duckdb.connect()
+    for name in TABLES:
+        con.sql(f"create view {name} as select * from '{sf}/{name}.parquet'")
+        target = Path(folder, f"{name}.parquet")
+        if name in tables:
+            con.sql(f"copy ({tables[name]}) to '{target}' (format parquet)")
+        else:
+            target.symlink_to(f"{sf}/{name}.parquet")
+    return str(folder)
+
+
+def test_sizes_of_the_budget_round_halves_to_even(spark, sf, tmp_path):
+    at = _altered(spark, sf, tmp_path, lineitem="select * replace (l_linenumber * 10000.0 + 50 as l_extendedprice, l_quantity + 0.5 as l_quantity) from lineitem")
+    same(spark, at, catalog.queries()["h6_greedy_budget"], catalog.oracle_sql()["h6_greedy_budget"])
