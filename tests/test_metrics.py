@@ -60,3 +60,12 @@ def test_worst_case_and_display(spark):
     assert one(spark, m.with_worst_case(F.lit(0.7), F.lit(True))) == 0.0
     assert one(spark, m.with_worst_case(F.lit(1.7), F.lit(False))) == 1.0
     assert one(spark, m.leaderboard(F.lit(1.0), F.lit(None).cast("double"))) == pytest.approx(1.0)
+
+
+def test_rounding_is_that_of_scaled_doubles(spark):
+    import duckdb
+
+    cases = [32.0725, 1.005, 2.5, -2.5, 0.49999999999999994, -0.3, 12350.0, 1e300, -1e17, 0.0, float("inf"), None] + [k + 0.0005 for k in range(60)]
+    for digits in (3, 2, 0, -2):
+        got = [r.x for r in spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, v double").select("i", m.rounded(F.col("v"), digits).alias("x")).orderBy("i").collect()]
+        assert got == [duckdb.execute("select round($1::double, $2::int)", [x, digits]).fetchall()[0][0] for x in cases]

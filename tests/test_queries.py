@@ -182,3 +182,8 @@ def _altered(spark, sf, folder, **tables):
 def test_sizes_of_the_budget_round_halves_to_even(spark, sf, tmp_path):
     at = _altered(spark, sf, tmp_path, lineitem="select * replace (l_linenumber * 10000.0 + 50 as l_extendedprice, l_quantity + 0.5 as l_quantity) from lineitem")
     same(spark, at, catalog.queries()["h6_greedy_budget"], catalog.oracle_sql()["h6_greedy_budget"])
+
+
+def test_planted_figures_are_rounded_as_doubles(spark, sf, tmp_path):
+    at = _altered(spark, sf, tmp_path, orders="select * replace (5 * o_orderkey as o_orderkey, 32072.5 + o_orderkey % 7 as o_totalprice) from orders")
+    same(spark, at, catalog.queries()["e29_band_join"], catalog.oracle_sql()["e29_band_join"])
