@@ -187,3 +187,8 @@ def test_sizes_of_the_budget_round_halves_to_even(spark, sf, tmp_path):
 def test_planted_figures_are_rounded_as_doubles(spark, sf, tmp_path):
     at = _altered(spark, sf, tmp_path, orders="select * replace (5 * o_orderkey as o_orderkey, 32072.5 + o_orderkey % 7 as o_totalprice) from orders")
     same(spark, at, catalog.queries()["e29_band_join"], catalog.oracle_sql()["e29_band_join"])
+
+
+def test_pools_are_rounded_as_doubles(spark, sf, tmp_path):
+    at = _altered(spark, sf, tmp_path, lineitem="select * replace (row_number() over () as l_orderkey, 100.0 * (row_number() over ()) - 0.5 as l_extendedprice) from lineitem")
+    same(spark, at, catalog.queries()["e29_carried"], catalog.oracle_sql()["e29_carried"])
