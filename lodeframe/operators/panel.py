@@ -20,7 +20,7 @@ BASE, PER_ANALYSIS, BONUS = -0.27, 1.27, 0.25
 def cells(votes: DataFrame, keys: list[str]) -> DataFrame:
     """keys, cast, met, share, agreement and open of each cell of votes (keys, judge, seat, vote): what a panel makes of it.
 
-    seat orders a judge's repeated votes; agreement is the share of votes on the larger side.
+    seat orders a judge's repeated votes; agreement is the share of votes on the larger side. Votes that are dealt by some of the keys already aren't shuffled.
     """
     once = votes.groupBy(*keys, "judge").agg(F.min_by("vote", "seat").alias("vote"))
     counted = once.groupBy(*keys).agg(F.count("vote").cast("int").alias("cast"), F.coalesce(F.sum("vote"), F.lit(0)).cast("int").alias("met"))

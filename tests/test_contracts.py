@@ -156,6 +156,13 @@ def test_panel_cells(spark):
     assert got == {"full": (5, 4, 0.8, 0.8, False), "quorum": (3, 2, 2 / 3, 2 / 3, False), "open": (2, 2, 0.0, 1.0, True), "none": (0, 0, 0.0, None, True)}
 
 
+def test_panel_votes_are_not_shuffled(spark, sf):
+    frame = contracts.l4_panel(spark, sf)
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "HashAggregate" in plan and not [x for x in plan.splitlines() if "Exchange" in x and ("component" in x or "judge" in x)]
+
+
 def test_calibration_head(spark, sf):
     """Held-out coverage near the level, and losses below those of bands that know no feature."""
     rows = contracts.calibration_rows(spark, "/root/testdata/sf0.01").persist()
