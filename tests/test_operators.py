@@ -121,3 +121,30 @@ def test_interval_losses_by_window(spark):
     df = spark.createDataFrame(rows, "ts timestamp, low double, high double, y double")
     got = {r.start: (round(r.loss, 9), r.n) for r in embargo.loss_by_window(df, "ts", "1 hour", "10 minutes", 0.9).collect()}
     assert got == {at(0): (12.0, 2), at(10): (21.0, 1)}
+
+
+def test_equal_values_are_read_once_and_in_small_parts(spark):
+    from lodeframe.operators import reading
+
+    rows = spark.range(30_000).selectExpr("id", "case when id % 9 = 0 then null when id % 2 = 0 then 'hot' else concat('t', id % 5000) end as t", "id % 3 as n")
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def of(t, n):
+        read.add(1)
+        return f"{t}-{n}"
+
+    got = reading.each_once(rows, ["t", "n"], "x", of("t", "n")).collect()
+    assert len(got) == 30_000 and all(r.x == f"{r.t}-{r.n}" for r in got)
+    assert read.value == rows.select("t", "n").distinct().count()
+    parts = rows.select("t", "n").distinct().count() // reading.ROWS
+    assert parts >= 2 and reading.dealt(rows, rows=reading.ROWS).rdd.getNumPartitions() == 15
+
+
+def test_weighted_texts_make_the_same_profile(spark):
+    from lodeframe.operators import profile
+
+    texts = spark.createDataFrame([("It rose ½ percentage point on 2024-03-05",)] * 5 + [("Index 1982-84=100, #123456",)] * 3 + [(None,)], "t string")
+    counted = texts.groupBy("t").agg(F.count(F.lit(1)).alias("times"))
+    of = lambda report: sorted(map(tuple, report.collect()))
+    assert of(profile.profile(counted, "t", "times")) == of(profile.profile(texts, "t"))
