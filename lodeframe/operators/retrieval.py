@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lodeframe.session import counted, dealt
+
+DOCS = 1000  # documents whose terms one task holds
+
 # fixed values of the ranking contract
 K1, B, ALPHA = 1.5, 0.75, 0.4
 
@@ -35,20 +39,20 @@ def span_chunks(docs: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame, cutoff: Column, k: int) -> DataFrame:
     """query_id, doc_id, start, score and rank of the k best chunks of each query.
 
-    Terms are filtered to those that queries use before anything is shuffled, so the postings that move follow the
-    queries' terms, not the corpus. Order: score to nine digits, as sums of doubles differ behind them, then doc_id, then start.
+    Chunks are dealt by document, DOCS a task, and queries' terms come to them, so postings and scores are made, counted and ranked where
+    the chunk lies: only terms' frequencies and each task's k best of a query move. Order: score to nine digits, as sums of doubles differ behind them, then doc_id, then start.
     """
-    usable = chunks.filter(F.coalesce(F.col("doc_date") <= cutoff, F.lit(False))).select("doc_id", "start", tokens(F.col("text")).alias("terms"))
+    usable = dealt(chunks.filter(F.coalesce(F.col("doc_date") <= cutoff, F.lit(False))).select("doc_id", "start", "text"), "doc_id", rows=DOCS).select("doc_id", "start", tokens(F.col("text")).alias("terms"))
     sized = usable.withColumn("n", F.size("terms"))
     totals = sized.agg(F.count(F.lit(1)).alias("chunks"), F.avg("n").alias("mean"))
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    wanted = asked.select("term").distinct()
+    wanted = counted(asked.select("term").distinct())
     postings = sized.select("doc_id", "start", "n", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id", "start", "n").agg(F.count(F.lit(1)).alias("tf"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # one row of totals: its size is fixed
     weighed = frequency.join(F.broadcast(totals)).withColumn("idf", F.log(1 + (F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    each = postings.join(weighed, "term").withColumn("part", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean"))))
-    scored = each.join(asked, "term").groupBy("query_id", "doc_id", "start").agg(F.sum("part").alias("score")).filter("score > 0")
+    each = postings.join(counted(asked.join(weighed, "term")), "term").withColumn("part", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean"))))
+    scored = each.groupBy("query_id", "doc_id", "start").agg(F.sum("part").alias("score")).filter("score > 0")
     order = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id", "start")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -58,18 +62,20 @@ def overlap_best(docs: DataFrame, queries: DataFrame, cutoff: Column, most_chars
 
     Undated documents pass. The first in `pos` wins ties; a document without a shared token scores 0 and may still win.
     """
-    passing = docs.filter(~F.coalesce(F.col("doc_date") > cutoff, F.lit(False))).select("doc_id", "pos", "text", tokens(F.col("text"), 2).alias("terms")).filter(F.size("terms") > 0)
+    admitted = docs.filter(~F.coalesce(F.col("doc_date") > cutoff, F.lit(False)))
+    termed = lambda rows: rows.withColumn("terms", tokens(F.col("text"), 2)).filter(F.size("terms") > 0)
+    passing = termed(dealt(admitted.select("doc_id", "pos", "text"), "doc_id", rows=DOCS))
     asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"), 2)).alias("asked")).filter(F.size("asked") > 0)
     wanted = asked.select("query_id", F.explode("asked").alias("term"))
-    # only terms that a query has are moved, and each once for a document
-    words = passing.select("doc_id", "pos", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    counted = words.groupBy("term", "doc_id", "pos", "n").agg(F.count(F.lit(1)).alias("tf"))
-    hits = counted.join(wanted, "term").groupBy("query_id", "doc_id", "pos", "n").agg(F.sum("tf").alias("shared"))
+    # documents are dealt, DOCS a task, and queries' terms come to them, so no term moves
+    words = passing.select("doc_id", "pos", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(counted(wanted.select("term").distinct()), "term", "left_semi")
+    times = words.groupBy("term", "doc_id", "pos", "n").agg(F.count(F.lit(1)).alias("tf"))
+    hits = times.join(counted(wanted), "term").groupBy("query_id", "doc_id", "pos", "n").agg(F.sum("tf").alias("shared"))
     best = hits.withColumn("score", F.col("shared") / F.sqrt(F.col("n"))).groupBy("query_id").agg(F.max(F.struct("score", (-F.col("pos")).alias("order"), "doc_id")).alias("best"))
     # queries that share no token get the first document with score 0
     first = passing.agg(F.min(F.struct("pos", "doc_id")).alias("first"))
     chosen = asked.select("query_id").join(best, "query_id", "left").join(F.broadcast(first)).select("query_id", F.coalesce("best.doc_id", "first.doc_id").alias("doc_id"), F.coalesce("best.score", F.lit(0.0)).alias("score"))
-    return chosen.join(passing.select("doc_id", "text"), "doc_id").select("query_id", "doc_id", "score", F.lit(0).alias("start"), F.least(F.length("text"), F.lit(most_chars)).alias("end"), F.left("text", F.lit(most_chars)).alias("text"))
+    return termed(admitted.select("doc_id", "text")).join(counted(chosen), "doc_id").select("query_id", "doc_id", "score", F.lit(0).alias("start"), F.least(F.length("text"), F.lit(most_chars)).alias("end"), F.left("text", F.lit(most_chars)).alias("text"))
 
 
 _CURLY, _PLAIN = "‘’“”–— ", "''\"\"-- "
