@@ -182,3 +182,14 @@ def test_calibration_of_odd_rows(spark):
     head = calibration.fit(rows, ["a", "b"], "y")
     assert rows.limit(1).select(head.quantile(0.05)).first()[0] == pytest.approx(3.0, abs=0.1)
     assert calibration.fit(rows.limit(0), ["a", "b"], "y").weights[0.95] == (0.0, 0.0, 0.0)
+
+
+def test_equal_claims_are_judged_once(spark):
+    from lodeframe.operators import verdicts
+
+    rows = [(i, f"It came to {i % 3}.5", [f"It was {x}.5 then" for x in range(i % 2 + 1)] if i % 5 else None) for i in range(40)]
+    claims = spark.createDataFrame(rows, "k int, claim string, spans array<string>")
+    each = verdicts.figure_statuses(claims, ["k"], "status", "claim", "spans").select("k", "status")
+    once = verdicts.equal_statuses(claims, ["claim", "spans"], "status", "claim", "spans").select("k", "status")
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, each.collect()))
+    assert {s for _, s in map(tuple, once.collect())} == {"anchored", "unanchored"}
