@@ -192,3 +192,30 @@ def test_planted_figures_are_rounded_as_doubles(spark, sf, tmp_path):
 def test_pools_are_rounded_as_doubles(spark, sf, tmp_path):
     at = _altered(spark, sf, tmp_path, lineitem="select * replace (row_number() over () as l_orderkey, 100.0 * (row_number() over ()) - 0.5 as l_extendedprice) from lineitem")
     same(spark, at, catalog.queries()["e29_carried"], catalog.oracle_sql()["e29_carried"])
+
+
+def test_what_verdicts_are_made_of_is_kept(spark, sf):
+    read = catalog.queries()["d1_verdicts"](spark, sf).inputFiles()
+    assert not [f for f in read if "lineitem" in f or "orders" in f]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["h3_bm25", "h4_overlap"])
+def test_postings_stay_with_their_documents(spark, sf, name):
+    import re
+
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)", _plan(catalog.queries()[name](spark, sf)))
+    assert dealt
+    assert not [keys for keys in dealt if "doc_id" in keys and ("query_id" in keys or "term" in keys)]
+
+
+def test_claims_are_counted_where_they_are_dealt(spark, sf):
+    assert "hashpartitioning(unit#" in (plan := _plan(catalog.queries()["d11_report"](spark, sf)))
+    assert "partial_count_if" not in plan.split("hashpartitioning(unit#")[1] and ", entity_id#" not in plan.split("hashpartitioning(unit#")[1].split(")")[0]
+
+
+def test_named_claims_are_read_by_all_cores(spark, sf):
+    assert catalog.queries()["e26_names"](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
