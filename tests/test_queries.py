@@ -219,3 +219,10 @@ def test_claims_are_counted_where_they_are_dealt(spark, sf):
 
 def test_named_claims_are_read_by_all_cores(spark, sf):
     assert catalog.queries()["e26_names"](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_content_keys_are_made_in_bounded_batches(spark, sf):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(rows, "10000")
+    catalog.queries()["c19_content_key"](spark, sf)
+    assert int(spark.conf.get(rows)) <= 512
