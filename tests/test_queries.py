@@ -225,3 +225,19 @@ def test_content_keys_are_made_in_bounded_batches(spark, sf):
     spark.conf.set(rows, "10000")
     catalog.queries()["c19_content_key"](spark, sf)
     assert int(spark.conf.get(rows)) <= 512
+
+
+def test_premises_meet_their_units_without_words(spark, sf):
+    assert "Generate" not in _plan(catalog.queries()["j13_premise_quotes"](spark, sf))
+
+
+@pytest.mark.parametrize("pairs", [0, 5, 1000])
+def test_quotes_of_crowded_units(spark, monkeypatch, pairs):
+    from lodeframe.operators import reasons
+
+    docs = [(1, "a b c d e"), (1, "c d e f"), (1, None), (2, "a b c"), (2, "a b c"), (None, "a b c d")]
+    premises = [(1, " b c d "), (1, "b c d"), (1, "d e f"), (1, "a b"), (1, "b c x"), (1, None), (2, "a b c"), (2, "c d e"), (3, "a b c"), (None, "a b c")]
+    monkeypatch.setattr(reasons, "PAIRS", pairs)  # by words, unit 1 by words and 2 not, none by words
+    got = reasons.premise_quotes(spark.createDataFrame(premises, "unit int, premise string"), spark.createDataFrame(docs, "unit int, text string"), ["unit"])
+    quoted = lambda unit, p: p is not None and len(p.split()) > 2 and any(unit == u and t and p.strip() in t for u, t in docs if u)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(str((u, p, quoted(u, p))) for u, p in premises)
