@@ -70,6 +70,47 @@ def test_window_choice_is_the_best(spark, sf):
     assert "copper" in whole[at : at + 120]
 
 
+def test_windows_are_chosen_without_the_words_of_each(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from lodeframe.functions import arrays, text
+
+    filler = "Alpha beta gamma delta. "
+    t = F.concat(F.repeat(F.lit(filler), 60), F.lit("Zeta eta clerk"), F.col("id").cast("string"), F.lit(" theta. "), F.repeat(F.lit(filler), 30))
+    df, n = spark.range(4000).select(t.alias("t"), F.concat(F.lit("zeta eta clerk"), F.col("id").cast("string")).alias("c")).cache(), F.lit(240)
+    df.count()
+    each = arrays.let(arrays.stretches(F.col("t")), lambda pieces: F.transform(text.window_starts(F.col("t"), n), lambda start: F.size(text.window_words(arrays.cut(pieces, start, n)))))
+
+    def took(column):
+        began = time.time()
+        df.select(column.alias("x")).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    best = text.best_window(F.col("t"), n, F.col("c"))
+    assert {r.x for r in df.select(best.alias("x")).distinct().collect()} <= {1320}
+    assert min(took(best) for _ in range(2)) < 0.6 * min(took(each) for _ in range(2))
+
+
+@pytest.mark.parametrize("size", [1, 7, 60])
+def test_odd_windows(spark, size):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lodeframe.functions import text
+
+    pick = random.Random(size).choice
+    words, seps = ["alpha", "beta", "eta", "a-b", ".x.y.", "--", "the", "b", "12.5", "éta", "-eta-", "eta.", "𝒳x"], [" ", "\n", ". ", "; ", ".\n", ".", ";;", " . ", "-"]
+    joined = lambda n: "".join(pick(words) + pick(seps) for _ in range(n))
+    cases = [(joined(pick([0, 1, 20, 80])), size, " ".join(pick(words) for _ in range(pick([0, 1, 4])))) for _ in range(60)]
+    cases += [(t, n, " ".join(f"w{k}" for k in range(80)) + " eta beta") for t, n, _ in cases[:10]]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, n int, c string")
+    got = {r.i: r.s for r in df.select("i", text.best_window(F.col("t"), F.col("n"), F.col("c")).alias("s")).collect()}
+    assert got == {i: _best_start(*c) for i, c in enumerate(cases)}
+
+
 def test_roster_check_counts_all_orders(spark, sf):
     from collections import Counter
 
